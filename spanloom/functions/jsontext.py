@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from spanloom.config import SECRET_KEYS, SENSITIVE_KEY_FRAGMENTS
 from spanloom.functions.text import strip
@@ -85,7 +86,7 @@ def safe_message(text: Column) -> Column:
     return F.when(~clean.isin("", "{}", "[]", "null"), F.left(clean, F.lit(MESSAGE_LIMIT)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def redact_body(bodies: pd.Series) -> pd.Series:
     """JSON bodies with the value of every credential-like key replaced.
 
