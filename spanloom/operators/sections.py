@@ -164,15 +164,22 @@ def slice_text(content: Column, start: Column, end: Column) -> Column:
     return F.decode(F.substring(text_bytes(content), (start + 1).cast("int"), (end - start).cast("int")), "UTF-8")
 
 
+def _newlines_before(content: Column, offset: Column) -> Column:
+    """Newline bytes before an offset, which may lie inside a character."""
+    before = F.substring(text_bytes(content), F.lit(1), offset.cast("int")).cast("string")
+    return F.octet_length(before) - F.octet_length(F.replace(before, F.lit("\n"), F.lit("")))
+
+
 def line_at(content: Column, offset: Column) -> Column:
     """1-based line that holds a byte offset."""
-    return (T.newline_count(slice_text(content, F.lit(0), offset)) + 1).cast("long")
+    return (_newlines_before(content, offset) + 1).cast("long")
 
 
 def last_line_before(content: Column, end: Column) -> Column:
     """1-based line of the last byte before an exclusive end."""
-    before = slice_text(content, F.lit(0), end)
-    return (T.newline_count(before) + 1 - before.endswith("\n").cast("int")).cast("long")
+    ends_line = F.substring(text_bytes(content), F.greatest(end, F.lit(1)).cast("int"), F.lit(1)) == F.encode(F.lit("\n"), "UTF-8")
+    at_break = (end > 0) & ends_line
+    return (_newlines_before(content, end) + 1 - at_break.cast("int")).cast("long")
 
 
 def node_types_within(nodes: Column, start: Column, end: Column) -> Column:

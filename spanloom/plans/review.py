@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import render as R
 from spanloom.operators import interactions as I
-from spanloom.operators.scale import numbered
+from spanloom.operators.scale import numbered, top_rows
 from spanloom.sources import sessions as S
 
 SUFFIX = re.compile(r"^\d{8}T\d{6}Z$")
@@ -140,8 +140,7 @@ def submittable(spark: SparkSession, root: str) -> DataFrame:
     Committing and pushing are left to git.
     """
     lines = S.session_lines(spark, root)
-    first = Window.partitionBy("path").orderBy("line_number")
-    bad = I.session_violations(lines, submission=True).withColumn("n", F.row_number().over(first)).filter("n = 1")
+    bad = top_rows(I.session_violations(lines, submission=True), ["path"], [F.col("line_number")], 1, "n")
     repeated = I.repeated_interactions(lines, per_file=True).select("path").distinct().withColumn(
         "repeated", F.lit("Duplicate interaction_id found in the session file"))
     files = I.session_consistency(lines, submission=True)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-MODULES = ("retrieval", "texts", "spans")
+MODULES = ("retrieval", "texts", "corpora", "spans", "sections")
 
 
 def all_workloads() -> dict:

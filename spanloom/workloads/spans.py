@@ -66,7 +66,8 @@ def overlap_by_policy(spark, sf_dir):
     sums = ["chunk_count", "nested_chunk_count", "total_chunk_bytes_sum", "unique_covered_bytes", "redundancy_bytes"]
     rolled = per_file.rollup("policy", "file").agg(*[F.sum(c).alias(c) for c in sums])
     factor = F.round(F.col("total_chunk_bytes_sum") / F.col("unique_covered_bytes"), 6)
-    return rolled.filter("policy IS NOT NULL").withColumn("duplication_factor", factor)
+    return rolled.filter("policy IS NOT NULL").withColumn("duplication_factor", factor).withColumn(
+        "file", F.coalesce(F.col("file").cast("string"), F.lit("(all)")))
 
 
 def direct_parent(spark, sf_dir):
@@ -174,7 +175,7 @@ WORKLOADS = {
           UNION ALL SELECT *, 'D' FROM spans WHERE node_type IN ('function_definition','method_declaration')),
         u AS ({_UNION_SQL.format(t='named').replace('SELECT file,', 'SELECT policy, file,').replace('PARTITION BY file', 'PARTITION BY policy, file').replace('GROUP BY file', 'GROUP BY policy, file')}),
         m AS (SELECT * FROM {_metrics_sql('named', 'policy, file')} JOIN u USING (policy, file))
-        SELECT policy, file, CAST(sum(chunk_count) AS BIGINT) AS chunk_count, CAST(sum(nested_chunk_count) AS BIGINT) AS nested_chunk_count,
+        SELECT policy, coalesce(CAST(file AS VARCHAR), '(all)') AS file, CAST(sum(chunk_count) AS BIGINT) AS chunk_count, CAST(sum(nested_chunk_count) AS BIGINT) AS nested_chunk_count,
           CAST(sum(total_chunk_bytes_sum) AS BIGINT) AS total_chunk_bytes_sum, CAST(sum(unique_covered_bytes) AS BIGINT) AS unique_covered_bytes,
           CAST(sum(total_chunk_bytes_sum - unique_covered_bytes) AS BIGINT) AS redundancy_bytes,
           round(sum(total_chunk_bytes_sum) / sum(unique_covered_bytes), 6) AS duplication_factor FROM m GROUP BY GROUPING SETS ((policy, file), (policy))"""),

@@ -32,7 +32,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def normal(frame: pd.DataFrame) -> list[tuple]:
     def cell(value):
-        if value is None or value is pd.NaT or (isinstance(value, float) and np.isnan(value)):
+        if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and np.isnan(value)):
             return None
         if isinstance(value, np.generic):
             value = value.item()
