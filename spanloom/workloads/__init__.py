@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-MODULES = ("retrieval", "texts", "corpora", "spans", "sections")
+MODULES = ("retrieval", "texts", "corpora", "spans", "sections", "interactions", "streams")
 
 
 def all_workloads() -> dict:
