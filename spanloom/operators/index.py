@@ -22,6 +22,16 @@ def label(symbol: Column, section_title: Column) -> Column:
     return T.first_filled(symbol, section_title)
 
 
+def evidence_key() -> Column:
+    """Sixteen bytes of SHA-256 that stand for (repository, path, label); a null label is a label.
+
+    Search results are reduced by it, so that paths and labels need not travel
+    with every candidate.
+    """
+    sized = [F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)) for c in ("repository", "source_path", "label")]
+    return F.substring(F.unhex(F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in sized]), 256)), 1, 16)
+
+
 def analyzed(chunks: DataFrame, config: RankingConfig) -> DataFrame:
     """Chunks with their sorted tokens and the terms that boosts look at."""
     name = F.coalesce(label(F.col("symbol"), F.col("section_title")), F.lit(""))
@@ -55,7 +65,7 @@ def analyzed(chunks: DataFrame, config: RankingConfig) -> DataFrame:
         F.col("symbol.canonical").alias("canonical_symbol"),
         F.col("symbol.words").alias("symbol_terms"),
         F.size("symbol.words").alias("symbol_words"),
-    ).drop("symbol")
+    ).drop("symbol").withColumn("evidence_key", evidence_key())
 
 
 def term_counts(sorted_tokens: Column) -> Column:

@@ -173,18 +173,20 @@ def candidates(index: LexicalIndex, features: DataFrame, config: RankingConfig,
 
 
 def scored(index: LexicalIndex, queries: DataFrame, config: RankingConfig, top_k: int) -> DataFrame:
-    """Candidates with their five score components and positive score."""
+    """Candidates with their five score components and positive score.
+
+    Of the chunk table only what the boosts and the ranking look at takes part;
+    `described` adds the rest to the few rows that are kept.
+    """
     features = query_features(queries, config)
     found = candidates(index, features, config, top_k)
     chunks = index.table(queries.sparkSession, "chunks").select(
-        "chunk_no", "chunk_id", "repository", "source_role", "source_path", "label", "chunk_type",
-        "start_line", "end_line", "symbol_words",
+        "chunk_no", "chunk_id", "evidence_key", "repository", "source_role", "symbol_words",
     )
     asked = features.select("query_id", "schema_intent", "hinted_roles", "target_repository")
     rows = join_small(found.join(chunks, "chunk_no"), asked, ["query_id"], spread_by="chunk_no")
     parts = rows.select(
-        "query_id", "chunk_id", "repository", "source_role", "source_path", "label", "chunk_type",
-        "start_line", "end_line", (F.col("units") / F.lit(UNITS)).alias("lexical"),
+        "query_id", "chunk_no", "chunk_id", "evidence_key", (F.col("units") / F.lit(UNITS)).alias("lexical"),
         symbol_boost(config).alias("symbol_boost"), path_boost(config).alias("path_boost"),
         role_boost(config).alias("role_boost"), repository_boost(config).alias("repository_boost"),
     )
@@ -197,19 +199,26 @@ def scored(index: LexicalIndex, queries: DataFrame, config: RankingConfig, top_k
 def best_evidence(scored_rows: DataFrame) -> DataFrame:
     """Best chunk of each (repository, path, label) per query; a null label is a label."""
     return top_rows(
-        scored_rows, ["query_id", "repository", "source_path", "label"],
+        scored_rows, ["query_id", "evidence_key"],
         [F.col("score").desc(), F.col("chunk_id")], 1, "_best",
     ).drop("_best")
 
 
+def described(rows: DataFrame, index: LexicalIndex) -> DataFrame:
+    """Rows with the shown fields of their chunks."""
+    shown = index.table(rows.sparkSession, "chunks").select(
+        "chunk_no", "repository", "source_role", "source_path", "label", "chunk_type", "start_line", "end_line"
+    )
+    return rows.join(shown, "chunk_no").drop("chunk_no", "evidence_key")
+
+
 def search(index: LexicalIndex, queries: DataFrame, config: RankingConfig, top_k: int = 5) -> DataFrame:
     """Ranked results of every query: best evidence per key, cut to `top_k`."""
     if top_k < 1:
         raise ValueError("top_k must be at least 1")
     order = [F.col("score").desc(), F.col("chunk_id")]
-    return top_rows(
-        best_evidence(scored(index, queries, config, top_k)), ["query_id"], order, top_k, "rank"
-    )
+    best = best_evidence(scored(index, queries, config, top_k))
+    return described(top_rows(best, ["query_id"], order, top_k, "rank"), index)
 
 
 def result_rows(results: DataFrame, debug: bool = False) -> DataFrame:

@@ -68,7 +68,7 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit:
 def running(
     df: DataFrame, keys: Sequence[str], order: str, width: int,
     max_of: Mapping[str, str] | None = None, min_of: Mapping[str, str] | None = None,
-    sum_of: Mapping[str, str] | None = None, inclusive: bool = False,
+    sum_of: Mapping[str, str] | None = None, inclusive: bool = False, fits: bool = False,
 ) -> DataFrame:
     """Running max, min and sum over an integer order column, per key.
 
@@ -77,6 +77,8 @@ def running(
     into each bucket, so that no task sees more than `width` rows of a key, nor
     more than one total per bucket, however many rows the key has. Exclusive
     results are null (sums: 0) where nothing comes before.
+
+    `fits` says that the order values are known to span less than one bucket.
     """
     specs = [
         (kind, out, src)
@@ -84,6 +86,14 @@ def running(
         for out, src in (items or {}).items()
     ]
     call = {"max": F.max, "min": F.min, "sum": F.sum}
+    last = 0 if inclusive else -1
+    if fits:
+        frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
+        plain = [call[kind](src).over(frame) for kind, _, src in specs]
+        return df.select(*df.columns, *[
+            (F.coalesce(value, F.lit(0)) if kind == "sum" else value).alias(out)
+            for value, (kind, out, _) in zip(plain, specs)
+        ])
     bucketed = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(width)))
     by_bucket = [*keys, "_bucket"]
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,7 +103,6 @@ def running(
     carried = totals.select(
         *by_bucket, *[call[kind](f"_t{i}").over(before).alias(f"_c{i}") for i, (kind, _, _) in enumerate(specs)]
     )
-    last = 0 if inclusive else -1
     inside = Window.partitionBy(*by_bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
     joined = bucketed.join(carried, by_bucket)
     results = []

@@ -17,6 +17,8 @@ from spanloom.config import (
 )
 from spanloom.operators.scale import running, top_rows
 
+# Above every chunk index.
+INDEX_RANGE = "CAST('10000000000000000000' AS DECIMAL(20,0))"
 # Byte positions per bucket of the running aggregates.
 WIDTH = 1 << 18
 
@@ -112,8 +114,10 @@ def containers(spans: DataFrame, keys: Sequence[str] = ("file",), width: int = W
     """
     keys = list(keys)
     distinct = distinct_spans(spans, keys)
-    last = distinct.agg(F.coalesce(F.max("byte_start"), F.lit(0)).alias("m")).first()["m"]
-    levels = max(1, int(last).bit_length())
+    extent = spans.agg(
+        F.coalesce(F.max("byte_start"), F.lit(0)).alias("start"), F.coalesce(F.max("byte_end"), F.lit(0)).alias("end")
+    ).first()
+    levels = max(1, int(extent["start"]).bit_length())
     level = F.explode(F.sequence(F.lit(-1), F.lit(levels - 1)))
     start = F.col("byte_start")
     leveled = distinct.withColumn("level", level).withColumn(
@@ -122,7 +126,9 @@ def containers(spans: DataFrame, keys: Sequence[str] = ("file",), width: int = W
     # Spans enter even blocks, questions ask the even block just before their own.
     entries = leveled.filter("level < 0 OR block % 2 = 0").select(
         *keys, "level", "block", F.col("byte_end").alias("at"), "copies",
-        F.struct((F.col("byte_end") - start).alias("size"), F.col("first_index").alias("index")).alias("best"),
+        # Size, then index, as one number: a hash aggregate cannot hold a struct.
+        ((F.col("byte_end") - start).cast("decimal(19,0)") * F.expr(INDEX_RANGE)
+         + F.col("first_index")).cast("decimal(38,0)").alias("best"),
     )
     questions = leveled.filter("level < 0 OR block % 2 = 1").select(
         *keys, "level", F.expr("CASE WHEN level < 0 THEN block ELSE block - 1 END").alias("block"),
@@ -132,27 +138,29 @@ def containers(spans: DataFrame, keys: Sequence[str] = ("file",), width: int = W
         "byte_start", "byte_end", "copies", "first_index",
     )
     group = [*keys, "level", "block"]
+    asked = questions.select(*group, "at", F.lit(0).cast("long").alias("copies"))
+    # One row per place, ordered from the far end.
     at_end = (
-        entries.groupBy(*group, "at").agg(F.sum("copies").alias("n"), F.min("best").alias("best"))
-        .unionByName(questions.select(*group, "at").distinct(), allowMissingColumns=True)
-        # One row per place, ordered from the far end.
-        .groupBy(*group, "at").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("best").alias("best"))
+        entries.unionByName(asked, allowMissingColumns=True)
+        .groupBy(*group, "at").agg(F.sum("copies").alias("n"), F.min("best").alias("best"))
         .withColumn("from_end", -F.col("at"))
     )
     answers = running(
-        at_end, group, "from_end", width, sum_of={"containing": "n"}, min_of={"smallest": "best"}, inclusive=True
+        at_end, group, "from_end", width, sum_of={"containing": "n"}, min_of={"smallest": "best"}, inclusive=True,
+        fits=extent["end"] < width,
     ).filter("containing > 0")
     return (
         questions.join(answers.select(*group, "at", "containing", "smallest"), [*group, "at"])
         .groupBy(*keys, "byte_start", "byte_end")
-        .agg(F.sum("containing").alias("containing_chunk_count"), F.min("smallest").alias("parent"))
+        .agg(F.sum("containing").alias("containing_chunk_count"),
+             (F.min("smallest") % F.expr(INDEX_RANGE)).cast("long").alias("parent_index"))
     )
 
 
 def direct_parents(spans: DataFrame, keys: Sequence[str] = ("file",), width: int = WIDTH) -> DataFrame:
     """Each nested span with its container count and smallest container."""
     keys = list(keys)
-    found = containers(spans, keys, width).withColumn("parent_index", F.col("parent.index")).drop("parent")
+    found = containers(spans, keys, width)
     child = spans.join(found, [*keys, "byte_start", "byte_end"])
     parent = spans.select(
         *keys, F.col("chunk_index").alias("parent_index"), F.col("node_type").alias("parent_node_type"),

@@ -13,10 +13,9 @@ from spanloom.functions import paths as P
 from spanloom.functions import text as T
 from spanloom.operators.corpus import combine, require_valid, summary
 from spanloom.operators.sections import section_chunks
-from spanloom.schemas import CHUNK
 from spanloom.session import new_table_path
 from spanloom.sources.corpus import (
-    decoded, json_lines, library_files, package_files, read_corpus, read_files, write_corpus,
+    conform_chunks, decoded, json_lines, library_files, package_files, read_corpus, read_files, write_corpus,
 )
 from spanloom.sources.parsing import parse_files
 
@@ -47,7 +46,7 @@ def is_primary(node_type: Column, language: Column) -> Column:
 
 def chunks_from_raw(raw: DataFrame, repository: str, source_role: Column) -> DataFrame:
     """Corpus chunks from a chunker's raw rows."""
-    return conform(raw.select(
+    return conform_chunks(raw.select(
         "chunk_id", F.lit(repository).alias("repository"), source_role.alias("source_role"),
         F.col("file_path").alias("source_path"), F.col("node_type").alias("chunk_type"), "node_type",
         symbol_of(F.col("metadata.signature.name"), F.col("qualified_route")).alias("symbol"),
@@ -59,16 +58,9 @@ def chunks_from_raw(raw: DataFrame, repository: str, source_role: Column) -> Dat
     ))
 
 
-def conform(chunks: DataFrame) -> DataFrame:
-    """Columns of the chunk schema, in its order; absent ones are null."""
-    return chunks.select(*[
-        (F.col(f.name) if f.name in chunks.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in CHUNK
-    ])
-
-
 def structural_chunks(parsed: DataFrame, repository: str) -> DataFrame:
     own = F.concat("parent_route", F.array(F.concat_ws(":", "node_type", "symbol")))
-    return conform(
+    return conform_chunks(
         parsed.withColumn("repository", F.lit(repository)).withColumn("source_path", F.col("path"))
         .withColumn("chunk_type", F.col("node_type"))
         .withColumn("parent_context", context_json(F.col("parent_context"), F.col("parent_route"), own))
@@ -79,7 +71,7 @@ def config_documents(files: DataFrame, repository: str) -> DataFrame:
     """One chunk per JSON file, valid or not."""
     content, path = F.col("content"), F.col("path")
     lines = F.size(T.lines(content))
-    return conform(files.select(
+    return conform_chunks(files.select(
         F.sha1(F.concat_ws(":", F.lit(repository), F.lit("config_document"), path, F.sha1(content))).alias("chunk_id"),
         F.lit(repository).alias("repository"), F.lit("config_or_schema").alias("source_role"),
         path.alias("source_path"), F.lit("config_document").alias("chunk_type"),
@@ -114,7 +106,7 @@ def library_corpus(spark: SparkSession, root: str, repository: str, config: Chun
             F.col("node_types").alias("tree_sitter_node_types_contained"),
         ))
     )
-    return whole.unionByName(conform(parts)), parse_problems(parsed, repository)
+    return whole.unionByName(conform_chunks(parts)), parse_problems(parsed, repository)
 
 
 def package_corpus(spark: SparkSession, root: str, repository: str, package: str, excluded=()):

@@ -17,6 +17,13 @@ PACKAGE_SCOPE = (
 )
 
 
+def conform_chunks(chunks: DataFrame) -> DataFrame:
+    """Columns of the chunk schema, in its order; absent ones are null."""
+    return chunks.select(*[
+        (F.col(f.name) if f.name in chunks.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in CHUNK
+    ])
+
+
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """Raw non-empty lines as `value`; lines end at a newline only."""
     return spark.read.option("lineSep", "\n").text(path).filter("value <> ''")

@@ -232,7 +232,7 @@ rated AS (SELECT *, CASE WHEN ql % 3 = 0 THEN 'helpful' WHEN ql % 3 = 1 THEN 'ne
   CASE WHEN ql % 5 = 0 THEN left(query, 20) END AS comment, CASE WHEN al % 7 = 0 THEN left(raw_answer, 30) WHEN al % 7 = 1 THEN ' ' || chr(9) END AS correction,
   CASE WHEN al % 5 = 0 THEN 'reviewed' ELSE 'unreviewed' END AS review, CASE WHEN al % 11 <> 0 THEN stamp END AS ts FROM built),
 selected AS (SELECT *, coalesce(ts, 'None') AS sort_time FROM rated WHERE rating = 'needs_review' OR trim(correction, ' ' || chr(9) || chr(10)) <> ''),
-labels_ AS (SELECT * FROM (VALUES ('unsupported_claim','Unsupported Claim',1),('incomplete','Incomplete',2),('irrelevant','Irrelevant',3),('incorrect','Incorrect',4),('wrong_source','Wrong Source',5),
+labels_ AS (SELECT * FROM (VALUES ('unsupported_claim','Unsupported Claim',CAST(1 AS BIGINT)),('incomplete','Incomplete',2),('irrelevant','Irrelevant',3),('incorrect','Incorrect',4),('wrong_source','Wrong Source',5),
   ('unclear','Unclear',6),('formatting','Formatting',7),('other','Other',8),('__uncategorized__','Uncategorized',9),('odd_category','Odd Category',10)) t(category, heading, place)),
 cats AS (SELECT tester_id, session_id, coalesce(category, '__uncategorized__') AS category, count(*) AS interactions FROM rated WHERE rating = 'needs_review' GROUP BY ALL)"""
 _REVIEW_SOURCES = """CASE WHEN n % 4 = 0 THEN '- No compact source metadata available.' ELSE '- repo' || n % 2 || ' | core_library | `src/file' || n || '.cpp` | '
@@ -284,7 +284,7 @@ _HEAD = " || ".join([
     f"{_NL} || '| Unrated | ' || count(*) FILTER (rating IS NULL) || ' |'",
 ])
 _REPORT = f"""WITH {_ANSWERS}, g AS (SELECT *, CASE rating WHEN 'helpful' THEN 2 WHEN 'needs_review' THEN 3 ELSE 4 END AS grp FROM rated)
-SELECT tester_id, session_id, 0 AS "group", -1 AS "order", '' AS category, 0 AS sequence, {_HEAD} AS block FROM rated GROUP BY tester_id, session_id
+SELECT tester_id, session_id, CAST(0 AS BIGINT) AS "group", CAST(-1 AS BIGINT) AS "order", '' AS category, CAST(0 AS BIGINT) AS sequence, {_HEAD} AS block FROM rated GROUP BY tester_id, session_id
 UNION ALL SELECT DISTINCT tester_id, session_id, 1, -1, '', 0, {_NL} || '### Needs-review categories' || {_NL} || {_NL} || '| Category | Count |' || {_NL} || '|---|---:' FROM cats
 UNION ALL SELECT tester_id, session_id, 1, place, category, 0, '| ' || heading || ' | ' || interactions || ' |' FROM cats JOIN labels_ USING (category)
 UNION ALL SELECT DISTINCT tester_id, session_id, grp, -1, '', 0, {_NL} || CASE grp WHEN 2 THEN '## Helpful' WHEN 3 THEN '## Needs Review' ELSE '## Unrated' END FROM g
@@ -314,7 +314,7 @@ _STATE = """SELECT interaction_id, count(*) AS updates, arg_max(CASE WHEN action
 
 WORKLOADS = {
     "interactions_from_turns": (interactions_from_turns, f"""WITH {_ANSWERS} SELECT interaction_id, session_id, tester_id, stamp AS timestamp, sha256(query) AS query_sha, sha256(raw_answer) AS answer_sha,
-        CASE WHEN n % 4 = 0 THEN 0 WHEN bare THEN 2 ELSE 1 END AS sources, 'grounded_answer_v1' AS prompt_version, 'successful' AS status, 'unreviewed' AS review_status, 5 AS top_k FROM built"""),
+        CAST(CASE WHEN n % 4 = 0 THEN 0 WHEN bare THEN 2 ELSE 1 END AS BIGINT) AS sources, 'grounded_answer_v1' AS prompt_version, 'successful' AS status, 'unreviewed' AS review_status, 5 AS top_k FROM built"""),
     "evidence_metadata": (evidence_metadata, f"""WITH {_ANSWERS} SELECT interaction_id, 1 AS rank, 'repo' || n % 2 AS repository, 'src/file' || n || '.cpp' AS source_path, 'core_library' AS source_role,
           CASE WHEN n % 3 <> 0 THEN 'sym' || n END AS symbol_or_section_title, n + 1 AS line_start, CASE WHEN n % 5 <> 0 THEN n + 9 END AS line_end FROM built WHERE n % 4 <> 0
         UNION ALL SELECT interaction_id, 2, NULL, NULL, NULL, NULL, NULL, NULL FROM built WHERE bare"""),

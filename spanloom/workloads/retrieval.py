@@ -328,10 +328,10 @@ def _boost_sql(name: str) -> str:
     return f"WITH {scored_sql(BENCHMARK_SQL)} SELECT query_id, chunk_id, round({name}, 6) AS {name} FROM scored WHERE lexical > 0 AND score > 0 AND {name} <> 0"
 
 
-_ONE_SQL = f"SELECT 0 AS query_id, '{ONE_QUERY}' AS query"
+_ONE_SQL = f"SELECT CAST(0 AS BIGINT) AS query_id, '{ONE_QUERY}' AS query"
 _LEX_SQL = """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY units DESC, chunk_id) AS rank, chunk_id,
   round(units / 1e12, 6) AS score FROM lexical WHERE units > 0 QUALIFY rank <= {k}"""
-_SPARSE_SQL = "SELECT * FROM (VALUES (0, 'xyzzy les'), (1, 'und qqqq'), (2, 'zzzz that')) t(query_id, query)"
+_SPARSE_SQL = "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'xyzzy les'), (1, 'und qqqq'), (2, 'zzzz that')) t(query_id, query)"
 
 WORKLOADS = {
     "tokenize_terms": (token_counts, f"WITH {INDEX_SQL} SELECT term, CAST(sum(tf) AS BIGINT) AS occurrences, count(*) AS chunks FROM postings GROUP BY term"),

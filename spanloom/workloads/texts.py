@@ -201,7 +201,7 @@ WORKLOADS = {
         ELSE lower(p_type || '_' || p_name) END AS category FROM part), g AS (SELECT category, count(*) AS parts FROM k GROUP BY 1)
         SELECT category, parts, CASE category WHEN 'unclear' THEN 'Unclear' WHEN 'other' THEN 'Other' WHEN 'wrong_source' THEN 'Wrong Source'
           ELSE array_to_string([upper(left(r, 1)) || lower(substring(r, 2)) for r in regexp_extract_all(replace(category, '_', ' '), '\\p{L}+|\\P{L}+')], '') END AS heading,
-          CASE category WHEN 'unclear' THEN 6 WHEN 'other' THEN 8 WHEN 'wrong_source' THEN 5 ELSE 10 END AS place FROM g"""),
+          CAST(CASE category WHEN 'unclear' THEN 6 WHEN 'other' THEN 8 WHEN 'wrong_source' THEN 5 ELSE 10 END AS BIGINT) AS place FROM g"""),
     "source_role_case": (source_roles, f"""WITH {_PATHS_SQL} SELECT path,
         CASE WHEN path LIKE 'src/%' THEN 'core_library' WHEN starts_with(path, 'tests/unit_tests_src/') THEN 'unit_test'
              WHEN starts_with(path, 'tests/2d_examples/') OR starts_with(path, 'tests/3d_examples/') THEN 'simulation_case'
