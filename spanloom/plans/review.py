@@ -65,9 +65,7 @@ def aggregate(spark: SparkSession, root: str, suffix: str, only_unreviewed: bool
     base = f"{root.rstrip('/')}/review_batches/review_batch_{suffix}"
     ordered = selected.sort(*I.review_order())
     I.review_records(ordered).write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{base}_jsonl")
-    # A session file may hold no line at all, so files are counted from the listing.
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "session_*.jsonl").load(root).filter(~F.col("path").contains("/review_batches/")).count()
+    files = S.session_file_count(spark, root)
     stamp = f"{suffix[:4]}-{suffix[4:6]}-{suffix[6:8]}T{suffix[9:11]}:{suffix[11:13]}:{suffix[13:15]}Z"
     head = review_header(selected, files, records.count(), stamp, only_unreviewed)
     top = spark.createDataFrame([(0, head)], "place long, block string")

@@ -12,20 +12,24 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 try:
     from tree_sitter_language_pack import get_parser
 except ImportError:
     get_parser = None
 
-PARSED = (
-    "path string, source_role string, language string, chunk_index long, chunk_id string, node_type string, "
-    "symbol string, start_line long, end_line long, byte_start long, byte_end long, parent_route array<string>, "
-    "parent_context string, content string, nodes array<struct<type:string,start:long,end:long>>, error string"
-)
+_NODE = pa.struct([("type", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+PARSED = pa.schema([
+    ("path", pa.string()), ("source_role", pa.string()), ("language", pa.string()), ("chunk_index", pa.int64()),
+    ("chunk_id", pa.string()), ("node_type", pa.string()), ("symbol", pa.string()), ("start_line", pa.int64()),
+    ("end_line", pa.int64()), ("byte_start", pa.int64()), ("byte_end", pa.int64()),
+    ("parent_route", pa.list_(pa.string())), ("parent_context", pa.string()), ("content", pa.string()),
+    ("nodes", pa.list_(_NODE)), ("error", pa.string()),
+])
 
 _NOISE = re.compile(rb'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', re.S)
 _FUNCTION = re.compile(rb"([A-Za-z_~][\w:~]*)\s*\([^;{}]*\)[^;{}()]*$")
@@ -119,19 +123,19 @@ def _has_error(language: str, source: bytes) -> str | None:
     return None
 
 
-def _chunks(row: pd.Series) -> list[dict]:
-    source = row.content.encode("utf-8")
-    base = {"path": row.path, "source_role": row.source_role, "language": row.language}
+def _chunks(row: dict) -> list[dict]:
+    source, language = row["content"].encode("utf-8"), row["language"]
+    base = {"path": row["path"], "source_role": row["source_role"], "language": language}
     try:
-        found = (python_units if row.language == "python" else cpp_units)(source)
-        error = _has_error(row.language, source)
+        found = (python_units if language == "python" else cpp_units)(source)
+        error = _has_error(language, source)
     except (SyntaxError, ValueError) as problem:
         return [{**base, "error": f"{type(problem).__name__}: {problem}"}]
     rows = []
     for index, (kind, name, start, end, route) in enumerate(found):
         piece = source[start:end]
-        identity = f"{row.path}:{kind}:{start}:{end}".encode()
-        is_case = kind == "function_definition" and row.language == "cpp"
+        identity = f"{row['path']}:{kind}:{start}:{end}".encode()
+        is_case = kind == "function_definition" and language == "cpp"
         rows.append({
             **base, "chunk_index": index, "chunk_id": hashlib.sha1(identity).hexdigest(), "node_type": kind,
             "symbol": name, "start_line": source.count(b"\n", 0, start) + 1,
@@ -142,23 +146,16 @@ def _chunks(row: pd.Series) -> list[dict]:
     return rows or ([{**base, "error": error}] if error else [])
 
 
-def _columns() -> list[str]:
-    return [part.split()[0] for part in PARSED.split(", ")]
-
-
 def parse_files(files: DataFrame) -> DataFrame:
     """Structural chunks of decoded files: one Arrow batch of files at a time.
 
     A file that cannot be parsed gives one row with `error` and no chunk.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for row in batch.itertuples(index=False) for r in _chunks(row)]
-            frame = pd.DataFrame(rows, columns=_columns())
-            for name in ("chunk_index", "start_line", "end_line", "byte_start", "byte_end"):
-                frame[name] = frame[name].astype("Int64")
-            yield frame
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist(_chunks(row), schema=PARSED)
 
     wanted = files.filter(F.col("language").isin("cpp", "python"))
-    return wanted.select("path", "source_role", "language", "content").mapInPandas(run, PARSED)
+    return wanted.select("path", "source_role", "language", "content").mapInArrow(run, from_arrow_schema(PARSED))

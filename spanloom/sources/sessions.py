@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.config import DEFAULT_TESTER, EXPORT_DIRECTORY, REVIEW_DIRECTORY
+from spanloom.functions.text import is_blank
+from spanloom.operators.interactions import numbered_in_session
 from spanloom.schemas import INTERACTION
 
 
@@ -15,21 +17,34 @@ def _relative(root: str):
     return F.element_at(F.split(full, f"/{name}/"), -1)
 
 
+def _scan(spark: SparkSession, root: str) -> DataFrame:
+    return (
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "session_*.jsonl")
+        .option("lineSep", "\n").text(root)
+    )
+
+
+def session_file_count(spark: SparkSession, root: str) -> int:
+    """Session files in the listing; a file without a line counts too."""
+    return sum(f"/{REVIEW_DIRECTORY}/" not in name for name in _scan(spark, root).inputFiles())
+
+
 def session_lines(spark: SparkSession, root: str) -> DataFrame:
     """(path, line_number, value) of every session file, review batches left out.
 
-    Line numbers come from the byte order inside each file; a session file is
-    one split, as it is written whole.
+    A line's number is its place in its split plus the lines of the splits of
+    the same file before it; a file has few splits.
     """
-    rows = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "session_*.jsonl")
-        .option("lineSep", "\n").text(root)
-        .select(_relative(root).alias("path"), F.monotonically_increasing_id().alias("_place"), "value")
-        .filter(~F.col("path").startswith(REVIEW_DIRECTORY + "/"))
+    rows = _scan(spark, root).select(
+        _relative(root).alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), "value",
+    ).filter(~F.col("path").startswith(REVIEW_DIRECTORY + "/"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("path", "block").agg(F.min("place").alias("first"), F.count("*").alias("lines")).select(
+        "path", "block", "first", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before")
     )
-    first = rows.groupBy("path").agg(F.min("_place").alias("_first"))
-    return rows.join(first, "path").select(
-        "path", (F.col("_place") - F.col("_first") + 1).alias("line_number"), "value"
+    return rows.join(splits, ["path", "block"]).select(
+        "path", (F.col("place") - F.col("first") + F.col("before") + 1).alias("line_number"), "value"
     )
 
 
@@ -48,11 +63,11 @@ def excluded_testers(lines: DataFrame) -> DataFrame:
 
 
 def interactions(lines: DataFrame) -> DataFrame:
-    """Typed interaction records of validated lines, in file order as `sequence`."""
-    record = F.from_json("value", INTERACTION)
+    """Typed interaction records of validated lines, numbered per file as `sequence`."""
+    filled = lines.filter(~is_blank(F.col("value")))
     return (
-        lines.filter("trim(value) <> ''").withColumn("r", record)
-        .select("r.*", F.col("path").alias("source_session_file"), F.col("line_number").alias("sequence"))
+        numbered_in_session(filled, "path", "line_number").withColumn("r", F.from_json("value", INTERACTION))
+        .select("r.*", F.col("path").alias("source_session_file"), "sequence")
     )
 
 
