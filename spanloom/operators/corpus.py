@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.config import CORPUS_REQUIRED_FIELDS, ChunkConfig
 from spanloom.functions import jsontext as J
+from spanloom.functions import text as T
 from spanloom.operators.scale import running
 
 
@@ -91,6 +92,46 @@ def threshold_counts(rows: DataFrame, size: Column, keys: Sequence[str], below:
     )
 
 
+def file_summaries(chunks: DataFrame) -> DataFrame:
+    """Per file: chunk count, sorted node types, and smallest, largest and mean size."""
+    size = F.col("byte_end") - F.col("byte_start")
+    return chunks.groupBy("file").agg(
+        F.count("*").alias("total_chunks"), F.array_sort(F.collect_set("node_type")).alias("node_types"),
+        F.min(size).alias("minimum_bytes"), F.max(size).alias("maximum_bytes"), F.avg(size).alias("average_bytes"),
+    )
+
+
+def file_checks(files: DataFrame, chunks: DataFrame, intact: DataFrame) -> DataFrame:
+    """One validation row per listed file.
+
+    `files` has file, language, content and purpose; `chunks` the raw chunks;
+    `intact` counts of syntax nodes with exact chunks per file and type. Files
+    that are not source code are listed but not checked.
+    """
+    checked = F.col("language").isin("python", "cpp")
+    size = F.col("byte_end") - F.col("byte_start")
+    sizes = distribution(chunks.withColumn("size", size), "size", ["file"]).withColumnRenamed("count", "raw_chunk_count")
+    extremes = threshold_counts(chunks, size, ["file"], [100], [5000])
+    whole = intact.groupBy("file").agg(F.bool_and("all_intact").alias("all_intact"))
+    rows = files.withColumn("line_count", T.line_count(F.col("content"))).drop("content")
+    for part in (sizes, extremes, whole):
+        rows = rows.join(part, "file", "left")
+    numbers = ["raw_chunk_count", "min", "max", "mean", "median", "lt_100_bytes", "gt_5000_bytes"]
+    for name in numbers:
+        rows = rows.withColumn(name, F.when(checked, F.coalesce(name, F.lit(0))))
+    return rows.withColumn("chunking_checked", checked).withColumn(
+        "all_intact", F.when(checked, F.coalesce("all_intact", F.lit(True)))
+    )
+
+
+def most_common(chunks: DataFrame) -> DataFrame:
+    """Node types per file with their place by count, ties by name."""
+    counts = chunks.groupBy("file", "node_type").agg(F.count("*").alias("chunks"))
+    order = Window.partitionBy("file").orderBy(F.col("chunks").desc(), "node_type")
+    # One row per node type of a file.
+    return counts.withColumn("place", F.row_number().over(order))
+
+
 def summary(chunks: DataFrame, config: ChunkConfig = ChunkConfig()) -> dict:
     """The corpus summary: counts by role, repository and type, and byte sizes."""
     sized = chunks.select("source_role", "repository", "chunk_type",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,14 +117,19 @@ def postings(chunks: DataFrame) -> DataFrame:
     )
 
 
-def term_statistics(postings_df: DataFrame) -> DataFrame:
-    """Document frequency of each term."""
-    return postings_df.filter("tf > 0").groupBy("term").agg(F.count("*").alias("df"))
+def term_statistics(chunks: DataFrame) -> DataFrame:
+    """Document frequency of each term. Chunks are counted before the shuffle."""
+    return chunks.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(
+        F.count("*").alias("df")
+    )
 
 
-def corpus_statistics(lengths: DataFrame) -> DataFrame:
-    """One row: number of chunks and their average length, empty chunks included."""
-    return lengths.agg(F.count("*").alias("chunks"), F.avg("length").alias("avg_length"))
+def corpus_statistics(chunks: DataFrame) -> DataFrame:
+    """One row: chunks, their average length (empty ones included) and postings."""
+    return chunks.agg(
+        F.count("*").alias("chunks"), F.avg("length").alias("avg_length"),
+        F.coalesce(F.sum(F.size(F.array_distinct("tokens"))), F.lit(0)).alias("postings"),
+    )
 
 
 def idf(total: Column, df: Column) -> Column:
@@ -170,10 +176,7 @@ def build_index(chunks: DataFrame, path: str, config: RankingConfig) -> LexicalI
     numbered = analyzed(spread(chunks), config).withColumn("chunk_no", F.monotonically_increasing_id())
     numbered.write.parquet(f"{path}/chunks")
     stored = spark.read.parquet(f"{path}/chunks").withColumn("length", F.size("tokens"))
-    stats = corpus_statistics(stored).crossJoin(
-        # One row each side.
-        stored.agg(F.coalesce(F.sum(F.size(F.array_distinct("tokens"))), F.lit(0)).alias("postings"))
-    ).first()
+    stats = corpus_statistics(stored).first()
     if not stats["chunks"]:
         raise ValueError("The corpus is empty.")
     buckets = max(1, min(MAX_BUCKETS, -(-stats["postings"] // POSTINGS_PER_BUCKET)))
@@ -181,20 +184,27 @@ def build_index(chunks: DataFrame, path: str, config: RankingConfig) -> LexicalI
         [(stats["chunks"], float(stats["avg_length"]), buckets)], "chunks long, avg_length double, buckets int"
     ).coalesce(1).write.parquet(f"{path}/statistics")
 
-    rows = postings(stored).withColumn("bucket", bucket_of(F.col("term"), buckets))
-    (
-        rows.repartitionByRange("bucket", "term", "chunk_no")
-        .sortWithinPartitions("bucket", "term", "chunk_no")
-        .write.partitionBy("bucket").parquet(f"{path}/postings")
-    )
-    written = spark.read.parquet(f"{path}/postings")
-    (
-        term_statistics(written).withColumn("bucket", bucket_of(F.col("term"), buckets))
-        .repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term")
-        .write.partitionBy("bucket").parquet(f"{path}/terms")
-    )
-    evidence_heads(stored, HEAD_ROWS).write.parquet(f"{path}/heads")
-    role_heads(spark.read.parquet(f"{path}/heads"), HEAD_ROWS).write.parquet(f"{path}/role_heads")
+    def bucketed(rows: DataFrame, order: list[str], name: str) -> None:
+        keys = ["bucket", *order]
+        (
+            rows.withColumn("bucket", bucket_of(F.col("term"), buckets))
+            .repartitionByRange(*keys).sortWithinPartitions(*keys)
+            .write.partitionBy("bucket").parquet(f"{path}/{name}")
+        )
+
+    def heads() -> None:
+        evidence_heads(stored, HEAD_ROWS).write.parquet(f"{path}/heads")
+        role_heads(spark.read.parquet(f"{path}/heads"), HEAD_ROWS).write.parquet(f"{path}/role_heads")
+
+    jobs = [
+        lambda: bucketed(postings(stored), ["term", "chunk_no"], "postings"),
+        lambda: bucketed(term_statistics(stored), ["term"], "terms"),
+        heads,
+    ]
+    # Independent of each other: run side by side, so that none leaves cores idle.
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for job in [pool.submit(job) for job in jobs]:
+            job.result()
     return LexicalIndex(path, buckets)
 
 

@@ -16,6 +16,9 @@ UNITS = 1e12
 # Distinct query terms up to which the scan gets the terms themselves as a filter.
 LITERAL_TERMS = 2_000
 QUERY_TERMS = 1_000_000
+# Queries up to which their features are broadcast. A query has at most one row
+# per role in them, so this bounds those rows too.
+QUERY_ROWS = 20_000
 
 BOOSTS = ("symbol_boost", "path_boost", "role_boost", "repository_boost")
 
@@ -115,8 +118,8 @@ def term_hits(index: LexicalIndex, terms: DataFrame, config: RankingConfig) -> D
     keyed = terms.withColumn("bucket", bucket_of(F.col("term"), index.buckets))
     found, weights = index.table(spark, "postings"), index.table(spark, "terms")
     distinct = keyed.select("bucket", "term").distinct()
-    if at_most(distinct, LITERAL_TERMS):
-        rows = distinct.collect()  # bounded by LITERAL_TERMS
+    rows = distinct.limit(LITERAL_TERMS + 1).collect()
+    if len(rows) <= LITERAL_TERMS:
         wanted = F.col("bucket").isin(sorted({r["bucket"] for r in rows})) & F.col("term").isin(
             sorted({r["term"] for r in rows})
         )
@@ -139,7 +142,7 @@ def term_hits(index: LexicalIndex, terms: DataFrame, config: RankingConfig) -> D
     )
 
 
-def candidates(index: LexicalIndex, features: DataFrame, config: RankingConfig, top_k: int) -> DataFrame:
+def candidates(index: LexicalIndex, features: DataFrame, config: RankingConfig, top_k: int, few: bool) -> DataFrame:
     """Every (query, chunk) that may have a place in the top-k, with its summed parts.
 
     A path or symbol-word match implies a term match, and a whole-symbol match
@@ -163,8 +166,8 @@ def candidates(index: LexicalIndex, features: DataFrame, config: RankingConfig,
         "query_id", F.col("target_repository").alias("repository")
     )
     flat = [
-        join_small(roles.filter(F.col("head_rank") <= top_k), by_role, ["source_role"], "chunk_no"),
-        join_small(pairs.filter(F.col("head_rank") <= top_k), by_repository, ["repository"], "chunk_no"),
+        join_small(roles.filter(F.col("head_rank") <= top_k), by_role, ["source_role"], "chunk_no", proven=few),
+        join_small(pairs.filter(F.col("head_rank") <= top_k), by_repository, ["repository"], "chunk_no", proven=few),
     ]
     nothing = [F.lit(0).alias(name) for name in _PARTS]
     for part in flat:
@@ -179,12 +182,13 @@ def scored(index: LexicalIndex, queries: DataFrame, config: RankingConfig, top_k
     `described` adds the rest to the few rows that are kept.
     """
     features = query_features(queries, config)
-    found = candidates(index, features, config, top_k)
+    few = at_most(queries, QUERY_ROWS)
+    found = candidates(index, features, config, top_k, few)
     chunks = index.table(queries.sparkSession, "chunks").select(
         "chunk_no", "chunk_id", "evidence_key", "repository", "source_role", "symbol_words",
     )
     asked = features.select("query_id", "schema_intent", "hinted_roles", "target_repository")
-    rows = join_small(found.join(chunks, "chunk_no"), asked, ["query_id"], spread_by="chunk_no")
+    rows = join_small(found.join(chunks, "chunk_no"), asked, ["query_id"], spread_by="chunk_no", proven=few)
     parts = rows.select(
         "query_id", "chunk_no", "chunk_id", "evidence_key", (F.col("units") / F.lit(UNITS)).alias("lexical"),
         symbol_boost(config).alias("symbol_boost"), path_boost(config).alias("path_boost"),
@@ -234,3 +238,12 @@ def result_rows(results: DataFrame, debug: bool = False) -> DataFrame:
             F.round("score", 6).alias("final"),
         ).alias("score_components"))
     return results.select(*columns)
+
+
+def result_report(results: DataFrame) -> DataFrame:
+    """Results of each query as one array in rank order; at most top_k rows each."""
+    rows = F.array_sort(F.collect_list(F.struct(
+        "rank", F.round("score", 6).alias("score"), "repository", "source_role", "source_path", "chunk_type",
+        F.col("label").alias("symbol_or_section_title"), "start_line", "end_line",
+    )))
+    return results.groupBy("query_id").agg(rows.alias("top_k_results"))

@@ -29,15 +29,15 @@ def spread(scan: DataFrame) -> DataFrame:
 
 def join_small(
     large: DataFrame, small: DataFrame, on: Sequence[str], spread_by: str,
-    max_rows: int = BROADCAST_ROWS, salts: int = SALTS,
+    max_rows: int = BROADCAST_ROWS, salts: int = SALTS, proven: bool | None = None,
 ) -> DataFrame:
     """Inner join of a skewed side with a side that is usually small.
 
-    The small side is broadcast once its row count is known to be in bounds.
-    Otherwise the rows of a hot key are spread over `salts` tasks by a hash of
+    The small side is broadcast once its row count is known to be in bounds,
+    from a caller's check (`proven`) or from one made here. Otherwise the rows of a hot key are spread over `salts` tasks by a hash of
     `spread_by`, and the other side is copied once per salt.
     """
-    if at_most(small, max_rows):
+    if at_most(small, max_rows) if proven is None else proven:
         return large.join(F.broadcast(small), list(on))
     salted = large.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))

@@ -268,6 +268,19 @@ def line_table(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     ).drop("bytes")
 
 
+def header_conflicts(functions: DataFrame) -> DataFrame:
+    """Headers strictly inside a node other than a comment, with that node's type."""
+    found = functions.select(
+        "chunk_id", "nodes", F.explode(headers(header_blocks(F.col("content")))).alias("h")
+    )
+    around = F.filter("nodes", lambda n: (n["type"] != "comment") & (n["start"] < F.col("h.local_byte_start"))
+                      & (F.col("h.local_byte_start") < n["end"]))
+    return found.select("chunk_id", "h", F.explode(around).alias("n")).select(
+        "chunk_id", F.col("h.title").alias("title"), F.col("h.relative_line").alias("relative_line"),
+        F.col("n.type").alias("containing_node_type"),
+    )
+
+
 def section_chunks(functions: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Section chunks of functions that have usable headers.
 
@@ -303,7 +316,13 @@ def section_chunks(functions: DataFrame, config: ChunkConfig = ChunkConfig()) ->
 
 
 def _parent_fields(name: str) -> list[Column]:
-    return [F.col("chunk_id").alias("parent_chunk_id"), F.lit(name).alias("selection_kind")]
+    """The function a piece is from, with its whole span."""
+    return [
+        F.col("chunk_id").alias("parent_chunk_id"), F.lit(name).alias("selection_kind"),
+        F.col("start_line").alias("parent_start_line"), F.col("end_line").cast("long").alias("parent_end_line"),
+        F.col("byte_start").alias("parent_byte_start"),
+        (F.col("byte_start") + F.octet_length("content")).alias("parent_byte_end"),
+    ]
 
 
 def whole_chunks(functions: DataFrame) -> DataFrame:

@@ -269,6 +269,22 @@ def main_functions(chunks: DataFrame) -> DataFrame:
     return top_rows(hits, ["file"], [F.col("chunk_index")], 1, "_first").drop("_first")
 
 
+def main_children(chunks: DataFrame) -> DataFrame:
+    """Chunks strictly inside the main function of their file, with that function's index.
+
+    One main function per file meets the file's chunks: a row per chunk at most.
+    """
+    mains = main_functions(chunks).select(
+        "file", F.col("chunk_index").alias("main_index"), F.col("byte_start").alias("main_start"),
+        F.col("byte_end").alias("main_end"),
+    )
+    inside = (F.col("main_start") <= F.col("byte_start")) & (F.col("byte_end") <= F.col("main_end"))
+    larger = (F.col("main_end") - F.col("main_start")) > size()
+    return chunks.join(mains, "file").filter(inside & larger).select(
+        "file", "main_index", "chunk_index", "node_type", "byte_start", "byte_end"
+    )
+
+
 def exact_span_matches(nodes: DataFrame, spans: DataFrame) -> DataFrame:
     """Syntax nodes per file and type, and how many have a chunk of their exact span.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.config import DEFAULT_TESTER, EXPORT_DIRECTORY, REVIEW_DIRECTORY
@@ -48,6 +48,19 @@ def session_lines(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def path_problem(path: Column) -> Column:
+    """Why a path under the log root is no session file, or null."""
+    parts = F.split(path, "/")
+    name = F.element_at(parts, -1)
+    return (
+        F.when(path.startswith("/") | F.array_contains(parts, "..") | F.array_contains(parts, ""),
+               "Session path must be inside the log root.")
+        .when((F.size(parts) != 2) | parts[0].isin(REVIEW_DIRECTORY, EXPORT_DIRECTORY),
+              "Session file must be directly inside a tester directory.")
+        .when(~(name.startswith("session_") & name.endswith(".jsonl")), "Session filename must match session_*.jsonl.")
+    )
+
+
 def exportable(lines: DataFrame) -> DataFrame:
     """Sessions directly inside a tester directory that may be exported."""
     parts = F.split("path", "/")

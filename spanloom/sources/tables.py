@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.operators.scale import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts take long per row, over all cores even when read in one split."""
+    return spread(table(spark, sf_dir, name))
+
+
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` as a corpus: source is the repository, language the role.
 

@@ -9,6 +9,7 @@ from spanloom.functions import render as R
 from spanloom.operators import interactions as I
 from spanloom.plans.review import review_blocks, session_blocks
 from spanloom.schemas import SOURCE
+from spanloom.sources.sessions import excluded_testers, exportable, path_problem
 from spanloom.sources.tables import table
 
 
@@ -155,6 +156,27 @@ def raw_lines(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(path.alias("path"), (t + 1).alias("line_number"), value.alias("value"))
 
 
+def session_paths(spark, sf_dir):
+    """Customer names as file paths of several shapes under the log root."""
+    n = F.col("c_custkey")
+    path = F.element_at(F.array(
+        F.concat(F.lit("amy/session_"), n, F.lit(".jsonl")), F.concat(F.lit("amy/notes_"), n, F.lit(".jsonl")),
+        F.concat(F.lit("review_batches/session_"), n, F.lit(".jsonl")), F.concat(F.lit("../x/session_"), n, F.lit(".jsonl")),
+        F.concat(F.lit("a/b/session_"), n, F.lit(".jsonl")), F.concat(F.lit("/session_"), n, F.lit(".jsonl"))), (n % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select(path.alias("path"), path_problem(path).alias("problem"))
+
+
+def exportable_sessions(spark, sf_dir):
+    """Session files kept for export, and the development tester left out."""
+    n = F.col("c_custkey")
+    tester = F.element_at(F.array(*[F.lit(t) for t in ("amy", "local_tester", ".hidden", "markdown_exports", "bob/deep")]), (n % 5 + 1).cast("int"))
+    lines = table(spark, sf_dir, "customer").select(
+        F.concat(tester, F.lit("/session_"), n % 40, F.lit(".jsonl")).alias("path"), n.alias("line_number"), F.col("c_name").alias("value"))
+    kept = exportable(lines).groupBy("path").agg(F.count("*").alias("lines"))
+    out = excluded_testers(lines).select(F.concat(F.lit("excluded: "), "tester_id").alias("path"), F.lit(0).cast("long").alias("lines"))
+    return kept.unionByName(out)
+
+
 def review_violations(spark, sf_dir):
     return I.review_violations(raw_lines(spark, sf_dir))
 
@@ -333,6 +355,11 @@ WORKLOADS = {
         SELECT place, {_REVIEW_BLOCK} AS block FROM o"""),
     "session_report": (session_report, _REPORT),
     "source_listings": (source_listings, f"WITH {_ANSWERS} SELECT interaction_id, {_REVIEW_SOURCES} AS review, {_EXPORT_SOURCES} AS export FROM built"),
+    "session_paths": (session_paths, """SELECT ['amy/session_','amy/notes_','review_batches/session_','../x/session_','a/b/session_','/session_'][c_custkey % 6 + 1] || c_custkey || '.jsonl' AS path,
+        [NULL, 'Session filename must match session_*.jsonl.', 'Session file must be directly inside a tester directory.', 'Session path must be inside the log root.',
+         'Session file must be directly inside a tester directory.', 'Session path must be inside the log root.'][c_custkey % 6 + 1] AS problem FROM customer"""),
+    "exportable_sessions": (exportable_sessions, """SELECT 'amy/session_' || c_custkey % 40 || '.jsonl' AS path, count(*) AS lines FROM customer WHERE c_custkey % 5 = 0 GROUP BY 1
+        UNION ALL SELECT DISTINCT 'excluded: local_tester', CAST(0 AS BIGINT) FROM customer WHERE c_custkey % 5 = 1"""),
     "review_violations": (review_violations, f"""WITH {_LINES} SELECT path, line_number, problem FROM (SELECT *, CASE WHEN kind = 'bad' THEN 'invalid JSON' WHEN kind = 'array' THEN 'JSONL value must be an object'
         WHEN n % 19 = 4 THEN 'missing required field(s): raw_answer' WHEN n % 13 IN (1, 2) THEN 'interaction_id must be a non-empty string' END AS problem FROM x WHERE kind <> 'blank') WHERE problem IS NOT NULL"""),
     "session_violations": (session_violations, f"""WITH {_LINES} SELECT path, line_number, problem FROM (SELECT *, {_SESSION_CASE.format(last="n % 7 IN (0, 2) THEN 'unsupported rating value'")}

@@ -11,7 +11,7 @@ from spanloom.functions import text as T
 from spanloom.operators.evidence import evidence_text, pack_evidence, prompts, with_content
 from spanloom.operators.index import LexicalIndex, build_index, idf
 from spanloom.operators.ranking import (
-    UNITS, best_evidence, query_features, query_terms, result_rows, scored, search, term_hits,
+    UNITS, best_evidence, query_features, query_terms, result_report, result_rows, scored, search, term_hits,
 )
 from spanloom.operators.scale import top_rows
 from spanloom.plans.retrieval import Retriever
@@ -165,6 +165,13 @@ def evidence_preview(spark, sf_dir):
         "query_id", F.col("rank").cast("long").alias("rank"), R.evidence_preview().alias("preview"))
 
 
+def search_report(spark, sf_dir):
+    """Per query, its ranked results as one value."""
+    report = result_report(search(index_of(spark, sf_dir), benchmark_queries(spark, sf_dir), CONFIG, TOP_K))
+    return report.select("query_id", F.array_join(F.transform(
+        "top_k_results", lambda r: F.concat_ws("|", r["rank"].cast("string"), r["source_path"], r["end_line"].cast("string"))), ";").alias("results"))
+
+
 def answer_records(spark, sf_dir):
     retriever = Retriever(spark, document_chunks(spark, sf_dir), CONFIG, index_of(spark, sf_dir))
     return retriever.answer(benchmark_queries(spark, sf_dir), TOP_K, model="none").select(
@@ -364,6 +371,8 @@ WORKLOADS = {
         SELECT query_id, rank, '**' || rank || '. ' || repository || ' | ' || source_role || '**' || chr(10) || '`' || source_path || '`'
                || chr(10) || 'Lines ' || start_line || '-' || end_line || ' | ' || coalesce(label, '(unnamed chunk)') || chr(10)
                || {preview_sql("content", 300)} AS preview FROM ranked"""),
+    "search_report": (search_report, f"""WITH {ranked_sql(BENCHMARK_SQL, TOP_K)}
+        SELECT query_id, string_agg(rank || '|' || source_path || '|' || end_line, ';' ORDER BY rank) AS results FROM ranked GROUP BY query_id"""),
     "answer_records": (answer_records, f"""WITH {prompts_sql()}
         SELECT query_id, NULL::VARCHAR AS answer, 'none' AS model, 'OpenAI SDK default' AS base_url, false AS success,
                CASE WHEN sources IS NULL THEN 'No retrieval evidence was found for the query.' ELSE 'No answer client is configured.' END AS error,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.config import PREAMBLE_TITLE, ChunkConfig
 from spanloom.operators import sections as S
 from spanloom.operators.corpus import threshold_counts
-from spanloom.sources.tables import table
+from spanloom.sources.tables import texts
 
 # Smaller limits than the default ones, so that most documents are oversized.
 CONFIG = ChunkConfig(oversized_bytes=600, window_lines=4)
@@ -28,7 +28,7 @@ def functions(spark, sf_dir):
             .when((i % 9 == 1) & (F.col("doc_id") % 4 != 3), F.concat(F.lit("// "), line)).otherwise(line)
         )
 
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("file"), F.col("source").alias("source_path"),
         F.array_join(F.transform(lines, shaped), "\n").alias("content"),
         F.lit(10).cast("long").alias("start_line"), (F.size(lines) + 9).cast("long").alias("end_line"),
@@ -61,13 +61,23 @@ def header_blocks(spark, sf_dir):
 
 def safe_headers(spark, sf_dir):
     """Headers against nodes that span two lines, so that some fall inside one."""
+    rows = _wide_nodes(spark, sf_dir).select(
+        "chunk_id", S.safe_headers(S.headers(S.header_blocks(F.col("content"))), F.col("nodes")).alias("safe"))
+    return rows.select("chunk_id", F.explode("safe").alias("h")).select(
+        "chunk_id", F.col("h.local_byte_start").alias("local_byte_start"))
+
+
+def _wide_nodes(spark, sf_dir):
+    """Every fifth line as a node that reaches into the next one."""
     base = with_nodes(spark, sf_dir)
     wide = F.transform(
         F.filter("nodes", lambda n, i: i % 5 == 0),
         lambda n: F.struct(F.lit("for_statement").alias("type"), n["start"].alias("start"), (n["end"] + 2).alias("end")))
-    rows = base.select("chunk_id", S.headers(S.header_blocks(F.col("content"))).alias("found"), wide.alias("wide"))
-    return rows.select("chunk_id", F.explode(S.safe_headers(F.col("found"), F.col("wide"))).alias("h")).select(
-        "chunk_id", F.col("h.local_byte_start").alias("local_byte_start"))
+    return base.withColumn("nodes", wide)
+
+
+def header_conflicts(spark, sf_dir):
+    return S.header_conflicts(_wide_nodes(spark, sf_dir)).withColumn("relative_line", F.col("relative_line").cast("long"))
 
 
 def section_spans(spark, sf_dir):
@@ -125,7 +135,7 @@ def policy_comparison(spark, sf_dir):
 def byte_line_numbers(spark, sf_dir):
     """Lines at the first, middle and last third of each text's bytes."""
     size = F.octet_length("text")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array(
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array(
         F.lit(0), (size / 3).cast("int"), (size * 2 / 3).cast("int"), size)).alias("offset"))
     return docs.select("doc_id", F.col("offset").cast("long").alias("offset"), S.line_at(F.col("text"), F.col("offset")).alias("line"),
                        S.last_line_before(F.col("text"), F.col("offset")).alias("last_line"))
@@ -133,7 +143,7 @@ def byte_line_numbers(spark, sf_dir):
 
 def byte_slices(spark, sf_dir):
     """The middle line of each text cut out by its byte range."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    docs = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     lines = S.line_table(docs)
     pick = lines.withColumn("n", F.count("*").over(Window.partitionBy("chunk_id"))).filter("line_index = floor(n / 2)")
     return pick.join(docs, "chunk_id").select(
@@ -193,6 +203,8 @@ WORKLOADS = {
     "section_headers": (header_blocks, f"WITH {_FUNCTIONS} SELECT chunk_id, CASE WHEN issue IS NULL THEN title END AS title, local_byte_start, relative_line, issue FROM judged"),
     "safe_headers": (safe_headers, f"""WITH {_FUNCTIONS}, wide AS (SELECT chunk_id, s, e + 2 AS e FROM nodes QUALIFY (row_number() OVER (PARTITION BY chunk_id ORDER BY s) - 1) % 5 = 0)
         SELECT chunk_id, local_byte_start FROM heads h WHERE NOT EXISTS (SELECT 1 FROM wide n WHERE n.chunk_id = h.chunk_id AND n.s < h.local_byte_start AND h.local_byte_start < n.e)"""),
+    "header_conflicts": (header_conflicts, f"""WITH {_FUNCTIONS}, wide AS (SELECT chunk_id, s, e + 2 AS e FROM nodes QUALIFY (row_number() OVER (PARTITION BY chunk_id ORDER BY s) - 1) % 5 = 0)
+        SELECT h.chunk_id, title, relative_line, 'for_statement' AS containing_node_type FROM heads h JOIN wide n ON n.chunk_id = h.chunk_id AND n.s < h.local_byte_start AND h.local_byte_start < n.e"""),
     "section_spans": (section_spans, f"""WITH {_SECTIONS} SELECT chunk_id AS function, section_index, title AS section_title, 'semantic_section' AS chunk_type,
         sha1(chunk_id || ':e1:' || section_index || ':0:' || s || ':' || e) AS chunk_id, 9 + {_LINE.format(c='sections.chunk_id', o='s')} AS start_line,
         CASE WHEN e = 0 THEN 10 ELSE 9 + {_LAST.format(c='sections.chunk_id', o='e')} END AS end_line, 100 + s AS byte_start, 100 + e AS byte_end,

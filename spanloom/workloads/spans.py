@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions.render import table_row, two_decimals
+from spanloom.operators import corpus as C
 from spanloom.operators import spans as S
 from spanloom.operators.corpus import distribution, threshold_counts
 from spanloom.sources.tables import table
@@ -133,6 +134,45 @@ def main_function(spark, sf_dir):
     return S.main_functions(docs).select("file", "chunk_index", F.length("content").cast("long").alias("chars"))
 
 
+def _documents_as_chunks(spark, sf_dir):
+    start = F.col("doc_id") % 50
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("file"), F.col("doc_id").alias("chunk_index"), start.alias("byte_start"),
+        (start + F.octet_length("text") % 400).alias("byte_end"),
+        F.when(F.col("doc_id") % 3 == 0, "function_definition").otherwise("declaration").alias("node_type"),
+        F.regexp_replace("text", r"\bwith ", "main (").alias("content"))
+
+
+def main_children(spark, sf_dir):
+    return S.main_children(_documents_as_chunks(spark, sf_dir))
+
+
+def file_summaries(spark, sf_dir):
+    return C.file_summaries(span_table(spark, sf_dir)).select(
+        "file", "total_chunks", F.array_join("node_types", ",").alias("node_types"), "minimum_bytes", "maximum_bytes",
+        F.round("average_bytes", 6).alias("average_bytes"))
+
+
+def most_common_types(spark, sf_dir):
+    return C.most_common(span_table(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
+
+
+def file_checks(spark, sf_dir):
+    """Suppliers as listed files: source files checked against their spans, others listed."""
+    files = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("file"), F.col("s_name").alias("purpose"), F.concat("s_name", F.lit("\nx")).alias("content"),
+        F.element_at(F.array(F.lit("cpp"), F.lit("python"), F.lit("json")), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("language"))
+    spans = span_table(spark, sf_dir)
+    nodes = spans.filter("chunk_index % 11 = 0").withColumn(
+        "node_type", F.when(F.col("node_type") == "method_declaration", "function_definition").otherwise(F.col("node_type")))
+    intact = S.exact_span_matches(nodes, spans.filter("chunk_index % 13 <> 0"))
+    return C.file_checks(files, spans, intact).select(
+        "file", "purpose", "language", "chunking_checked", F.col("line_count").cast("long").alias("line_count"),
+        F.coalesce("raw_chunk_count", F.lit(-1)).alias("raw_chunk_count"), F.coalesce("median", F.lit(-1.0)).alias("median"),
+        F.coalesce("lt_100_bytes", F.lit(-1)).alias("tiny"), F.coalesce("gt_5000_bytes", F.lit(-1)).alias("oversized"),
+        F.coalesce(F.col("all_intact").cast("string"), F.lit("not checked")).alias("intact"))
+
+
 def file_sizes(spark, sf_dir):
     """Size distribution per file."""
     sized = span_table(spark, sf_dir).withColumn("size", S.size())
@@ -209,6 +249,24 @@ WORKLOADS = {
           ON r.file = s.file AND s.byte_start < range_end AND range_start < s.byte_end GROUP BY ALL"""),
     "find_main": (main_function, r"""SELECT source AS file, doc_id AS chunk_index, length(regexp_replace(text, '\bwith ', 'main (', 'g')) AS chars FROM documents
         WHERE regexp_matches(regexp_replace(text, '\bwith ', 'main (', 'g'), '\bmain\s*\(') QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1"""),
+    "main_children": (main_children, r"""WITH c AS (SELECT source AS file, doc_id AS chunk_index, doc_id % 50 AS byte_start, doc_id % 50 + strlen(text) % 400 AS byte_end,
+          CASE WHEN doc_id % 3 = 0 THEN 'function_definition' ELSE 'declaration' END AS node_type, regexp_replace(text, '\bwith ', 'main (', 'g') AS content FROM documents),
+        m AS (SELECT * FROM c WHERE node_type = 'function_definition' AND regexp_matches(content, '\bmain\s*\(') QUALIFY row_number() OVER (PARTITION BY file ORDER BY chunk_index) = 1)
+        SELECT c.file, m.chunk_index AS main_index, c.chunk_index, c.node_type, c.byte_start, c.byte_end FROM c JOIN m ON m.file = c.file AND m.byte_start <= c.byte_start
+          AND c.byte_end <= m.byte_end AND m.byte_end - m.byte_start > c.byte_end - c.byte_start""".replace("\\", "\\")),
+    "file_summaries": (file_summaries, f"""WITH {_SPANS_SQL} SELECT file, count(*) AS total_chunks, string_agg(DISTINCT node_type, ',' ORDER BY node_type) AS node_types,
+        min(byte_end - byte_start) AS minimum_bytes, max(byte_end - byte_start) AS maximum_bytes, round(avg(byte_end - byte_start), 6) AS average_bytes FROM spans GROUP BY file"""),
+    "most_common_types": (most_common_types, f"""WITH {_SPANS_SQL}, g AS (SELECT file, node_type, count(*) AS chunks FROM spans GROUP BY ALL)
+        SELECT *, row_number() OVER (PARTITION BY file ORDER BY chunks DESC, node_type) AS place FROM g"""),
+    "file_checks": (file_checks, f"""WITH {_SPANS_SQL}, nodes AS (SELECT file, byte_start, byte_end, CASE WHEN node_type = 'method_declaration' THEN 'function_definition' ELSE node_type END AS node_type
+          FROM spans WHERE chunk_index % 11 = 0),
+        hit AS (SELECT DISTINCT file, byte_start, byte_end, CASE WHEN node_type = 'method_declaration' THEN 'function_definition' ELSE node_type END AS node_type FROM spans WHERE chunk_index % 13 <> 0),
+        i AS (SELECT n.file, bool_and(h.file IS NOT NULL) AS ok FROM nodes n LEFT JOIN hit h USING (file, byte_start, byte_end, node_type) GROUP BY 1),
+        z AS (SELECT file, count(*) AS n, median(byte_end - byte_start) AS med, count(*) FILTER (byte_end - byte_start < 100) AS tiny, count(*) FILTER (byte_end - byte_start > 5000) AS big FROM spans GROUP BY 1),
+        f AS (SELECT s_suppkey AS file, s_name AS purpose, ['cpp','python','json'][s_suppkey % 3 + 1] AS language, s_suppkey % 3 <> 2 AS checked FROM supplier)
+        SELECT f.file, purpose, language, checked AS chunking_checked, CAST(2 AS BIGINT) AS line_count, CASE WHEN checked THEN coalesce(n, 0) ELSE -1 END AS raw_chunk_count,
+          CASE WHEN checked THEN coalesce(med, 0) ELSE -1.0::DOUBLE END AS median, CASE WHEN checked THEN coalesce(tiny, 0) ELSE -1 END AS tiny, CASE WHEN checked THEN coalesce(big, 0) ELSE -1 END AS oversized,
+          CASE WHEN checked THEN CASE WHEN coalesce(ok, true) THEN 'true' ELSE 'false' END ELSE 'not checked' END AS intact FROM f LEFT JOIN z USING (file) LEFT JOIN i USING (file)"""),
     "span_size_distribution": (file_sizes, f"""WITH {_SPANS_SQL} SELECT file, count(*) AS count, min(byte_end - byte_start) AS min, max(byte_end - byte_start) AS max,
         round(avg(byte_end - byte_start), 6) AS mean, median(byte_end - byte_start) AS median FROM spans GROUP BY file"""),
     "node_type_histogram": (type_histogram, f"WITH {_SPANS_SQL} SELECT file, node_type, count(*) AS chunks FROM spans GROUP BY ALL"),

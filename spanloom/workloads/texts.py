@@ -10,7 +10,7 @@ from spanloom.functions import paths as P
 from spanloom.functions import render as R
 from spanloom.functions import text as T
 from spanloom.operators.interactions import category_heading, category_place
-from spanloom.sources.tables import table
+from spanloom.sources.tables import table, texts
 from spanloom.workloads.retrieval import preview_sql
 
 PACKAGE = "sim"
@@ -18,12 +18,12 @@ PACKAGE = "sim"
 
 def content_preview(spark, sf_dir):
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id", T.preview(text).alias("short"), T.preview(text, 300).alias("long"))
 
 
 def canonical_symbol(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.canonical(F.col("text")), 256).alias("canonical_sha"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.sha2(T.canonical(F.col("text")), 256).alias("canonical_sha"))
 
 
 def sanitize_ids(spark, sf_dir):
@@ -35,7 +35,7 @@ def sanitize_ids(spark, sf_dir):
 def fence_width(spark, sf_dir):
     """Vowels become backticks, so that texts hold runs of several lengths."""
     ticks = F.regexp_replace("text", "[aeiou]", "`")
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id", T.longest_backtick_run(ticks).cast("long").alias("longest_run"),
         F.sha2(T.fenced(ticks), 256).alias("fenced_sha"), F.sha2(T.inline_code(ticks), 256).alias("inline_sha"))
 
@@ -43,7 +43,7 @@ def fence_width(spark, sf_dir):
 def answer_markdown(spark, sf_dir):
     """Some lines become fences, so that texts hold even and odd numbers of them."""
     marked = F.regexp_replace("text", "(?m)^[AET][a-z]", "````")
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id", F.sha2(T.balanced_markdown(marked), 256).alias("markdown_sha"),
         F.length(T.balanced_markdown(marked)).cast("long").alias("chars"))
 
@@ -106,21 +106,21 @@ def time_stamps(spark, sf_dir):
 
 def line_counts(spark, sf_dir):
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id", T.newline_count(text).cast("long").alias("newlines"), T.line_count(text).cast("long").alias("lines"),
         F.size(T.lines(text)).cast("long").alias("split_lines"))
 
 
 def fingerprints(spark, sf_dir):
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id", T.fingerprint(text).alias("sha256_12"), F.sha1(F.concat_ws(":", "source", text)).alias("chunk_sha1"))
 
 
 def redact_text(spark, sf_dir):
     """Whole texts with credentials planted after some of their words."""
     planted = F.regexp_replace("text", r"\b(the|der|les) ", r"Bearer $1 api-key=$1 password: $1; ")
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id", F.sha2(J.redact_text(planted), 256).alias("redacted_sha"),
         (J.redact_text(F.col("text")) != F.col("text")).alias("changed"),
         J.safe_message(planted).alias("message"))
@@ -151,7 +151,7 @@ def secret_key_scan(spark, sf_dir):
 
 def status_texts(spark, sf_dir):
     n = F.col("doc_id")
-    rows = table(spark, sf_dir, "documents").select(
+    rows = texts(spark, sf_dir, "documents").select(
         "doc_id", (n % 3 == 0).alias("success"),
         F.when(n % 3 == 1, F.col("text")).alias("error"), F.when(n % 2 == 0, F.col("lang")).alias("model"),
         F.when(n % 4 == 0, F.col("source")).alias("base_url"), F.lit(5).alias("top_k"),

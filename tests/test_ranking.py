@@ -177,6 +177,7 @@ def test_many_terms_join_instead_of_filter(spark, monkeypatch):
     want = sorted(map(tuple, scored(index, queries, CONFIG, 5).select("query_id", "chunk_id", "score").collect()))
     monkeypatch.setattr(ranking, "LITERAL_TERMS", 1)
     monkeypatch.setattr(ranking, "QUERY_TERMS", 1)
+    monkeypatch.setattr(ranking, "QUERY_ROWS", 1)
     got = sorted(map(tuple, scored(index, queries, CONFIG, 5).select("query_id", "chunk_id", "score").collect()))
     assert got == want
 
