@@ -213,3 +213,24 @@ def test_append_and_resume(spark, tmp_path):
     S.append_interactions(made.withColumn("interaction_id", F.lit("other")), str(tmp_path / "log"))
     back = spark.read.json(str(tmp_path / "log"))
     assert {r["interaction_id"] for r in back.collect()} == {"t_x_session_a_0001", "other"}
+
+
+def test_commands(spark, tmp_path, capsys):
+    from spanloom.__main__ import main
+
+    root = tree(tmp_path / "r", {"src/solver.cpp": "int getPressure(int n) { return n; }\n", "tests/2d_examples/dam.cpp": CASE})
+    out = str(tmp_path / "corpus")
+    assert main(["corpus", "--root", root, "--repository", "Lib", "--output", out]) == 0
+    assert json.loads((tmp_path / "corpus_summary.json").read_text())["total_chunk_count"] == 4
+    assert main(["index", "--corpus", out, "--output", str(tmp_path / "index")]) == 0
+    assert main(["retrieve", "--corpus", out, "--index", str(tmp_path / "index"), "--query", "getPressure in lib",
+                 "--repository", "Lib", "--debug"]) == 0
+    shown = capsys.readouterr().out
+    assert "#1 " in shown and "src/solver.cpp" in shown and "symbol_boost=24.0" in shown and "repository_boost=1.5" in shown
+    asked = tree(tmp_path / "q", {"a.json": '{"query_id": 1, "query": "run the domain"}\n'})
+    assert main(["retrieve", "--corpus", out, "--queries", asked, "--output", str(tmp_path / "report")]) == 0
+    assert main(["prompts", "--corpus", out, "--queries", asked, "--output", str(tmp_path / "prompts")]) == 0
+    assert spark.read.json(str(tmp_path / "prompts")).first()["has_evidence"]
+    log = sessions(tmp_path / "log")
+    assert main(["review", "--root", log, "--timestamp-suffix", "bad"]) == 1
+    assert main(["check", "--root", log, "--output", str(tmp_path / "check")]) == 0
