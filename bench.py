@@ -18,8 +18,8 @@ HEADLINE = (
     "tokenize_terms", "term_idf", "bm25_topk", "bm25_batch_topk", "ranked_search_debug", "evidence_packing",
     "prompt_fingerprint", "corpus_grouping_sets", "size_distribution", "duplicate_ids", "nested_semi",
     "policy_c_anti", "interval_union", "overlap_metrics", "direct_parent", "points_inside", "section_spans",
-    "section_pieces", "line_windows_50", "statement_segments", "interactions_from_turns", "feedback_latest_wins",
-    "review_report", "redact_text", "stream_append_counts",
+    "section_pieces", "line_windows_50", "statement_segments", "policy_counts", "interactions_from_turns",
+    "feedback_latest_wins", "review_report", "session_report", "redact_text", "stream_append_counts",
 )
 
 

@@ -33,9 +33,13 @@ def block_header() -> Column:
     )
 
 
-def with_content(results: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Results joined with the content of their chunks."""
-    return results.join(corpus.select("chunk_id", "content"), "chunk_id")
+def with_content(results: DataFrame, corpus: DataFrame, few: bool = False) -> DataFrame:
+    """Results joined with the content of their chunks.
+
+    With `few`, the results are known to be small enough to broadcast, so that
+    the content of the corpus is never shuffled.
+    """
+    return corpus.select("chunk_id", "content").join(F.broadcast(results) if few else results, "chunk_id")
 
 
 def pack_evidence(results: DataFrame, config: PackingConfig = PackingConfig()) -> DataFrame:

@@ -19,6 +19,8 @@ QUERY_TERMS = 1_000_000
 # Queries up to which their features are broadcast. A query has at most one row
 # per role in them, so this bounds those rows too.
 QUERY_ROWS = 20_000
+# Result rows that may be broadcast to fetch what belongs to them.
+RESULT_ROWS = 100_000
 
 BOOSTS = ("symbol_boost", "path_boost", "role_boost", "repository_boost")
 
@@ -208,12 +210,17 @@ def best_evidence(scored_rows: DataFrame) -> DataFrame:
     ).drop("_best")
 
 
-def described(rows: DataFrame, index: LexicalIndex) -> DataFrame:
-    """Rows with the shown fields of their chunks."""
+def results_are_few(queries: DataFrame, top_k: int) -> bool:
+    """Whether the results of all queries together are proven to be few."""
+    return at_most(queries, RESULT_ROWS // top_k)
+
+
+def described(rows: DataFrame, index: LexicalIndex, few: bool) -> DataFrame:
+    """Rows with the shown fields of their chunks; few rows spare the chunk table a shuffle."""
     shown = index.table(rows.sparkSession, "chunks").select(
         "chunk_no", "repository", "source_role", "source_path", "label", "chunk_type", "start_line", "end_line"
     )
-    return rows.join(shown, "chunk_no").drop("chunk_no", "evidence_key")
+    return shown.join(F.broadcast(rows) if few else rows, "chunk_no").drop("chunk_no", "evidence_key")
 
 
 def search(index: LexicalIndex, queries: DataFrame, config: RankingConfig, top_k: int = 5) -> DataFrame:
@@ -222,7 +229,7 @@ def search(index: LexicalIndex, queries: DataFrame, config: RankingConfig, top_k
         raise ValueError("top_k must be at least 1")
     order = [F.col("score").desc(), F.col("chunk_id")]
     best = best_evidence(scored(index, queries, config, top_k))
-    return described(top_rows(best, ["query_id"], order, top_k, "rank"), index)
+    return described(top_rows(best, ["query_id"], order, top_k, "rank"), index, results_are_few(queries, top_k))
 
 
 def result_rows(results: DataFrame, debug: bool = False) -> DataFrame:

@@ -206,20 +206,35 @@ def context_only(spans: DataFrame) -> DataFrame:
 
 
 def policy_counts(spans: DataFrame, keys: Sequence[str] = ("file",), width: int = WIDTH) -> DataFrame:
-    """(keys, policy, selection, node_type, chunks) for the four selection policies."""
-    kept = outermost_spans(retained(spans), keys, width)
-    branches = [
-        (spans, "A", "retrieval"), (retained(spans), "B", "retrieval"), (kept, "C", "retrieval"),
-        (nested_spans(retained(spans), keys, width), "C", "removed"),
-        (primary(spans), "D", "retrieval"), (context_only(spans), "D", "context"),
-    ]
-    rows = None
-    for frame, policy, selection in branches:
-        part = frame.groupBy(*keys, "node_type").agg(F.count("*").alias("chunks")).select(
-            *keys, F.lit(policy).alias("policy"), F.lit(selection).alias("selection"), "node_type", "chunks"
-        )
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
+    """(keys, policy, selection, node_type, chunks) for the four selection policies.
+
+    A keeps all, B the retained types, C those of B that no larger one of B
+    contains, D functions and methods with types as context. Nesting is found
+    once and each span then counts in all its policies.
+    """
+    keys = list(keys)
+    place = [*keys, "byte_start", "byte_end"]
+    nested = nested_spans(distinct_spans(retained(spans), keys), keys, width).select(
+        *place, F.lit(True).alias("nested")
+    )
+    kind = F.col("node_type")
+    is_retained = kind.isin(*RETAINED_NODE_TYPES)
+
+    def entry(policy: str, selection: Column, when: Column | None = None) -> Column:
+        row = F.struct(F.lit(policy).alias("policy"), selection.alias("selection"))
+        return row if when is None else F.when(when, row)
+
+    retrieval = F.lit("retrieval")
+    entries = F.array_compact(F.array(
+        entry("A", retrieval),
+        entry("B", retrieval, is_retained),
+        entry("C", F.when(F.col("nested"), "removed").otherwise(retrieval), is_retained),
+        entry("D", F.when(kind.isin(*PRIMARY_NODE_TYPES), retrieval).otherwise("context"), is_retained),
+    ))
+    return (
+        spans.join(nested, place, "left").select(*keys, "node_type", F.explode(entries).alias("e"))
+        .groupBy(*keys, "e.policy", "e.selection", "node_type").agg(F.count("*").alias("chunks"))
+    )
 
 
 def points_inside(points: DataFrame, spans: DataFrame, keys: Sequence[str], width: int = WIDTH) -> DataFrame:

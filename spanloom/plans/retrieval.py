@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from spanloom.config import DEFAULT_ENDPOINT_LABEL, PackingConfig, RankingConfig
 from spanloom.operators.evidence import evidence_text, pack_evidence, prompts, with_content
 from spanloom.operators.index import LexicalIndex, build_index
-from spanloom.operators.ranking import result_rows, search
+from spanloom.operators.ranking import result_rows, results_are_few, search
 from spanloom.session import new_table_path
 
 SYSTEM_PROMPT = (
@@ -72,7 +72,8 @@ class Retriever:
 
     def prompts(self, queries: DataFrame, top_k: int = 5, packing: PackingConfig = PackingConfig()) -> DataFrame:
         """Prompts with packed evidence, sources and fingerprints."""
-        packed = pack_evidence(with_content(self.batch(queries, top_k), self.chunks), packing)
+        found = with_content(self.batch(queries, top_k), self.chunks, results_are_few(queries, top_k))
+        packed = pack_evidence(found, packing)
         return prompts(queries, evidence_text(packed))
 
     def answer(self, queries: DataFrame, top_k: int = 5, client: Callable[[str, str], str] | None = None,

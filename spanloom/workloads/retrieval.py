@@ -11,7 +11,7 @@ from spanloom.functions import text as T
 from spanloom.operators.evidence import evidence_text, pack_evidence, prompts, with_content
 from spanloom.operators.index import LexicalIndex, build_index, idf
 from spanloom.operators.ranking import (
-    UNITS, best_evidence, query_features, query_terms, result_report, result_rows, scored, search, term_hits,
+    UNITS, best_evidence, query_features, query_terms, result_report, result_rows, results_are_few, scored, search, term_hits,
 )
 from spanloom.operators.scale import top_rows
 from spanloom.plans.retrieval import Retriever
@@ -135,8 +135,9 @@ def sparse_search(spark, sf_dir):
 
 
 def _packed(spark, sf_dir, top_k=TOP_K):
-    results = search(index_of(spark, sf_dir), benchmark_queries(spark, sf_dir), CONFIG, top_k)
-    return pack_evidence(with_content(results, document_chunks(spark, sf_dir)))
+    queries = benchmark_queries(spark, sf_dir)
+    results = search(index_of(spark, sf_dir), queries, CONFIG, top_k)
+    return pack_evidence(with_content(results, document_chunks(spark, sf_dir), results_are_few(queries, top_k)))
 
 
 def evidence_packing(spark, sf_dir):
@@ -160,8 +161,9 @@ def numbered_sources(spark, sf_dir):
 
 
 def evidence_preview(spark, sf_dir):
-    results = search(index_of(spark, sf_dir), benchmark_queries(spark, sf_dir), CONFIG, TOP_K)
-    return with_content(results, document_chunks(spark, sf_dir)).select(
+    queries = benchmark_queries(spark, sf_dir)
+    results = search(index_of(spark, sf_dir), queries, CONFIG, TOP_K)
+    return with_content(results, document_chunks(spark, sf_dir), results_are_few(queries, TOP_K)).select(
         "query_id", F.col("rank").cast("long").alias("rank"), R.evidence_preview().alias("preview"))
 
 
