@@ -287,13 +287,15 @@ def section_chunks(functions: DataFrame, config: ChunkConfig = ChunkConfig()) ->
     `functions` has chunk_id, source_path, content, start_line, byte_start and
     `nodes`, the top-level syntax nodes of the body (type, start, end).
     """
-    cut = (
-        functions.withColumn("found", safe_headers(headers(header_blocks(F.col("content"))), F.col("nodes")))
-        .filter(F.size("found") > 0)
-        .withColumn("piece", F.explode(
-            section_pieces(F.col("found"), F.col("nodes"), F.octet_length("content"), config)
-        ))
+    # A text without headers has no pieces, so the explode drops it; a filter would
+    # have the headers found twice.
+    pieces = let(
+        safe_headers(headers(header_blocks(F.col("content"))), F.col("nodes")),
+        lambda found: F.when(
+            F.size(found) > 0, section_pieces(found, F.col("nodes"), F.octet_length("content"), config)
+        ),
     )
+    cut = functions.withColumn("piece", F.explode(pieces))
     start, end = F.col("piece.start"), F.col("piece.end")
     return cut.select(
         F.col("chunk_id").alias("original_function_chunk_id"), "source_path",

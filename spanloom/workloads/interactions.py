@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanloom.config import FEEDBACK_CATEGORIES
 from spanloom.functions import render as R
+from spanloom.functions import text as T
 from spanloom.operators import interactions as I
 from spanloom.plans.review import review_blocks, session_blocks
 from spanloom.schemas import SOURCE
@@ -35,8 +36,8 @@ def answers(spark, sf_dir):
     return numbered.select(
         F.concat(F.lit("tester "), F.col("conv_id") % 7).alias("tester_id"),
         F.concat(F.lit("session_"), F.lpad(F.col("conv_id").cast("string"), 6, "0")).alias("session_id"),
-        "sequence", F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 60 + F.col("turn")),
-                                  "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+        "sequence", T.utc_stamp(F.expr(
+            "TIMESTAMP_NTZ'2023-11-14 22:13:20' + make_dt_interval(0, 0, CAST(conv_id AS INT), turn)")).alias("timestamp"),
         "query", "raw_answer",
         F.when(n % 4 == 0, F.array().cast(f"array<{SOURCE.simpleString()}>")).when(n % 4 == 1, F.array(source, bare))
         .otherwise(F.array(source)).alias("sources"),
