@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Rows that may be broadcast, and the copies made of a side that may not.
 BROADCAST_ROWS = 1_000_000
 SALTS = 64
+# Estimated size up to which an input is spread over the cores.
+SMALL_BYTES = 256 << 20
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
@@ -18,13 +20,13 @@ def at_most(df: DataFrame, rows: int) -> bool:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan in at least as many partitions as there are cores.
+    """A small input over all cores, even when it is read in one split.
 
-    Only a small input read in a few splits is shuffled; a large one has more
-    splits than cores and is left alone.
+    By the optimizer's size estimate; a large input has splits enough and is
+    left alone, so nothing large is shuffled for this.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    estimate = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism) if estimate <= SMALL_BYTES else scan
 
 
 def join_small(

@@ -47,4 +47,4 @@ def test_deep_top_rows(spark):
 
 def test_small_scan_is_spread(spark):
     assert scale.spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert scale.spread(spark.range(0, 100, 1, 40)).rdd.getNumPartitions() == 40
+    assert scale.spread(spark.range(0, 10**9, 1, 40)).rdd.getNumPartitions() == 40
