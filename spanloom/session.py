@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+SCRATCH_KEY = "spark.spanloom.scratch.dir"
+_written: list[str] = []
 
 LOCAL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -30,19 +37,47 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in `spark.checkpoint.dir`.
+    """The folder for intermediate tables that driver and executors share.
 
-    Only where it is unset, as in tests, a folder of this machine is taken.
+    `spark.spanloom.scratch.dir` if set, else the one the cluster names in
+    `spark.checkpoint.dir`. Where neither is set, a local master gets a folder
+    of this machine; any other master is refused, as its executors would not
+    see that folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    for key in (SCRATCH_KEY, "spark.checkpoint.dir"):
+        folder = spark.conf.get(key, None)
+        if folder:
+            return folder
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set {SCRATCH_KEY} or spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="spanloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses; `clear_scratch` removes it."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as a scratch table and read again: computed once, with its lineage cut."""
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes every scratch table of this process. Results that still read one are lost."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
