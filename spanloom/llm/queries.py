@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, licenses, linededup, packing, quality, sharding
+from spanloom.llm import chat, decontam, language, licenses, linededup, maxent, neardup, packing, quality, sharding
 from spanloom.llm.common import table
 
 SHARDS = 24
@@ -165,6 +165,53 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of those outside the held-out fold."""
+    return maxent.scored(table(spark, sf_dir, "documents"))
+
+
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the class of near duplicates they belong to, and their links."""
+    return neardup.linked(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + 4], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n, list_sort(list(g)) AS gs FROM grams GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING count(*) * 1.8 >= 0.8 * (x.n + y.n) - 1e-6
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+)
+SELECT doc_id, (SELECT min(b) FROM reach r WHERE r.a = d.doc_id) AS class_id,
+  coalesce((SELECT min(t.doc_id) FROM sizes s JOIN sizes t ON s.gs = t.gs WHERE s.doc_id = d.doc_id), doc_id) AS set_id,
+  (SELECT count(*) FROM links l WHERE l.a = d.doc_id) AS n_links
+FROM documents d
+"""
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    fold = language.fold(3)
+    model = language.learned(docs.filter(fold != 1))
+    held = fold == 1
+    return language.labelled(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that contain a benchmark item, also under other numbers, names and units."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt to 24 shards of near equal bytes by the newest slot map."""
     rows, _ = sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
@@ -180,5 +227,9 @@ WORKLOADS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "op3_license_scan": (op3_license_scan, None),
     "op4_packing": (op4_packing, None),
     "op5_line_dedup": (op5_line_dedup, OP5_SQL),
+    "op6_lm_scoring": (op6_lm_scoring, None),
+    "op7_ngram_jaccard_join": (op7_ngram_jaccard_join, OP7_SQL),
+    "op8_language_id": (op8_language_id, None),
+    "op9_decontamination": (op9_decontamination, None),
     "op10_sharding": (op10_sharding, None),
 }
