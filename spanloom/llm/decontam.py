@@ -82,8 +82,8 @@ def item_windows(benchmark: DataFrame, matching: Matching) -> DataFrame:
     rows = kept.select("item_id", "place", "h", F.slice("all_values", before + 1, F.col("inside")).alias("values")).dropDuplicates(
         ["item_id", "place", "h"]
     )
-    totals = rows.groupBy("item_id").agg(F.countDistinct("place").alias("n_windows"))
-    return rows.join(totals, "item_id")
+    totals = rows.groupBy(F.col("item_id").alias("_i")).agg(F.countDistinct("place").alias("n_windows"))
+    return rows.join(totals, F.col("item_id").eqNullSafe(F.col("_i"))).drop("_i")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, matching: Matching = Matching()) -> DataFrame:

@@ -23,6 +23,8 @@ MIN_DOCS = 5
 BATCHES = 4
 FAN_IN = 3
 KEYS_PER_BUCKET = 2_000_000
+# Columns of a result, and those in between.
+RESULTS = ("n_lines", "n_dropped", "_doc", "_drops")
 
 
 def line_key(line: str) -> bytes:
@@ -141,9 +143,12 @@ def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     documents or more goes, except in the largest doc_id that holds it; there
     every such line stays. Null and empty texts are one empty line and come out
     empty. Rows with the same doc_id are one document; null ids are one too, the
-    smallest. Other columns are kept as they are, an empty table stays empty.
+    smallest. Other columns are kept as they are but for those named like a result,
+    which gives way; an empty table stays empty.
     """
     least = -(2**63)
+    kept = [c for c in docs.columns if c not in ("text", *RESULTS)]
+    docs = docs.select(*kept, "text")
     keys = written(line_keys(docs, min_chars), "line-keys")
     repeated = written(repeated_lines(keys, min_docs), "repeated-lines")
     # Hot keys are on one side only, with one row per key on the other: adaptive execution may split them.
@@ -153,7 +158,6 @@ def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         .groupBy("_doc").agg(F.collect_set("key").alias("_drops"))
     )
     joined = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(least))).join(drops, "_doc", "left").drop("_doc")
-    kept = [c for c in docs.columns if c != "text"]
     out = joined.select(*kept, "text", "_drops")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
 

@@ -148,6 +148,12 @@ def binomial_tail(k: Column, n: Column, p: Column) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.exp(top) * terms, F.lit(1.0)))
 
 
+def _rejected(quality: int) -> Column:
+    """How many labelled documents of that quality the cutoff of a row rejects."""
+    cells = F.filter("cells", lambda c: (c["quality"] == quality) & (c["top"] >= F.col("cutoff")))
+    return F.aggregate(cells, F.lit(0).cast("long"), lambda n, c: n + c["n"])
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Certified cutoffs: (stratum, rule, cutoff), none where nothing can be certified.
 
@@ -180,13 +186,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> D
         .withColumn("cutoff", F.explode(ladder))
         .select(
             "stratum", "rule", "good", "cutoff",
-            *[
-                F.aggregate(
-                    F.filter("cells", lambda c, w=wanted: (c["quality"] == w) & (c["top"] >= F.col("cutoff"))),
-                    F.lit(0).cast("long"), lambda s, c: s + c["n"],
-                ).alias(name)
-                for name, wanted in (("lost", 1), ("caught", 0))
-            ],
+            _rejected(1).alias("lost"), _rejected(0).alias("caught"),
         )
     )
     strata = measured.select("stratum").distinct().count()
