@@ -43,10 +43,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every class of near duplicates: that of the least doc_id. Repeated rows of it become one."""
-    classes = neardup.linked(docs).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    others = classes.filter(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("_d"))
+    classes = written(
+        neardup.linked(docs).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n")), "classes"
+    )
+    others = classes.filter(~F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_d"))
     kept = docs.join(others, F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti").select(*COLUMNS)
-    return kept.dropDuplicates()
+    # Texts are compared only where an id comes more than once.
+    return kept if classes.filter("n > 1").isEmpty() else kept.dropDuplicates()
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
