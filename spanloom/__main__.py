@@ -27,13 +27,18 @@ def _retriever(spark: SparkSession, args: argparse.Namespace):
     return Retriever(spark, read_corpus(spark, args.corpus), config, index)
 
 
+def _queries(spark: SparkSession, path: str):
+    """JSON lines with query_id (any scalar, kept as text) and query; a malformed line stops the job."""
+    return spark.read.schema("query_id string, query string").option("mode", "FAILFAST").json(path)
+
+
 def retrieve(spark: SparkSession, args: argparse.Namespace) -> None:
     """Print the ranked results of a query, or write those of a query file."""
     from spanloom.operators.ranking import result_report
 
     retriever = _retriever(spark, args)
     if args.queries:
-        queries = spark.read.schema("query_id long, query string").json(args.queries)
+        queries = _queries(spark, args.queries)
         result_report(retriever.batch(queries, args.top_k)).write.mode("errorifexists").json(args.output)
         return
     one = spark.createDataFrame([(0, args.query)], "query_id long, query string")
@@ -50,7 +55,7 @@ def retrieve(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def prompts(spark: SparkSession, args: argparse.Namespace) -> None:
     """Write grounded prompts with packed evidence for a query file."""
-    queries = spark.read.schema("query_id long, query string").json(args.queries)
+    queries = _queries(spark, args.queries)
     _retriever(spark, args).prompts(queries, args.top_k).write.mode("errorifexists").json(args.output)
 
 
@@ -75,14 +80,14 @@ def corpus(spark: SparkSession, args: argparse.Namespace) -> None:
     write_corpus(chunks, args.output)
     report = summary(read_corpus(spark, args.output))
     problems.write.mode("errorifexists").json(f"{args.output}_problems")
-    B.write_summary(report, f"{args.output}_summary.json")
+    B.write_summary(spark, report, f"{args.output}_summary.json")
 
 
 def combine(spark: SparkSession, args: argparse.Namespace) -> None:
     """Join corpora into one after checking them."""
     from spanloom.plans import corpus_build as B
 
-    B.write_summary(B.combined_corpus(spark, args.inputs, args.output), f"{args.output}_summary.json")
+    B.write_summary(spark, B.combined_corpus(spark, args.inputs, args.output), f"{args.output}_summary.json")
 
 
 def review(spark: SparkSession, args: argparse.Namespace) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -86,26 +87,37 @@ def safe_message(text: Column) -> Column:
     return F.when(~clean.isin("", "{}", "[]", "null"), F.left(clean, F.lit(MESSAGE_LIMIT)))
 
 
+# A quoted text, one punctuation mark, or what lies between: the tokens of a JSON text.
+_TOKENS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^"{}\[\],:\s]+')
+
+
+def _without_credentials(body: str) -> str:
+    """One pass over the tokens: a value is left out from its key's colon to the comma or end at the key's depth."""
+    out, depth, hidden, last = [], 0, None, ""
+    for token in _TOKENS.findall(body):
+        depth += (token in "{[") - (token in "}]")
+        if hidden is not None:
+            if (token == "," and depth == hidden) or (token in "}]" and depth < hidden):
+                hidden = None
+            else:
+                continue
+        out.append(f"{token} " if token in ",:" else token)
+        if token == ":" and any(part in json.loads(last).lower() for part in SENSITIVE_KEY_FRAGMENTS):
+            out.append(f'"{REDACTED}"')
+            hidden = depth
+        last = token
+    return "".join(out)
+
+
 @F.pandas_udf(StringType())
-def redact_body(bodies: pd.Series) -> pd.Series:
-    """JSON bodies with the value of every credential-like key replaced.
+def _redacted(bodies: pd.Series) -> pd.Series:
+    return bodies.map(_without_credentials, na_action="ignore")
 
-    A value may be a nested object, which no expression can rewrite in place.
-    Text that is not JSON passes through unchanged.
-    """
 
-    def clean(value):
-        if isinstance(value, dict):
-            return {
-                k: REDACTED if any(f in k.lower() for f in SENSITIVE_KEY_FRAGMENTS) else clean(v)
-                for k, v in value.items()
-            }
-        return [clean(v) for v in value] if isinstance(value, list) else value
-
-    def one(text):
-        try:
-            return json.dumps(clean(json.loads(text)), ensure_ascii=False)
-        except (TypeError, ValueError):
-            return text
-
-    return bodies.map(one)
+def redact_body(body: Column) -> Column:
+    """A JSON body with the value of every credential-like key replaced, however deep.
+
+    White space outside texts comes out as one blank after `,` and `:`. Text that
+    is not JSON passes through unchanged.
+    """
+    return F.when(is_valid(body), _redacted(F.when(is_valid(body), body))).otherwise(body)

@@ -144,16 +144,23 @@ def term_hits(index: LexicalIndex, terms: DataFrame, config: RankingConfig) -> D
     )
 
 
-def candidates(index: LexicalIndex, features: DataFrame, config: RankingConfig, top_k: int, few: bool) -> DataFrame:
-    """Every (query, chunk) that may have a place in the top-k, with its summed parts.
+def candidates(
+    index: LexicalIndex, features: DataFrame, config: RankingConfig, few: bool, top_k: int | None = None
+) -> DataFrame:
+    """Every (query, chunk) that some part of the score favours, with its summed parts.
 
     A path or symbol-word match implies a term match, and a whole-symbol match
     has a posting of its own, so term hits bring all chunks but those that only
-    their role or repository favours. Of these the stored heads hold enough.
+    their role or repository favours. For a ranking cut to `top_k` the stored
+    heads hold enough of these; without it all of them are listed.
     """
     spark = features.sparkSession
     hits = term_hits(index, query_terms(features, config), config)
-    if top_k <= HEAD_ROWS:
+    if top_k is None:
+        pairs = roles = index.table(spark, "chunks").select(
+            "chunk_no", "source_role", "repository", F.lit(0).alias("head_rank")
+        )
+    elif top_k <= HEAD_ROWS:
         pairs, roles = index.table(spark, "heads"), index.table(spark, "role_heads")
     else:
         pairs = evidence_heads(index.table(spark, "chunks"), top_k)
@@ -167,9 +174,10 @@ def candidates(index: LexicalIndex, features: DataFrame, config: RankingConfig,
     by_repository = features.filter("target_repository IS NOT NULL").select(
         "query_id", F.col("target_repository").alias("repository")
     )
+    deep = F.col("head_rank") <= (0 if top_k is None else top_k)
     flat = [
-        join_small(roles.filter(F.col("head_rank") <= top_k), by_role, ["source_role"], "chunk_no", proven=few),
-        join_small(pairs.filter(F.col("head_rank") <= top_k), by_repository, ["repository"], "chunk_no", proven=few),
+        join_small(roles.filter(deep), by_role, ["source_role"], "chunk_no", proven=few),
+        join_small(pairs.filter(deep), by_repository, ["repository"], "chunk_no", proven=few),
     ]
     nothing = [F.lit(0).alias(name) for name in _PARTS]
     for part in flat:
@@ -177,15 +185,17 @@ def candidates(index: LexicalIndex, features: DataFrame, config: RankingConfig,
     return hits.groupBy("query_id", "chunk_no").agg(*[F.sum(name).alias(name) for name in _PARTS])
 
 
-def scored(index: LexicalIndex, queries: DataFrame, config: RankingConfig, top_k: int) -> DataFrame:
-    """Candidates with their five score components and positive score.
+def scored(index: LexicalIndex, queries: DataFrame, config: RankingConfig, top_k: int | None = None) -> DataFrame:
+    """Every chunk of positive score per query, with its five score components.
 
-    Of the chunk table only what the boosts and the ranking look at takes part;
-    `described` adds the rest to the few rows that are kept.
+    With `top_k`, only what may have a place in a ranking of that length is
+    listed: chunks that a role or repository alone favours come from the stored
+    heads. Of the chunk table only what the boosts and the ranking look at takes
+    part; `described` adds the rest to the few rows that are kept.
     """
     features = query_features(queries, config)
     few = at_most(queries, QUERY_ROWS)
-    found = candidates(index, features, config, top_k, few)
+    found = candidates(index, features, config, few, top_k)
     chunks = index.table(queries.sparkSession, "chunks").select(
         "chunk_no", "chunk_id", "evidence_key", "repository", "source_role", "symbol_words",
     )

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.session import written
+
 # Rows that may be broadcast, and the copies made of a side that may not.
 BROADCAST_ROWS = 1_000_000
 SALTS = 64
@@ -121,35 +124,21 @@ def running(
 def numbered(df: DataFrame, order: Sequence[str], out: str, rows_per_range: int = 1_000_000) -> DataFrame:
     """Global 1-based row number in the order of `order`, ties not allowed.
 
-    A result that fits one task is numbered by one window. A larger one is cut
-    into key ranges at sampled split points; each range is numbered on its own
-    and offset by the counts of the ranges before it.
+    The keys alone are sorted into ranges, as many as the rows need, and written;
+    each range is numbered on its own and shifted by the counts of those before.
+    The numbers are joined to the rows by the key, null parts included.
     """
-    if at_most(df, rows_per_range):
-        return df.withColumn(out, F.row_number().over(Window.orderBy(*order)))
-    key = F.struct(*order)
-    total = df.count()
-    ranges = min(1000, -(-total // rows_per_range) + 1)
-    sample = df.select(*order).sample(min(1.0, 50.0 * ranges / total), seed=7).sort(*order).limit(100 * ranges)
-    points = [tuple(r) for r in sample.collect()]
-    splits = points[:: max(1, len(points) // ranges)]
-    schema = df.select(*order).schema
-    bounds = F.array(*[
-        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema)]) for row in splits
-    ])
-    ranged = df.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= key)))
-    counts = ranged.groupBy("_range").count()
-    offsets = counts.select(
-        "_range",
-        F.coalesce(
-            F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_offset"),
+    keys = [f"_o{i}" for i in range(len(order))]
+    sorted_keys = df.select(*[F.col(c).alias(k) for c, k in zip(order, keys)])
+    ranges = max(1, -(-df.count() // rows_per_range))
+    placed = written(
+        sorted_keys.repartitionByRange(ranges, *keys).withColumn("_range", F.spark_partition_id()), "numbers"
     )
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    # One offset per range: at most 1001 rows.
-    return (
-        ranged.withColumn(out, local)
-        .join(F.broadcast(offsets), "_range")
-        .withColumn(out, F.col(out) + F.col("_offset"))
-        .drop("_range", "_offset")
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_range").count().select(
+        "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset")
     )
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    numbers = placed.withColumn("_n", local).join(offsets, "_range").select(*keys, (F.col("_n") + F.col("_offset")).alias(out))
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(order, keys)]
+    return df.join(numbers, reduce(lambda a, b: a & b, same)).drop(*keys)

@@ -13,9 +13,9 @@ from spanloom.functions import paths as P
 from spanloom.functions import text as T
 from spanloom.operators.corpus import combine, require_valid, summary
 from spanloom.operators.sections import section_chunks
-from spanloom.session import new_table_path
+from spanloom.session import written
 from spanloom.sources.corpus import (
-    conform_chunks, decoded, json_lines, library_files, package_files, read_corpus, read_files, write_corpus,
+    conform_chunks, decoded, json_lines, library_files, package_files, read_corpus, read_files, undecodable, write_corpus,
 )
 from spanloom.sources.parsing import parse_files
 
@@ -89,9 +89,8 @@ def library_corpus(spark: SparkSession, root: str, repository: str, config: Chun
     The parse is written once and read by the branches. Returns the chunks and
     the files that could not be parsed.
     """
-    stage = new_table_path(spark, "parsed")
-    parse_files(decoded(library_files(read_files(spark, root)))).write.parquet(stage)
-    parsed = spark.read.parquet(stage)
+    files = library_files(read_files(spark, root))
+    parsed = written(parse_files(decoded(files), repository), "parsed")
     primary = parsed.filter(F.col("node_type").isin(*PRIMARY_NODE_TYPES))
     cases = primary.filter("source_role = 'simulation_case'").withColumnRenamed("path", "source_path")
     sections = section_chunks(cases, config)
@@ -106,15 +105,15 @@ def library_corpus(spark: SparkSession, root: str, repository: str, config: Chun
             F.col("node_types").alias("tree_sitter_node_types_contained"),
         ))
     )
-    return whole.unionByName(conform_chunks(parts)), parse_problems(parsed, repository)
+    problems = parse_problems(parsed, repository).unionByName(undecodable(files, repository))
+    return whole.unionByName(conform_chunks(parts)), problems
 
 
 def package_corpus(spark: SparkSession, root: str, repository: str, package: str, excluded=()):
     """Chunks of a package: functions, classes and whole JSON documents."""
-    stage = new_table_path(spark, "parsed")
-    files = decoded(package_files(read_files(spark, root), package, excluded))
-    parse_files(files).write.parquet(stage)
-    parsed = spark.read.parquet(stage)
+    listed = package_files(read_files(spark, root), package, excluded)
+    files = decoded(listed)
+    parsed = written(parse_files(files, repository), "parsed")
     primary = parsed.filter(is_primary(F.col("node_type"), F.col("language")))
     documents = files.filter("language = 'json'")
     broken = documents.filter(~J.is_valid(F.col("content"))).select(
@@ -122,7 +121,7 @@ def package_corpus(spark: SparkSession, root: str, repository: str, package: str
         F.lit("invalid JSON").alias("problem"),
     )
     chunks = structural_chunks(primary, repository).unionByName(config_documents(documents, repository))
-    return chunks, parse_problems(parsed, repository).unionByName(broken)
+    return chunks, parse_problems(parsed, repository).unionByName(broken).unionByName(undecodable(listed, repository))
 
 
 def parse_problems(parsed: DataFrame, repository: str) -> DataFrame:
@@ -131,9 +130,14 @@ def parse_problems(parsed: DataFrame, repository: str) -> DataFrame:
     ).distinct()
 
 
-def write_summary(report: dict, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as handle:
-        handle.write(json.dumps(report, ensure_ascii=False, indent=2) + "\n")
+def write_summary(spark: SparkSession, report: dict, path: str) -> None:
+    """One JSON file, in whatever store the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray((json.dumps(report, ensure_ascii=False, indent=2) + "\n").encode()))
+    finally:
+        out.close()
 
 
 def combined_corpus(spark: SparkSession, inputs: list[str], output: str) -> dict:

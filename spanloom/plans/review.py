@@ -126,6 +126,7 @@ def session_blocks(records: DataFrame) -> DataFrame:
 def export(spark: SparkSession, root: str, output: str) -> None:
     """Reports of all exportable sessions; every session is checked first."""
     lines = S.exportable(S.session_lines(spark, root))
+    _stop_on(S.exportable(S.empty_sessions(spark, root)), "Session without interactions")
     _stop_on(I.session_violations(lines), "Export failed")
     _stop_on(I.repeated_interactions(lines, per_file=True), "Duplicate interaction_id")
     _stop_on(I.session_consistency(lines).filter("problem IS NOT NULL"), "Export failed")

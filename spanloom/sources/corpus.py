@@ -76,13 +76,20 @@ def package_files(files: DataFrame, package: str, excluded: Sequence[str] = ())
 
 
 def decoded(files: DataFrame) -> DataFrame:
-    """Files as text with their language."""
-    return files.select(
+    """Files as text with their language; those that are not UTF-8 are left to `undecodable`."""
+    return files.filter(F.is_valid_utf8(F.col("content").cast("string"))).select(
         "path", "source_role", P.language(F.col("path")).alias("language"),
         F.decode("content", "UTF-8").alias("content"),
     )
 
 
+def undecodable(files: DataFrame, repository: str) -> DataFrame:
+    """Files whose bytes are no UTF-8 text, as problems."""
+    return files.filter(~F.is_valid_utf8(F.col("content").cast("string"))).select(
+        F.lit(repository).alias("repository"), F.col("path").alias("source_path"), F.lit("not UTF-8 text").alias("problem")
+    )
+
+
 def inventory_files(files: DataFrame, package: str) -> DataFrame:
     """Directory, extension and role of every file in scope."""
     rules = P.for_package(P.INVENTORY_ROLE_RULES, package)

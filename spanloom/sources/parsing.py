@@ -123,7 +123,7 @@ def _has_error(language: str, source: bytes) -> str | None:
     return None
 
 
-def _chunks(row: dict) -> list[dict]:
+def _chunks(row: dict, repository: str) -> list[dict]:
     source, language = row["content"].encode("utf-8"), row["language"]
     base = {"path": row["path"], "source_role": row["source_role"], "language": language}
     try:
@@ -134,7 +134,7 @@ def _chunks(row: dict) -> list[dict]:
     rows = []
     for index, (kind, name, start, end, route) in enumerate(found):
         piece = source[start:end]
-        identity = f"{row['path']}:{kind}:{start}:{end}".encode()
+        identity = f"{repository}:{row['path']}:{kind}:{start}:{end}".encode()
         is_case = kind == "function_definition" and language == "cpp"
         rows.append({
             **base, "chunk_index": index, "chunk_id": hashlib.sha1(identity).hexdigest(), "node_type": kind,
@@ -146,8 +146,8 @@ def _chunks(row: dict) -> list[dict]:
     return rows or ([{**base, "error": error}] if error else [])
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """Structural chunks of decoded files: one Arrow batch of files at a time.
+def parse_files(files: DataFrame, repository: str) -> DataFrame:
+    """Structural chunks of decoded files of a repository: one Arrow batch of files at a time.
 
     A file that cannot be parsed gives one row with `error` and no chunk.
     """
@@ -155,7 +155,7 @@ def parse_files(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist(_chunks(row), schema=PARSED)
+                yield pa.RecordBatch.from_pylist(_chunks(row, repository), schema=PARSED)
 
     wanted = files.filter(F.col("language").isin("cpp", "python"))
     return wanted.select("path", "source_role", "language", "content").mapInArrow(run, from_arrow_schema(PARSED))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,41 +11,73 @@ from spanloom.config import DEFAULT_TESTER, EXPORT_DIRECTORY, REVIEW_DIRECTORY
 from spanloom.functions.text import is_blank
 from spanloom.operators.interactions import numbered_in_session
 from spanloom.schemas import INTERACTION
+from spanloom.session import written
+
+# Whole session files, and the part files of appended ones.
+FILES = "{session_*.jsonl,part-*}"
+APPENDED = r"^tester=([^/]*)/session=([^/]*)/part-[^/]*$"
+COMMIT_SUFFIX = "_commit"
 
 
-def _relative(root: str):
+def _relative(root: str, file: Column | None = None) -> Column:
+    """The file's path under the root as `tester/session_x.jsonl`, decoded; part files of an appended session share one."""
     name = root.rstrip("/").rsplit("/", 1)[-1]
-    full = F.regexp_replace(F.col("_metadata.file_path"), "%20", " ")
-    return F.element_at(F.split(full, f"/{name}/"), -1)
+    # A plus sign is itself in a path.
+    file = F.col("_metadata.file_path") if file is None else file
+    full = F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
+    inside = F.element_at(F.split(full, f"/{re.escape(name)}/"), -1)
+    appended = F.regexp_extract(inside, APPENDED, 0) != ""
+    # Spark escapes what a folder name may not hold, so these names are decoded once more.
+    decoded = F.url_decode(F.replace(F.regexp_replace(inside, APPENDED, "$1/$2.jsonl"), F.lit("+"), F.lit("%2B")))
+    return F.when(appended, decoded).otherwise(inside)
 
 
 def _scan(spark: SparkSession, root: str) -> DataFrame:
-    return (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "session_*.jsonl")
-        .option("lineSep", "\n").text(root)
-    )
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", FILES).option("lineSep", "\n").text(root)
+
+
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of every session in the scan's own file listing, those of empty files too, which no scan has a row for."""
+    listed = spark.createDataFrame([(f,) for f in _scan(spark, root).inputFiles()], "file string")
+    return listed.select(_relative(root, F.col("file")).alias("path")).distinct().filter(_is_session())
+
+
+def _is_session() -> Column:
+    """Review batches are no sessions, nor are part files other than those of appended ones."""
+    return ~F.col("path").startswith(REVIEW_DIRECTORY + "/") & F.col("path").endswith(".jsonl")
 
 
 def session_file_count(spark: SparkSession, root: str) -> int:
-    """Session files in the listing; a file without a line counts too."""
-    return sum(f"/{REVIEW_DIRECTORY}/" not in name for name in _scan(spark, root).inputFiles())
+    """Sessions in the listing; one without a line counts too."""
+    return _files(spark, root).count()
+
+
+def empty_sessions(spark: SparkSession, root: str) -> DataFrame:
+    """Paths of sessions that hold no interaction: nothing but blank lines, or nothing at all."""
+    filled = session_lines(spark, root).filter(~is_blank(F.col("value"))).select("path").distinct()
+    return _files(spark, root).join(filled, "path", "left_anti")
 
 
 def session_lines(spark: SparkSession, root: str) -> DataFrame:
     """(path, line_number, value) of every session file, review batches left out.
 
-    A line's number is its place in its split plus the lines of the splits of
-    the same file before it; a file has few splits.
+    A line's number is its place in its split plus the lines of the splits
+    before it: those of the same file, and of earlier files of an appended
+    session. The lines are written once, as their numbers rely on one scan.
     """
-    rows = _scan(spark, root).select(
-        _relative(root).alias("path"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("place"), "value",
-    ).filter(~F.col("path").startswith(REVIEW_DIRECTORY + "/"))
-    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = rows.groupBy("path", "block").agg(F.min("place").alias("first"), F.count("*").alias("lines")).select(
-        "path", "block", "first", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before")
+    rows = written(
+        _scan(spark, root).select(
+            _relative(root).alias("path"), F.col("_metadata.file_modification_time").alias("time"),
+            F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("place"), "value",
+        ).filter(_is_session()), "session-lines"
     )
-    return rows.join(splits, ["path", "block"]).select(
+    split = ["path", "time", "file", "block"]
+    earlier = Window.partitionBy("path").orderBy("time", "file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy(*split).agg(F.min("place").alias("first"), F.count("*").alias("lines")).select(
+        *split, "first", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before")
+    )
+    return rows.join(splits, split).select(
         "path", (F.col("place") - F.col("first") + F.col("before") + 1).alias("line_number"), "value"
     )
 
@@ -76,14 +110,53 @@ def excluded_testers(lines: DataFrame) -> DataFrame:
 
 
 def interactions(lines: DataFrame) -> DataFrame:
-    """Typed interaction records of validated lines, numbered per file as `sequence`."""
+    """Typed interaction records of validated lines, numbered per file as `sequence`.
+
+    Commits written as fields of their own (`alpha_commit`) join the map of
+    commits under the repository's name; the map's own entries come first.
+    """
     filled = lines.filter(~is_blank(F.col("value")))
+    fields = F.from_json("value", "map<string,string>")
+    single = F.map_from_entries(F.transform(
+        F.filter(F.map_entries(fields), lambda e: e["key"].endswith(COMMIT_SUFFIX) & e["value"].isNotNull()),
+        lambda e: F.struct(F.regexp_replace(e["key"], f"{COMMIT_SUFFIX}$", "").alias("key"), e["value"].alias("value")),
+    ))
+    own = F.col("r.repository_commits")
+    commits = F.when(own.isNull(), single).otherwise(F.map_concat(
+        F.map_filter(single, lambda k, _: ~F.array_contains(F.map_keys(own), k)), own
+    ))
+    others = [f"r.{f.name}" for f in INTERACTION if f.name != "repository_commits"]
     return (
         numbered_in_session(filled, "path", "line_number").withColumn("r", F.from_json("value", INTERACTION))
-        .select("r.*", F.col("path").alias("source_session_file"), "sequence")
+        .select(*others, F.when(F.size(commits) > 0, commits).alias("repository_commits"),
+                F.col("path").alias("source_session_file"), "sequence")
     )
 
 
 def append_interactions(records: DataFrame, root: str) -> None:
-    """Append records as JSON lines under tester_id= and session_id= folders."""
-    records.write.mode("append").partitionBy("tester_id", "session_id").option("ignoreNullFields", "false").json(root)
+    """Append records as JSON lines to their sessions, where `session_lines` finds them.
+
+    Folders carry tester and session, and each record keeps both. A session's
+    lines go into one part file per append, in the order of their sequence if
+    they have one, else of their ids.
+    """
+    order = "sequence" if "sequence" in records.columns else "interaction_id"
+    placed = records.withColumns({"tester": F.col("tester_id"), "session": F.col("session_id")})
+    (
+        placed.repartition("tester", "session").sortWithinPartitions("tester", "session", order)
+        .drop("sequence", "source_session_file")
+        .write.mode("append").partitionBy("tester", "session").option("ignoreNullFields", "false").json(root)
+    )
+
+
+def next_session(records: DataFrame, session_id: Column) -> DataFrame:
+    """Records (tester_id, place) that lack a session id get one.
+
+    In the order of `place`, a record of the same tester as the one before goes
+    on with its session; a change of tester starts a new one, named by
+    `session_id` of the record that starts it. Given session ids stay.
+    """
+    in_order = Window.partitionBy("log").orderBy("place")
+    starts = F.coalesce(F.lag("tester_id").over(in_order) != F.col("tester_id"), F.lit(True)) | F.col("session_id").isNotNull()
+    named = records.withColumn("_start", F.when(starts, F.coalesce("session_id", session_id)))
+    return named.withColumn("session_id", F.last("_start", ignorenulls=True).over(in_order)).drop("_start")

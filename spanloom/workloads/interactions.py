@@ -10,7 +10,10 @@ from spanloom.functions import text as T
 from spanloom.operators import interactions as I
 from spanloom.plans.review import review_blocks, session_blocks
 from spanloom.schemas import SOURCE
-from spanloom.sources.sessions import excluded_testers, exportable, path_problem
+from spanloom.session import new_table_path
+from spanloom.sources.sessions import (
+    append_interactions, excluded_testers, exportable, interactions, next_session, path_problem, session_lines,
+)
 from spanloom.sources.tables import table
 
 
@@ -69,6 +72,27 @@ def rated(spark, sf_dir):
     )
 
 
+def session_log_round_trip(spark, sf_dir):
+    """All interactions appended to a log, read back from its files and checked."""
+    root = new_table_path(spark, "log")
+    append_interactions(built(spark, sf_dir), root)
+    lines = session_lines(spark, root)
+    bad = I.session_violations(lines).select("path", F.lit(1).alias("bad")).distinct()
+    return interactions(lines).join(bad, F.col("source_session_file") == F.col("path"), "left").select(
+        "interaction_id", F.col("source_session_file").alias("file"), F.col("sequence").cast("long").alias("sequence"),
+        F.sha2("query", 256).alias("query_sha"), F.sha2("raw_answer", 256).alias("answer_sha"),
+        F.element_at("repository_commits", F.lit("alpha")).alias("alpha"), F.col("bad").isNotNull().alias("bad"))
+
+
+def session_assignment(spark, sf_dir):
+    """Events as records of sixteen logs, one of fifty with a session of its own."""
+    event = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(
+        (event % 16).alias("log"), event.alias("place"), F.col("event_type").alias("tester_id"),
+        F.when(event % 50 == 0, F.concat(F.lit("given"), event)).alias("session_id"))
+    return next_session(rows, F.concat(F.lit("s"), "place"))
+
+
 def interactions_from_turns(spark, sf_dir):
     rows = built(spark, sf_dir)
     return rows.select(
@@ -229,17 +253,18 @@ def feedback_refused(spark, sf_dir):
 
 def feedback_applied(spark, sf_dir):
     """Interactions, one per event user, with all feedback merged in."""
-    base = table(spark, sf_dir, "events").select(F.col("user_id")).distinct().filter("user_id % 10 <> 0").select(
+    base = table(spark, sf_dir, "events").select(F.col("user_id")).distinct().select(
         F.concat(F.lit("i"), "user_id").alias("interaction_id"), F.lit("unrated").alias("rating"),
         F.lit("before").alias("feedback_category"), F.lit("before").alias("feedback_comment"),
         F.lit("before").alias("suggested_correction"))
-    state = I.feedback_state(feedback(spark, sf_dir).filter("sequence % 3 = 0"))
+    state = I.feedback_state(feedback(spark, sf_dir))
     return I.apply_feedback(base, state)
 
 
 def feedback_unmatched(spark, sf_dir):
     rows = feedback(spark, sf_dir)
-    owners = rows.filter("sequence % 40 < 2").select("interaction_id")
+    # Two of forty rows own the id of their user, the others ids that nothing refers to.
+    owners = rows.select(F.when(F.col("sequence") % 40 < 2, F.col("interaction_id")).otherwise(F.concat(F.lit("o"), "sequence")).alias("interaction_id"))
     return I.unmatched_feedback(owners, rows).groupBy("interaction_id", "owners").agg(F.count("*").alias("updates"))
 
 
@@ -338,6 +363,11 @@ _STATE = """SELECT interaction_id, count(*) AS updates, arg_max(CASE WHEN action
 WORKLOADS = {
     "interactions_from_turns": (interactions_from_turns, f"""WITH {_ANSWERS} SELECT interaction_id, session_id, tester_id, stamp AS timestamp, sha256(query) AS query_sha, sha256(raw_answer) AS answer_sha,
         CAST(CASE WHEN n % 4 = 0 THEN 0 WHEN bare THEN 2 ELSE 1 END AS BIGINT) AS sources, 'grounded_answer_v1' AS prompt_version, 'successful' AS status, 'unreviewed' AS review_status, 5 AS top_k FROM built"""),
+    "session_log_round_trip": (session_log_round_trip, f"""WITH {_ANSWERS} SELECT interaction_id, file, row_number() OVER (PARTITION BY file ORDER BY seq) AS sequence,
+        sha256(query) AS query_sha, sha256(raw_answer) AS answer_sha, 'a1b2' AS alpha, false AS bad FROM built"""),
+    "session_assignment": (session_assignment, """WITH r AS (SELECT event_id % 16 AS log, event_id AS place, event_type AS tester_id, CASE WHEN event_id % 50 = 0 THEN 'given' || event_id END AS given FROM events),
+        m AS (SELECT *, CASE WHEN given IS NOT NULL OR coalesce(lag(tester_id) OVER (PARTITION BY log ORDER BY place) <> tester_id, true) THEN coalesce(given, 's' || place) END AS started FROM r)
+        SELECT log, place, tester_id, last_value(started IGNORE NULLS) OVER (PARTITION BY log ORDER BY place) AS session_id FROM m"""),
     "evidence_metadata": (evidence_metadata, f"""WITH {_ANSWERS} SELECT interaction_id, 1 AS rank, 'repo' || n % 2 AS repository, 'src/file' || n || '.cpp' AS source_path, 'core_library' AS source_role,
           CASE WHEN n % 3 <> 0 THEN 'sym' || n END AS symbol_or_section_title, n + 1 AS line_start, CASE WHEN n % 5 <> 0 THEN n + 9 END AS line_end FROM built WHERE n % 4 <> 0
         UNION ALL SELECT interaction_id, 2, NULL, NULL, NULL, NULL, NULL, NULL FROM built WHERE bare"""),
@@ -373,9 +403,9 @@ WORKLOADS = {
         END AS problem FROM x WHERE kind <> 'blank' GROUP BY path"""),
     "feedback_latest_wins": (feedback_latest_wins, f"WITH {_FEEDBACK} SELECT interaction_id, updates, rating, feedback_category, nullif(c0, '') AS feedback_comment, reviewed, suggested_correction FROM ({_STATE.format(where='')})"),
     "feedback_refused": (feedback_refused, f"WITH {_FEEDBACK} SELECT problem, count(*) AS rows FROM p WHERE problem IS NOT NULL GROUP BY 1"),
-    "feedback_applied": (feedback_applied, f"""WITH {_FEEDBACK}, s AS ({_STATE.format(where='WHERE sequence % 3 = 0')}), b AS (SELECT DISTINCT 'i' || user_id AS interaction_id FROM events WHERE user_id % 10 <> 0)
+    "feedback_applied": (feedback_applied, f"""WITH {_FEEDBACK}, s AS ({_STATE.format(where='')}), b AS (SELECT DISTINCT 'i' || user_id AS interaction_id FROM events)
         SELECT b.interaction_id, coalesce(s.rating, 'unrated') AS rating, CASE WHEN reviewed THEN feedback_category ELSE 'before' END AS feedback_category,
           CASE WHEN reviewed THEN nullif(c0, '') ELSE 'before' END AS feedback_comment, coalesce(s.suggested_correction, 'before') AS suggested_correction FROM b LEFT JOIN s USING (interaction_id)"""),
-    "feedback_unmatched": (feedback_unmatched, f"""WITH {_FEEDBACK}, o AS (SELECT interaction_id, count(*) AS owners FROM f WHERE sequence % 40 < 2 GROUP BY 1)
+    "feedback_unmatched": (feedback_unmatched, f"""WITH {_FEEDBACK}, o AS (SELECT CASE WHEN sequence % 40 < 2 THEN interaction_id ELSE 'o' || sequence END AS interaction_id, count(*) AS owners FROM f GROUP BY 1)
         SELECT interaction_id, coalesce(owners, 0) AS owners, count(*) AS updates FROM f LEFT JOIN o USING (interaction_id) WHERE coalesce(owners, 0) <> 1 GROUP BY ALL"""),
 }

@@ -101,8 +101,8 @@ def bm25_batch_topk(spark, sf_dir):
 
 def _boost(name: str):
     def run(spark, sf_dir):
-        rows = scored(index_of(spark, sf_dir), benchmark_queries(spark, sf_dir), CONFIG, TOP_K)
-        kept = rows.filter((F.col("lexical") > 0) & (F.col(name) != 0))
+        rows = scored(index_of(spark, sf_dir), benchmark_queries(spark, sf_dir), CONFIG)
+        kept = rows.filter(F.col(name) != 0)
         return kept.select("query_id", "chunk_id", F.round(name, 6).alias(name))
 
     return run
@@ -118,7 +118,7 @@ def ranked_search_debug(spark, sf_dir):
 
 
 def evidence_dedupe(spark, sf_dir):
-    rows = scored(index_of(spark, sf_dir), benchmark_queries(spark, sf_dir), CONFIG, TOP_K).filter("lexical > 0")
+    rows = scored(index_of(spark, sf_dir), benchmark_queries(spark, sf_dir), CONFIG)
     return best_evidence(rows).groupBy("query_id").agg(
         F.count("*").alias("evidence_keys"), F.round(F.sum("score"), 3).alias("score_sum"))
 
@@ -334,7 +334,7 @@ def preview_sql(text: str, limit: int) -> str:
 
 
 def _boost_sql(name: str) -> str:
-    return f"WITH {scored_sql(BENCHMARK_SQL)} SELECT query_id, chunk_id, round({name}, 6) AS {name} FROM scored WHERE lexical > 0 AND score > 0 AND {name} <> 0"
+    return f"WITH {scored_sql(BENCHMARK_SQL)} SELECT query_id, chunk_id, round({name}, 6) AS {name} FROM scored WHERE score > 0 AND {name} <> 0"
 
 
 _ONE_SQL = f"SELECT CAST(0 AS BIGINT) AS query_id, '{ONE_QUERY}' AS query"
@@ -359,7 +359,7 @@ WORKLOADS = {
                round(role_boost, 6) AS role_boost, round(repository_boost, 6) AS repository_boost FROM ranked"""),
     "sparse_search": (sparse_search, f"WITH {ranked_sql(_SPARSE_SQL, 25)} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ranked"),
     "evidence_dedupe": (evidence_dedupe, f"""WITH {scored_sql(BENCHMARK_SQL)}, keyed AS (
-        SELECT * FROM scored WHERE score > 0 AND lexical > 0
+        SELECT * FROM scored WHERE score > 0
         QUALIFY row_number() OVER (PARTITION BY query_id, repository, source_path, label ORDER BY score DESC, chunk_id) = 1)
         SELECT query_id, count(*) AS evidence_keys, round(sum(score), 3) AS score_sum FROM keyed GROUP BY query_id"""),
     "evidence_packing": (evidence_packing, f"""WITH {packed_sql(10)}

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from spanloom.config import PREAMBLE_TITLE, ChunkConfig
@@ -68,11 +69,11 @@ def safe_headers(spark, sf_dir):
 
 
 def _wide_nodes(spark, sf_dir):
-    """Every fifth line as a node that reaches into the next one."""
+    """Every line as a node, and every fifth of them reaches into the next one."""
     base = with_nodes(spark, sf_dir)
-    wide = F.transform(
-        F.filter("nodes", lambda n, i: i % 5 == 0),
-        lambda n: F.struct(F.lit("for_statement").alias("type"), n["start"].alias("start"), (n["end"] + 2).alias("end")))
+    wide = F.transform("nodes", lambda n, i: F.struct(
+        F.when(i % 5 == 0, "for_statement").otherwise(n["type"]).alias("type"), n["start"].alias("start"),
+        (n["end"] + F.when(i % 5 == 0, 2).otherwise(0)).alias("end")))
     return base.withColumn("nodes", wide)
 
 
@@ -90,9 +91,9 @@ def section_spans(spark, sf_dir):
         F.array_join("node_types", ",").alias("node_types"), F.sha2("content", 256).alias("content_sha"))
 
 
-def section_pieces(spark, sf_dir):
+def section_pieces(spark, sf_dir, config=CONFIG):
     """Section chunks with oversized sections packed at statements."""
-    found = S.section_chunks(with_nodes(spark, sf_dir), CONFIG)
+    found = S.section_chunks(with_nodes(spark, sf_dir), config)
     return found.select(
         F.col("original_function_chunk_id").alias("function"), F.col("section_index").cast("long").alias("section_index"),
         F.col("subchunk_index").cast("long").alias("subchunk_index"), "chunk_type", "chunk_id", "byte_start", "byte_end")
@@ -107,14 +108,14 @@ def greedy_pack(spark, sf_dir):
     return spans.select("chunk_id", "piece", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
 
-def line_windows(spark, sf_dir):
-    return S.window_chunks(functions(spark, sf_dir), CONFIG).select(
+def line_windows(spark, sf_dir, config=ChunkConfig()):
+    return S.window_chunks(functions(spark, sf_dir), config).select(
         F.col("parent_chunk_id").alias("chunk_id"), F.col("subchunk_index").cast("long").alias("subchunk_index"),
         "start_line", "end_line", "byte_start", "byte_end", F.sha2("content", 256).alias("content_sha"))
 
 
-def statement_segments(spark, sf_dir):
-    return S.statement_chunks(with_nodes(spark, sf_dir), CONFIG).select(
+def statement_segments(spark, sf_dir, config=CONFIG):
+    return S.statement_chunks(with_nodes(spark, sf_dir), config).select(
         F.col("parent_chunk_id").alias("chunk_id"), F.col("subchunk_index").cast("long").alias("subchunk_index"),
         "start_line", "byte_start", "byte_end", "boundary_start", "boundary_end", F.sha2("content", 256).alias("content_sha"))
 
@@ -142,11 +143,10 @@ def byte_line_numbers(spark, sf_dir):
 
 
 def byte_slices(spark, sf_dir):
-    """The middle line of each text cut out by its byte range."""
+    """Every line of each text cut out by its byte range."""
     docs = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     lines = S.line_table(docs)
-    pick = lines.withColumn("n", F.count("*").over(Window.partitionBy("chunk_id"))).filter("line_index = floor(n / 2)")
-    return pick.join(docs, "chunk_id").select(
+    return lines.join(docs, "chunk_id").select(
         "chunk_id", "byte_start", "byte_end",
         F.sha2(S.slice_text(F.col("content"), F.col("byte_start"), F.col("byte_end")), 256).alias("slice_sha"))
 
@@ -201,9 +201,9 @@ rows AS (SELECT 'D1' AS policy, file, size FROM sized UNION ALL SELECT 'D2', fil
 WORKLOADS = {
     "line_table": (line_table, f"WITH {_FUNCTIONS} SELECT chunk_id, CAST(line_index AS INTEGER) AS line_index, byte_start, byte_end, sha256(line) AS line_sha FROM lines"),
     "section_headers": (header_blocks, f"WITH {_FUNCTIONS} SELECT chunk_id, CASE WHEN issue IS NULL THEN title END AS title, local_byte_start, relative_line, issue FROM judged"),
-    "safe_headers": (safe_headers, f"""WITH {_FUNCTIONS}, wide AS (SELECT chunk_id, s, e + 2 AS e FROM nodes QUALIFY (row_number() OVER (PARTITION BY chunk_id ORDER BY s) - 1) % 5 = 0)
+    "safe_headers": (safe_headers, f"""WITH {_FUNCTIONS}, wide AS (SELECT chunk_id, s, e + CASE WHEN (row_number() OVER (PARTITION BY chunk_id ORDER BY s) - 1) % 5 = 0 THEN 2 ELSE 0 END AS e FROM nodes)
         SELECT chunk_id, local_byte_start FROM heads h WHERE NOT EXISTS (SELECT 1 FROM wide n WHERE n.chunk_id = h.chunk_id AND n.s < h.local_byte_start AND h.local_byte_start < n.e)"""),
-    "header_conflicts": (header_conflicts, f"""WITH {_FUNCTIONS}, wide AS (SELECT chunk_id, s, e + 2 AS e FROM nodes QUALIFY (row_number() OVER (PARTITION BY chunk_id ORDER BY s) - 1) % 5 = 0)
+    "header_conflicts": (header_conflicts, f"""WITH {_FUNCTIONS}, wide AS (SELECT chunk_id, s, e + CASE WHEN (row_number() OVER (PARTITION BY chunk_id ORDER BY s) - 1) % 5 = 0 THEN 2 ELSE 0 END AS e FROM nodes)
         SELECT h.chunk_id, title, relative_line, 'for_statement' AS containing_node_type FROM heads h JOIN wide n ON n.chunk_id = h.chunk_id AND n.s < h.local_byte_start AND h.local_byte_start < n.e"""),
     "section_spans": (section_spans, f"""WITH {_SECTIONS} SELECT chunk_id AS function, section_index, title AS section_title, 'semantic_section' AS chunk_type,
         sha1(chunk_id || ':e1:' || section_index || ':0:' || s || ':' || e) AS chunk_id, 9 + {_LINE.format(c='sections.chunk_id', o='s')} AS start_line,
@@ -221,7 +221,7 @@ WORKLOADS = {
     "greedy_pack": (greedy_pack, f"""WITH RECURSIVE {_FUNCTIONS}, edges AS (SELECT chunk_id, pos, row_number() OVER (PARTITION BY chunk_id ORDER BY pos) AS i FROM (
           SELECT chunk_id, byte_start AS pos FROM lines UNION SELECT chunk_id, max(byte_end) FROM lines GROUP BY 1)), {_pack('edges', 'chunk_id')}
         SELECT chunk_id, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY a) - 1 AS INTEGER) AS piece, a AS start, b AS end FROM pieces"""),
-    "line_windows_50": (line_windows, f"""WITH {_FUNCTIONS}, w AS (SELECT chunk_id, line_index // 4 AS subchunk_index, 10 + min(line_index) AS start_line, 10 + max(line_index) AS end_line,
+    "line_windows_50": (line_windows, f"""WITH {_FUNCTIONS}, w AS (SELECT chunk_id, line_index // 50 AS subchunk_index, 10 + min(line_index) AS start_line, 10 + max(line_index) AS end_line,
           100 + min(byte_start) AS byte_start, 100 + max(byte_end) AS byte_end, sha256(string_agg(line, '' ORDER BY line_index)) AS content_sha FROM lines GROUP BY 1, 2) SELECT * FROM w"""),
     "statement_segments": (statement_segments, f"""WITH RECURSIVE {_FUNCTIONS}, {_SEGMENT_EDGES}, {_pack('edges', 'chunk_id')},
         n AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY a) - 1 AS j FROM pieces),
@@ -239,6 +239,14 @@ WORKLOADS = {
           1 + (SELECT count(*) FROM ends WHERE ends.doc_id = o.doc_id AND e < "offset") AS last_line FROM o"""),
     "byte_slices": (byte_slices, """WITH cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS part, unnest(range(0, len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n FROM documents),
         lines AS (SELECT doc_id, i, n, part || CASE WHEN i < n - 1 THEN chr(10) ELSE '' END AS line FROM cut),
-        kept AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS m, sum(strlen(line)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM lines WHERE line <> '')
-        SELECT doc_id AS chunk_id, CAST(e - strlen(line) AS BIGINT) AS byte_start, CAST(e AS BIGINT) AS byte_end, sha256(line) AS slice_sha FROM kept WHERE i = m // 2"""),
+        kept AS (SELECT *, sum(strlen(line)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM lines WHERE line <> '')
+        SELECT doc_id AS chunk_id, CAST(e - strlen(line) AS BIGINT) AS byte_start, CAST(e AS BIGINT) AS byte_end, sha256(line) AS slice_sha FROM kept"""),
+}
+
+# The same with windows of four lines, and with the default limit of 5,000 bytes.
+_DEFAULT = ChunkConfig()
+WORKLOADS |= {
+    "line_windows_4": (partial(line_windows, config=CONFIG), WORKLOADS["line_windows_50"][1].replace("// 50", "// 4")),
+    "section_pieces_5000": (partial(section_pieces, config=_DEFAULT), WORKLOADS["section_pieces"][1].replace("> 600", "> 5000")),
+    "statement_segments_5000": (partial(statement_segments, config=_DEFAULT), WORKLOADS["statement_segments"][1].replace("> 600", "> 5000")),
 }

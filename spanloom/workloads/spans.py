@@ -163,9 +163,10 @@ def file_checks(spark, sf_dir):
         F.col("s_suppkey").alias("file"), F.col("s_name").alias("purpose"), F.concat("s_name", F.lit("\nx")).alias("content"),
         F.element_at(F.array(F.lit("cpp"), F.lit("python"), F.lit("json")), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("language"))
     spans = span_table(spark, sf_dir)
-    nodes = spans.filter("chunk_index % 11 = 0").withColumn(
+    nodes = spans.withColumn(
         "node_type", F.when(F.col("node_type") == "method_declaration", "function_definition").otherwise(F.col("node_type")))
-    intact = S.exact_span_matches(nodes, spans.filter("chunk_index % 13 <> 0"))
+    intact = S.exact_span_matches(nodes, spans.withColumn(
+        "byte_end", F.col("byte_end") + (F.col("chunk_index") % 97 == 0).cast("int")))
     return C.file_checks(files, spans, intact).select(
         "file", "purpose", "language", "chunking_checked", F.col("line_count").cast("long").alias("line_count"),
         F.coalesce("raw_chunk_count", F.lit(-1)).alias("raw_chunk_count"), F.coalesce("median", F.lit(-1.0)).alias("median"),
@@ -259,8 +260,8 @@ WORKLOADS = {
     "most_common_types": (most_common_types, f"""WITH {_SPANS_SQL}, g AS (SELECT file, node_type, count(*) AS chunks FROM spans GROUP BY ALL)
         SELECT *, row_number() OVER (PARTITION BY file ORDER BY chunks DESC, node_type) AS place FROM g"""),
     "file_checks": (file_checks, f"""WITH {_SPANS_SQL}, nodes AS (SELECT file, byte_start, byte_end, CASE WHEN node_type = 'method_declaration' THEN 'function_definition' ELSE node_type END AS node_type
-          FROM spans WHERE chunk_index % 11 = 0),
-        hit AS (SELECT DISTINCT file, byte_start, byte_end, CASE WHEN node_type = 'method_declaration' THEN 'function_definition' ELSE node_type END AS node_type FROM spans WHERE chunk_index % 13 <> 0),
+          FROM spans),
+        hit AS (SELECT DISTINCT file, byte_start, byte_end + CASE WHEN chunk_index % 97 = 0 THEN 1 ELSE 0 END AS byte_end, CASE WHEN node_type = 'method_declaration' THEN 'function_definition' ELSE node_type END AS node_type FROM spans),
         i AS (SELECT n.file, bool_and(h.file IS NOT NULL) AS ok FROM nodes n LEFT JOIN hit h USING (file, byte_start, byte_end, node_type) GROUP BY 1),
         z AS (SELECT file, count(*) AS n, median(byte_end - byte_start) AS med, count(*) FILTER (byte_end - byte_start < 100) AS tiny, count(*) FILTER (byte_end - byte_start > 5000) AS big FROM spans GROUP BY 1),
         f AS (SELECT s_suppkey AS file, s_name AS purpose, ['cpp','python','json'][s_suppkey % 3 + 1] AS language, s_suppkey % 3 <> 2 AS checked FROM supplier)

@@ -64,12 +64,14 @@ def test_package_and_combined_corpus(spark, tmp_path):
         "examples/c.json": '{"a": 1}\n', "tests/broken.json": "{", "pkg/embedded/z.py": "def no(): pass\n",
         "other/y.py": "def no(): pass\n",
     })
+    (tmp_path / "r/pkg/config/latin.py").write_bytes("x = 'é'".encode("latin-1"))
     chunks, problems = B.package_corpus(spark, root, "Pkg", "pkg")
     rows = chunks.collect()
     assert {(r["symbol"], r["chunk_type"], r["source_role"]) for r in rows} == {
         ("A", "class_definition", "config_or_schema"), ("f", "function_definition", "config_or_schema"),
         ("c", "config_document", "config_or_schema"), ("broken", "config_document", "config_or_schema")}
-    assert {r["source_path"] for r in problems.collect()} == {"pkg/config/bad.py", "tests/broken.json"}
+    assert {r["source_path"] for r in problems.collect()} == {
+        "pkg/config/bad.py", "tests/broken.json", "pkg/config/latin.py"}
     one, two, both = (str(tmp_path / n) for n in ("one", "two", "both"))
     C.write_corpus(chunks, one)
     C.write_corpus(chunks.withColumn("chunk_id", F.concat(F.lit("x"), "chunk_id")), two)
@@ -79,7 +81,7 @@ def test_package_and_combined_corpus(spark, tmp_path):
     assert report["chunk_size_bytes"]["median"] == (sizes[3] + sizes[4]) / 2
     with pytest.raises(ValueError, match="validation failed"):
         B.combined_corpus(spark, [one, one], str(tmp_path / "dup"))
-    B.write_summary(report, str(tmp_path / "s.json"))
+    B.write_summary(spark, report, str(tmp_path / "s.json"))
     assert json.loads((tmp_path / "s.json").read_text())["total_chunk_count"] == 8
 
 
@@ -147,6 +149,9 @@ def test_review_batch_refuses_bad_logs(spark, tmp_path, bad, reason):
 
 def test_session_reports(spark, tmp_path):
     root = sessions(tmp_path / "log")
+    with pytest.raises(ValueError, match="without interactions"):
+        V.export(spark, root, str(tmp_path / "refused"))
+    (tmp_path / "log/empty/session_9.jsonl").unlink()
     V.export(spark, root, str(tmp_path / "out"))
     made = sorted({p.parent.name for p in (tmp_path / "out").glob("*/*/part-*")})
     assert made == ["session_id=session_1", "session_id=session_2"]
@@ -155,6 +160,7 @@ def test_session_reports(spark, tmp_path):
     order = [text.index(x) for x in ("## Helpful", "### Interaction 1", "## Needs Review", "### Unclear", "#### Interaction 2", "## Unrated", "### Interaction 3")]
     assert order == sorted(order)
     sessions(tmp_path / "log", {"amy/session_4.jsonl": record("bob", "session_4", 1)})
+    (tmp_path / "log/empty/session_9.jsonl").unlink()
     with pytest.raises(ValueError, match="tester directory"):
         V.export(spark, root, str(tmp_path / "out2"))
 
@@ -211,8 +217,14 @@ def test_append_and_resume(spark, tmp_path):
     made = I.build_interactions(answers, {"Lib": "abc"})
     S.append_interactions(made, str(tmp_path / "log"))
     S.append_interactions(made.withColumn("interaction_id", F.lit("other")), str(tmp_path / "log"))
-    back = spark.read.json(str(tmp_path / "log"))
-    assert {r["interaction_id"] for r in back.collect()} == {"t_x_session_a_0001", "other"}
+    tree(tmp_path / "log", {"amy é#+ x/session_1.jsonl": record("amy é#+ x", "session_1", 1, alpha_commit="c1", repository_commits=None)})
+    lines = S.session_lines(spark, str(tmp_path / "log"))
+    back = S.interactions(lines).collect()
+    assert {(r["interaction_id"], r["source_session_file"], r["sequence"]) for r in back} == {
+        ("t_x_session_a_0001", "t_x/session_a.jsonl", 1), ("other", "t_x/session_a.jsonl", 2),
+        ("amy é#+ x_session_1_0001", "amy é#+ x/session_1.jsonl", 1)}
+    assert {str(r["repository_commits"]) for r in back} == {"{'Lib': 'abc'}", "{'alpha': 'c1'}"}
+    assert not S.empty_sessions(spark, str(tmp_path / "log")).count() and not I.session_violations(lines).count()
 
 
 def test_commands(spark, tmp_path, capsys):
@@ -227,10 +239,11 @@ def test_commands(spark, tmp_path, capsys):
                  "--repository", "Lib", "--debug"]) == 0
     shown = capsys.readouterr().out
     assert "#1 " in shown and "src/solver.cpp" in shown and "symbol_boost=24.0" in shown and "repository_boost=1.5" in shown
-    asked = tree(tmp_path / "q", {"a.json": '{"query_id": 1, "query": "run the domain"}\n'})
+    asked = tree(tmp_path / "q", {"a.json": '{"query_id": "a", "query": "run the domain"}\n{"query_id": 2, "query": "run"}\n'})
     assert main(["retrieve", "--corpus", out, "--queries", asked, "--output", str(tmp_path / "report")]) == 0
     assert main(["prompts", "--corpus", out, "--queries", asked, "--output", str(tmp_path / "prompts")]) == 0
-    assert spark.read.json(str(tmp_path / "prompts")).first()["has_evidence"]
+    found = {r["query_id"]: r["has_evidence"] for r in spark.read.json(str(tmp_path / "prompts")).collect()}
+    assert found == {"a": True, "2": True}
     log = sessions(tmp_path / "log")
     assert main(["review", "--root", log, "--timestamp-suffix", "bad"]) == 1
     assert main(["check", "--root", log, "--output", str(tmp_path / "check")]) == 0

@@ -188,10 +188,10 @@ def test_answers(spark):
 
     def client(system, prompt):
         if "here" in prompt.splitlines()[1]:
-            raise RuntimeError("down")
+            raise RuntimeError('{"api_key": "k1", "why": "token=k2 down"}')
         return "  answer  "
 
     rows = {r["query_id"]: r for r in retriever.answer(queries, client=client, model="m").collect()}
     assert rows[0]["success"] and rows[0]["answer"] == "answer"
     assert rows[1]["error"] == "No retrieval evidence was found for the query."
-    assert rows[2]["error"] == "LLM request failed: RuntimeError."
+    assert rows[2]["error"] == '{"api_key": "[redacted]", "why": "token=[redacted] down"}'

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import scale
@@ -23,10 +24,10 @@ def test_running_over_buckets(spark):
 
 
 def test_numbering_in_ranges(spark):
-    rows = [(i % 7, f"id{i:05d}") for i in range(2000)]
+    rows = [(i % 7, f"id{i:05d}") for i in range(2000)] + [(3, None)]
     df = spark.createDataFrame(rows, "a long, b string").repartition(6)
     got = scale.numbered(df, ["a", "b"], "n", rows_per_range=150).collect()
-    want = {row: i + 1 for i, row in enumerate(sorted(rows))}
+    want = {row: i + 1 for i, row in enumerate(sorted(rows, key=lambda r: (r[0], r[1] or "")))}
     assert {(r["a"], r["b"]): r["n"] for r in got} == want
 
 
@@ -48,3 +49,21 @@ def test_deep_top_rows(spark):
 def test_small_scan_is_spread(spark):
     assert scale.spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert scale.spread(spark.range(0, 10**9, 1, 40)).rdd.getNumPartitions() == 40
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from spanloom import session
+
+    conf = {}
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="scratch"):
+        session.shared_folder(fake)
+    conf["spark.checkpoint.dir"] = "hdfs://x"
+    assert session.shared_folder(fake) == "hdfs://x"
+    conf[session.SCRATCH_KEY] = "hdfs://own"
+    assert session.shared_folder(fake) == "hdfs://own"
+    conf.clear()
+    fake.sparkContext.master = "local[4]"
+    assert session.shared_folder(fake) == session.shared_folder(fake)

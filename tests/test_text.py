@@ -83,6 +83,10 @@ def test_redaction(spark):
     body = '{"X-Token": {"deep": 1}, "list": [{"password": "p"}], "ok": 1}'
     assert one(spark, J.redact_body(F.lit(body))) == (
         '{"X-Token": "[redacted]", "list": [{"password": "[redacted]"}], "ok": 1}')
+    deep = '{"a":' * 400 + '{"api_token" : [1, {"x": "}"}], "b": "q\\"{", "c": null}' + "}" * 400
+    assert one(spark, J.redact_body(F.lit(deep))).replace('{"a": ', "").rstrip("}") == '{"api_token": "[redacted]", "b": "q\\"{", "c": null'
+    assert one(spark, J.redact_body(F.lit("not json {"))) == "not json {"
+    assert one(spark, J.safe_message(J.redact_body(F.lit('{"secret": 1, "m": "token=abc x"}')))) == '{"secret": "[redacted]", "m": "token=[redacted] x"}'
 
 
 def test_paths(spark):
