@@ -9,9 +9,12 @@ depends on the window alone. Pieces then look up their place by rank.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator, Mapping
 from functools import cache
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -104,11 +107,27 @@ def planned(counts: Mapping[int, int], window: int = WINDOW) -> tuple[np.ndarray
     return np.array(plan, np.int64).reshape(-1, 6), windows
 
 
+# The split pattern of the word tokenizer that PieceEncoder knows, and its parts for Latin-1 in lower case.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+
+
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
 class WordEncoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit ids, by encoding each new word once.
 
     For tokenizers that never join characters across ASCII white space and drop
-    it. The cache is emptied when full; results don't depend on it.
+    it. Words of Latin-1 letters and ASCII are split into pieces here, where the
+    tokenizer splits as SPLIT does, and each new piece is encoded once; all other
+    words go through the whole tokenizer. The caches are emptied when full;
+    results don't depend on them.
     """
 
     def __init__(self, path: str) -> None:
@@ -116,17 +135,44 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.characters = _byte_characters()
+        steps = json.loads(self.tokenizer.to_str())
+        split = (steps["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self.splits = (
+            [n["type"] for n in (steps["normalizer"] or {}).get("normalizers", ())] == ["NFC", "Replace", "Lowercase"]
+            and [x.get("type") for x in split] == ["Split", "ByteLevel"] and split[0]["pattern"] == {"Regex": SPLIT}
+            and (split[0]["behavior"], split[0]["invert"], split[1]["add_prefix_space"]) == ("Removed", True, False)
+        )
+
+    def piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            mapped = piece if piece.isascii() else "".join([self.characters[b] for b in piece.encode()])
+            ids = [t.id for t in self.model.tokenize(mapped)]
+            found = self.pieces[piece] = pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def learn(self, words: list[bytes]) -> None:
+        """Adds words that are not known yet."""
+        other = []
+        for word in words:
+            text = word.decode()
+            if self.splits and LATIN.fullmatch(text):
+                self.known[word] = b"".join([self.piece(p) for p in PIECES.findall(text.lower())])
+            else:
+                other.append(word)
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
+        self.known.update(zip(other, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
 
     def encode(self, texts: list[list[bytes]]) -> list[bytes]:
-        new = list(set().union(*texts).difference(self.known))
+        new = set().union(*texts).difference(self.known)
         if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
-            new = list(set().union(*texts))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            encoded = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
+            self.known, self.pieces = {}, {}
+            new = set().union(*texts)
+        self.learn(list(new))
         known = self.known.__getitem__
         return [b"".join(map(known, text)) for text in texts]
 

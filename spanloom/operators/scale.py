@@ -10,16 +10,30 @@ from pyspark.sql import functions as F
 
 from spanloom.session import written
 
-# Rows that may be broadcast, and the copies made of a side that may not.
+# Rows and bytes that may be broadcast, and the copies made of a side that may not.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 64
 # Estimated size up to which an input is spread over the cores.
 SMALL_BYTES = 256 << 20
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether `df` is proven to hold at most `rows` rows. Reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
+def at_most(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
+    """Whether `df` is proven to hold at most `rows` rows and `size` bytes. Reads no more rows than that."""
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
+    return n <= rows and total <= size
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: texts by their length, nested values by that of their JSON."""
+    total = F.lit(8 * len(df.columns)).cast("long")
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind.startswith(("array", "map", "struct")):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+        elif kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0))
+    return total
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanloom.config import DEFAULT_TESTER, EXPORT_DIRECTORY, REVIEW_DIRECTORY
 from spanloom.functions.text import is_blank
 from spanloom.operators.interactions import numbered_in_session
+from spanloom.operators.scale import numbered
 from spanloom.schemas import INTERACTION
 from spanloom.session import written
 
@@ -105,6 +106,12 @@ def exportable(lines: DataFrame) -> DataFrame:
     )
 
 
+def sessions_of(lines: DataFrame, tester: str) -> DataFrame:
+    """(path, place): the session files of one tester, placed by the parts of their paths, not by their texts."""
+    found = exportable(lines).filter(F.split("path", "/")[0] == tester).select("path").distinct()
+    return numbered(found.withColumn("_parts", F.split("path", "/")), ["_parts"], "place").select("path", "place")
+
+
 def excluded_testers(lines: DataFrame) -> DataFrame:
     return lines.filter(F.split("path", "/")[0] == DEFAULT_TESTER).select(F.lit(DEFAULT_TESTER).alias("tester_id")).distinct()
 

@@ -13,6 +13,7 @@ from spanloom.schemas import SOURCE
 from spanloom.session import new_table_path
 from spanloom.sources.sessions import (
     append_interactions, excluded_testers, exportable, interactions, next_session, path_problem, session_lines,
+    sessions_of,
 )
 from spanloom.sources.tables import table
 
@@ -191,6 +192,14 @@ def session_paths(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(path.alias("path"), path_problem(path).alias("problem"))
 
 
+def tester_sessions(spark, sf_dir):
+    """Session files of one tester in the order of their paths."""
+    n = F.col("c_custkey")
+    lines = table(spark, sf_dir, "customer").select(
+        F.concat(F.element_at(F.array(F.lit("amy"), F.lit("bob")), (n % 2 + 1).cast("int")), F.lit("/session_"), n % 90, F.lit(".jsonl")).alias("path"))
+    return sessions_of(lines, "bob").select("path", F.col("place").cast("long").alias("place"))
+
+
 def exportable_sessions(spark, sf_dir):
     """Session files kept for export, and the development tester left out."""
     n = F.col("c_custkey")
@@ -389,6 +398,8 @@ WORKLOADS = {
     "session_paths": (session_paths, """SELECT ['amy/session_','amy/notes_','review_batches/session_','../x/session_','a/b/session_','/session_'][c_custkey % 6 + 1] || c_custkey || '.jsonl' AS path,
         [NULL, 'Session filename must match session_*.jsonl.', 'Session file must be directly inside a tester directory.', 'Session path must be inside the log root.',
          'Session file must be directly inside a tester directory.', 'Session path must be inside the log root.'][c_custkey % 6 + 1] AS problem FROM customer"""),
+    "tester_sessions": (tester_sessions, """SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS place
+        FROM (SELECT DISTINCT 'bob/session_' || c_custkey % 90 || '.jsonl' AS path FROM customer WHERE c_custkey % 2 = 1)"""),
     "exportable_sessions": (exportable_sessions, """SELECT 'amy/session_' || c_custkey % 40 || '.jsonl' AS path, count(*) AS lines FROM customer WHERE c_custkey % 5 = 0 GROUP BY 1
         UNION ALL SELECT DISTINCT 'excluded: local_tester', CAST(0 AS BIGINT) FROM customer WHERE c_custkey % 5 = 1"""),
     "review_violations": (review_violations, f"""WITH {_LINES} SELECT path, line_number, problem FROM (SELECT *, CASE WHEN kind = 'bad' THEN 'invalid JSON' WHEN kind = 'array' THEN 'JSONL value must be an object'

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spanloom.config import PREAMBLE_TITLE, ChunkConfig
 from spanloom.operators import sections as S
-from spanloom.operators.corpus import threshold_counts
+from spanloom.operators.corpus import distribution, threshold_counts
 from spanloom.sources.tables import texts
 
 # Smaller limits than the default ones, so that most documents are oversized.
@@ -120,13 +120,34 @@ def statement_segments(spark, sf_dir, config=CONFIG):
         "start_line", "byte_start", "byte_end", "boundary_start", "boundary_end", F.sha2("content", 256).alias("content_sha"))
 
 
-def policy_comparison(spark, sf_dir):
-    """Chunk counts and sizes of the three splitting policies per file."""
+def _policy_rows(spark, sf_dir):
     base = with_nodes(spark, sf_dir)
     rows = None
     for policy in ("D1", "D2", "D3"):
         part = S.policy_chunks(base, policy, CONFIG).withColumn("policy", F.lit(policy))
         rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def policy_totals(spark, sf_dir):
+    """Chunks, bytes and median size of each splitting policy over all files."""
+    rows = _policy_rows(spark, sf_dir).select("policy", "file", (F.col("byte_end") - F.col("byte_start")).alias("size"))
+    totals = rows.groupBy("policy").agg(F.countDistinct("file").alias("files"), F.sum("size").alias("bytes"))
+    return distribution(rows, "size", ["policy"]).select("policy", F.col("count").alias("chunks"), "median").join(totals, "policy")
+
+
+def pieces_by_parent(spark, sf_dir):
+    """Every function with how many line windows it was cut into and how many bytes these cover."""
+    parents = functions(spark, sf_dir)
+    pieces = S.window_chunks(parents, CONFIG).groupBy("parent_chunk_id").agg(
+        F.count("*").alias("pieces"), F.sum(F.col("byte_end") - F.col("byte_start")).alias("bytes"))
+    return parents.join(pieces, F.col("chunk_id") == F.col("parent_chunk_id"), "left").select(
+        "chunk_id", F.coalesce("pieces", F.lit(0)).alias("pieces"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+
+
+def policy_comparison(spark, sf_dir):
+    """Chunk counts and sizes of the three splitting policies per file."""
+    rows = _policy_rows(spark, sf_dir)
     size = F.col("byte_end") - F.col("byte_start")
     counts = rows.groupBy("policy", "file").agg(
         F.count("*").alias("chunks"), F.min(size).alias("min"), F.max(size).alias("max"), F.round(F.avg(size), 6).alias("mean"))
@@ -232,6 +253,10 @@ WORKLOADS = {
           sha256(coalesce((SELECT string_agg(line, '' ORDER BY line_index) FROM lines l WHERE l.chunk_id = m.chunk_id AND l.byte_start >= a AND l.byte_end <= b), '')) AS content_sha FROM m"""),
     "policy_comparison": (policy_comparison, f"""WITH RECURSIVE {_FUNCTIONS}, {_SEGMENT_EDGES}, {_pack('edges', 'chunk_id')}, {_D_ROWS}
         SELECT policy, file, count(*) AS chunks, min(size) AS min, max(size) AS max, round(avg(size), 6) AS mean, count(*) FILTER (size > 600) AS gt_600_bytes FROM rows GROUP BY 1, 2"""),
+    "policy_totals": (policy_totals, f"""WITH RECURSIVE {_FUNCTIONS}, {_SEGMENT_EDGES}, {_pack('edges', 'chunk_id')}, {_D_ROWS}
+        SELECT policy, count(*) AS chunks, median(size) AS median, count(DISTINCT file) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM rows GROUP BY 1"""),
+    "pieces_by_parent": (pieces_by_parent, f"""WITH {_FUNCTIONS} SELECT t.chunk_id, count(DISTINCT l.line_index // 4) AS pieces, CAST(coalesce(sum(strlen(l.line)), 0) AS BIGINT) AS bytes
+        FROM texts t LEFT JOIN lines l USING (chunk_id) GROUP BY 1"""),
     "byte_line_numbers": (byte_line_numbers, """WITH o AS (SELECT doc_id, text, unnest([0, CAST(floor(strlen(text) / 3) AS BIGINT), CAST(floor(strlen(text) * 2 / 3) AS BIGINT), strlen(text)]) AS "offset" FROM documents),
         cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS part, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
         ends AS (SELECT doc_id, sum(strlen(part) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM cut)
