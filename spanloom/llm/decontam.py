@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.scale import at_most
+from spanloom.session import written
 
 # Placeholders, one control character each; texts are rid of these first.
 NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
@@ -108,7 +109,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, matching: Matching = Matching()
         "doc_id", "item_id", "place", "at", "slots", "n_windows", (F.col("at") - F.col("place")).alias("run")
     )
     # The rest works on documents that share windows with an item: (document, item, window) once per run.
-    found = hits.groupBy("doc_id", "item_id", "n_windows", "run", "place").agg(F.first("slots").alias("slots"))
+    found = written(
+        hits.groupBy("doc_id", "item_id", "n_windows", "run", "place").agg(F.first("slots").alias("slots")), "window-hits"
+    )
     likely = found.groupBy("doc_id", "item_id", "n_windows").agg(
         F.countDistinct("place").alias("n"), F.max("slots").alias("slots")
     ).filter(F.col("n") >= matching.coverage * F.col("n_windows"))
@@ -116,7 +119,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, matching: Matching = Matching()
         likely.select(F.col("doc_id").alias("_d"), F.col("item_id").alias("_i"), F.col("slots").alias("_s")),
         F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("item_id").eqNullSafe(F.col("_i")),
     ).drop("_d", "_i")
-    checked = _consistency(texts, items, runs.filter("slots > 0").select("doc_id", "item_id", "run", "place"))
+    placed = written(runs.filter("slots > 0").select("doc_id", "item_id", "run", "place"), "slot-runs")
+    checked = _consistency(texts, items, placed) if not placed.isEmpty() else placed.select(
+        "doc_id", "item_id", "run", F.lit(True).alias("consistent"), F.lit(False).alias("changed")
+    )
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("doc_id", "item_id", "run")]
     judged = runs.join(
         checked.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "item_id", "run")], "consistent", "changed"),

@@ -29,11 +29,11 @@ UNKNOWN = "und"
 class Training:
     """The bounded sample and how the model is fitted: at most documents x lines per language."""
 
-    documents: int = 400
+    documents: int = 250
     lines: int = 3
     words: int = 40
-    epochs: int = 4
-    batch: int = 32
+    epochs: int = 3
+    batch: int = 64
     rate: float = 0.3
     ridge: float = 1e-4
     seed: int = 7
