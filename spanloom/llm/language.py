@@ -14,15 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh32_intdigest
 
 from spanloom.llm.common import batches_of
 
 SLOTS = 1 << 16
-CACHED_WORDS = 300_000
 UNKNOWN = "und"
+CHUNK_CHARS = 2_000_000
+NOT_LETTERS = regex.compile(r"[^\p{L}\n]+")
+STEP = np.uint64(0x100000001B3)
 
 
 @dataclass(frozen=True)
@@ -48,17 +50,44 @@ class Model:
     transitions: np.ndarray
 
 
-def word_features(word: str) -> list[int]:
-    """Slots of a word's features; none without a letter."""
-    core = "".join(filter(str.isalpha, word.lower()))
-    if not core:
-        return []
-    marked = f"^{core}$"
-    named = [f"w{core}"]
-    named += [f"p{core[:k]}" for k in (1, 2, 3)]
-    named += [f"s{core[-k:]}" for k in (1, 2, 3, 4)]
-    named += [marked[i : i + k] for k in (2, 3) for i in range(len(marked) - k + 1)]
-    return [xxh32_intdigest(f) % SLOTS for f in named]
+def _slot(value: np.ndarray, kind: int) -> np.ndarray:
+    """16-bit slots of feature values; `kind` keeps the kinds of features apart."""
+    mixed = (value + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(48)).astype(np.int64)
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, slot) of every feature of many words at once; a word without a letter owns none.
+
+    Of a word's letters in lower case: the whole, prefixes of up to three and
+    suffixes of up to four, and all pairs and triples between a start and an end mark.
+    """
+    letters = NOT_LETTERS.sub("", "\n".join(words).lower()).split("\n")
+    some = np.flatnonzero(np.fromiter(map(bool, letters), bool, len(letters)))
+    if not len(some):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    marked = "".join([f"^{w}$" for w in letters if w])
+    code = np.frombuffer(marked.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.fromiter((len(w) for w in letters if w), np.int64, len(some)) + 2
+    start = np.cumsum(size) - size
+    word = np.repeat(np.arange(len(some)), size)
+    place = np.arange(len(code)) - start[word]
+    left = size[word] - place
+    power = np.cumprod(np.full(size.max(), STEP, np.uint64))
+    owners, slots = [np.arange(len(some))], [_slot(np.add.reduceat(code * power[place], start), 1)]
+    for k in (2, 3):
+        at = np.flatnonzero(left >= k)
+        owners.append(word[at])
+        slots.append(_slot(sum(code[at + j] * power[j] for j in range(k)), 1 + k))
+    for kind, longest, first, way in ((10, 3, start + 1, 1), (20, 4, start + size - 2, -1)):
+        value = np.zeros(len(some), np.uint64)
+        for k in range(longest):
+            there = size - 2 > k
+            value[there] += code[first[there] + way * k] * power[k]
+            owners.append(np.flatnonzero(there))
+            slots.append(_slot(value[there], kind + k))
+    return some[np.concatenate(owners)], np.concatenate(slots)
 
 
 def posteriors(
@@ -115,7 +144,11 @@ def fitted(lines: list[tuple[str, str]], training: Training = Training()) -> Mod
     for lang, line in sorted(lines):
         words = line.split()
         runs += [(labels.index(lang), words[i : i + training.words]) for i in range(0, len(words), training.words)]
-    features: dict[str, list[int]] = {}
+    distinct = {w: i for i, w in enumerate(sorted({w for _, run in runs for w in run}))}
+    owner, slot = word_features(list(distinct))
+    order = np.argsort(owner, kind="stable")
+    own_slots, own_sizes = slot[order], np.bincount(owner, minlength=len(distinct))
+    own_starts = np.cumsum(own_sizes) - own_sizes
     squares, moved = np.full_like(model.weights, 1e-8), np.full_like(model.transitions, 1e-8)
     for _ in range(training.epochs):
         shuffled = [runs[i] for i in rng.permutation(len(runs))]
@@ -126,11 +159,10 @@ def fitted(lines: list[tuple[str, str]], training: Training = Training()) -> Mod
             words = [w for s in batch for _, run in s for w in run]
             truth = np.concatenate([np.full(len(run), label) for s in batch for label, run in s])
             lengths = np.array([sum(len(run) for _, run in s) for s in batch])
-            for w in set(words).difference(features):
-                features[w] = word_features(w)
-            sizes = np.array([len(features[w]) for w in words])
-            slots = np.array([f for w in words for f in features[w]], np.int64)
+            known = np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))
+            sizes = own_sizes[known]
             owner = np.repeat(np.arange(len(words)), sizes)
+            slots = own_slots[np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes - own_starts[known], sizes)]
             scale = 1 / np.sqrt(np.maximum(sizes, 1))
             scores = np.zeros((len(words), len(labels)))
             np.add.at(scores, owner, model.weights[slots])
@@ -155,32 +187,22 @@ def fitted(lines: list[tuple[str, str]], training: Training = Training()) -> Mod
 
 
 class Labeller:
-    """Applies a model; emissions of words are kept, up to a number of them, as they don't depend on the place."""
+    """Applies a model to many texts at a time; every distinct word is looked at once."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.known = model, {}
+        self.model = model
 
     def emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores per word, and which words have a letter."""
-        distinct = dict.fromkeys(words)
-        if len(self.known) + len(distinct) > CACHED_WORDS:
-            self.known = {}
-        new = [w for w in distinct if w not in self.known]
-        features = [word_features(w) for w in new]
-        sizes = np.array([len(f) for f in features], np.int64)
-        sums = np.zeros((len(new), len(self.model.labels)), np.float32)
-        some = sizes > 0
-        if some.any():
-            rows = self.model.weights[np.fromiter((s for f in features for s in f), np.int64, int(sizes.sum()))]
-            first = (np.cumsum(sizes) - sizes)[some]
-            sums[some] = np.add.reduceat(rows, first, axis=0) / np.sqrt(sizes[some])[:, None]
-        self.known.update((w, (s, bool(h))) for w, s, h in zip(new, sums, some))
-        for i, w in enumerate(distinct):
-            distinct[w] = i
-        table = np.array([self.known[w][0] for w in distinct]).reshape(len(distinct), -1)
-        letters = np.array([self.known[w][1] for w in distinct], bool)
+        distinct = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        owner, slots = word_features(list(distinct))
+        sizes = np.bincount(owner, minlength=len(distinct))
+        scale = 1 / np.sqrt(np.maximum(sizes, 1))
+        table = np.stack([
+            np.bincount(owner, self.model.weights[slots, k], len(distinct)) * scale for k in range(len(self.model.labels))
+        ], axis=1)
         places = np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))
-        return table[places].astype(np.float64), letters[places]
+        return table[places], (sizes > 0)[places]
 
     def label(self, texts: list[str]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """Per text its language, that one's share of the words with a letter, and the runs of words of one language."""
@@ -244,7 +266,7 @@ def labelled(docs: DataFrame, model: Model) -> DataFrame:
         labeller = Labeller(shared.value)
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column("text")]
-            for part in batches_of(zip(batch.column("doc_id").to_pylist(), texts), map(len, texts), 1_000_000):
+            for part in batches_of(zip(batch.column("doc_id").to_pylist(), texts), map(len, texts), CHUNK_CHARS):
                 found = labeller.label([t for _, t in part])
                 yield pa.RecordBatch.from_arrays(
                     [
