@@ -46,6 +46,16 @@ def test_plan_is_best_fit_decreasing(window):
         assert sorted(window - sum(s for _, s in own) for own in held.values()) == sorted(left) and windows == len(left)
 
 
+def test_words_encode_as_whole_texts():
+    rng = random.Random(9)
+    alphabet = list("aZ09 .,'!<|>\n\té\u00d7ßÜÿ") + ["'s", "'ll", "e\u0301", "Σ", "İ", "\u00a0", "\x1c", "\x01", "字", "<|endoftext|>", "½", "²", "ª"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    encoder = packing.WordEncoder(TOKENIZER)
+    assert encoder.splits
+    for text, ids in zip(texts, encoder.encode([t.encode().split() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing(spark):
     rng = random.Random(1)
     rows = ODD + [(i, " ".join(rng.choice(["alpha", "Béta", "12,5", "x'll"]) for _ in range(rng.randint(0, 90)))) for i in range(100, 300)]
@@ -122,6 +132,11 @@ def test_scores(spark):
     assert alone.base_score <= 0 and alone.score <= 0
 
 
+def test_ids_pack():
+    for ids in (np.zeros(0, np.int32), np.array([0, 65534, 65535, 65536, 1, 3_000_000], np.int32)):
+        assert maxent._ids(maxent._packed(ids)).tolist() == ids.tolist()
+
+
 def test_model_is_a_distribution():
     rng = np.random.default_rng(0)
     settings = maxent.Settings(classes=6, top_words=2, slots=16)
