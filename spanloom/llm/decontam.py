@@ -4,7 +4,7 @@ Numbers, names and units of a text become typed placeholders; windows of what
 remains are hashed and joined with those of the benchmark, so that a question is
 found under other parameters too. Where a matched run has placeholders, their
 values must be consistent: one value of the item stands for one value in the
-document.
+document. Windows with a value that stands for several do not count.
 """
 
 from __future__ import annotations
@@ -90,10 +90,10 @@ def item_windows(benchmark: DataFrame, matching: Matching) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, matching: Matching = Matching()) -> DataFrame:
     """One row per document and benchmark item it contains: doc_id, item_id, n_windows, n_matched, coverage, reparameterised.
 
-    n_windows are the item's, n_matched those found in runs with consistent
-    placeholders, coverage their share, at least that of `matching`;
-    reparameterised tells that some placeholder has another value than in the
-    item. Items of fewer tokens than a window, or of placeholders mostly, have
+    n_windows are the item's, n_matched those found whose placeholders are
+    consistent over their run, coverage their share, at least that of
+    `matching`; reparameterised tells that some placeholder of a matched window
+    has another value than in the item. Items of fewer tokens than a window, or of placeholders mostly, have
     no windows and are found nowhere. Null and empty texts contain nothing. Rows
     with one doc_id, null included, are one document; repeated items too. Other
     columns are left out.
@@ -121,12 +121,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, matching: Matching = Matching()
     ).drop("_d", "_i")
     placed = written(runs.filter("slots > 0").select("doc_id", "item_id", "run", "place"), "slot-runs")
     checked = _consistency(texts, items, placed) if not placed.isEmpty() else placed.select(
-        "doc_id", "item_id", "run", F.lit(True).alias("consistent"), F.lit(False).alias("changed")
+        "doc_id", "item_id", "run", "place", F.lit(True).alias("consistent"), F.lit(False).alias("changed")
     )
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("doc_id", "item_id", "run")]
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("doc_id", "item_id", "run", "place")]
     judged = runs.join(
-        checked.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "item_id", "run")], "consistent", "changed"),
-        same[0] & same[1] & same[2], "left",
+        checked.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "item_id", "run", "place")], "consistent", "changed"),
+        same[0] & same[1] & same[2] & same[3], "left",
     ).filter(F.coalesce("consistent", F.lit(True)))
     return (
         judged.groupBy("doc_id", "item_id", "n_windows")
@@ -138,7 +138,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, matching: Matching = Matching()
 
 
 def _consistency(texts: DataFrame, items: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per run with placeholders whether each value of the item stands for one value, and whether any differs."""
+    """Per window with placeholders whether each of its item values stands for one value in the whole run, and whether any differs."""
     wanted = runs.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "run", "place")).alias("runs")).withColumnRenamed("doc_id", "_d")
     read = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d"))).select(
         "doc_id", canonical_tokens(F.col("text")).alias("tokens"), slot_values(F.col("text")).alias("all_values"), "runs"
@@ -149,11 +149,13 @@ def _consistency(texts: DataFrame, items: DataFrame, runs: DataFrame) -> DataFra
     item_values = items.select(F.col("item_id").alias("_i"), F.col("place").alias("_p"), "values")
     pairs = each.join(
         item_values, F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("place") == F.col("_p"))
-    ).select("doc_id", "item_id", "run", F.explode(F.zip_with(
+    ).select("doc_id", "item_id", "run", "place", F.explode(F.zip_with(
         "values", F.slice("all_values", F.col("before") + 1, F.size("values")), lambda a, b: F.struct(a.alias("item"), b.alias("doc"))
     )).alias("v"))
-    return pairs.groupBy("doc_id", "item_id", "run", "v.item").agg(
-        F.min("v.doc").alias("low"), F.max("v.doc").alias("high"), F.max(~F.col("v.doc").eqNullSafe(F.col("v.item"))).alias("changed")
-    ).groupBy("doc_id", "item_id", "run").agg(
-        F.min(F.col("low").eqNullSafe(F.col("high"))).alias("consistent"), F.max("changed").alias("changed")
+    values = pairs.groupBy("doc_id", "item_id", "run", "v.item").agg(
+        F.min("v.doc").alias("low"), F.max("v.doc").alias("high"),
+        F.collect_set(F.struct("place", (~F.col("v.doc").eqNullSafe(F.col("v.item"))).alias("changed"))).alias("windows"),
     )
+    return values.select("doc_id", "item_id", "run", F.col("low").eqNullSafe(F.col("high")).alias("consistent"), F.explode("windows").alias("w")).groupBy(
+        "doc_id", "item_id", "run", F.col("w.place").alias("place")
+    ).agg(F.min("consistent").alias("consistent"), F.max("w.changed").alias("changed"))
