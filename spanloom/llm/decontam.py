@@ -4,7 +4,8 @@ Numbers, names and units of a text become typed placeholders; windows of what
 remains are hashed and joined with those of the benchmark, so that a question is
 found under other parameters too. Where a matched run has placeholders, their
 values must be consistent: one value of the item stands for one value in the
-document. Windows with a value that stands for several do not count.
+document. Windows with a value that stands for several do not count. Items that
+have no window are looked for as a whole, with their own values.
 """
 
 from __future__ import annotations
@@ -31,6 +32,15 @@ NUMBER_PATTERN = r"\p{N}+(?:[.,:/]\p{N}+)*"
 NAME_PATTERN = r"(?<=[\p{Ll},;] )\p{Lu}\p{L}+"
 UNIT_PATTERN = rf"(?<=\p{{N}} ?)(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])"
 VALUE_PATTERN = f"{NAME_PATTERN}|{UNIT_PATTERN}|{NUMBER_PATTERN}"
+# Scripts without spaces between words, a token per letter: Thai, Lao, Burmese, Khmer, kana, Chinese characters, Yi.
+UNSPACED = (
+    r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u312F\u31A0-\u9FFF\uA000-\uA4CF\uA9E0-\uA9FF\uAA60-\uAA7F\uF900-\uFAFF"
+    r"\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
+)
+WORD_PATTERN = rf"[\p{{L}}&&[^{UNSPACED}]]+|[\p{{L}}&&[{UNSPACED}]]\p{{M}}*"
+# Signs beside a number tell sums apart; elsewhere they are markup.
+SIGN = r"[-+*/^=<>%\u00D7\u00F7\u2212\p{Sc}]"
+SIGN_PATTERN = rf"(?<=\p{{N}} ?){SIGN}|{SIGN}(?= ?\p{{N}})"
 WINDOW = 8
 BROADCAST_ROWS = 1_000_000
 
@@ -52,7 +62,12 @@ def _clean(text: Column) -> Column:
 def canonical_tokens(text: Column) -> Column:
     """Lower-case words and placeholders, in order."""
     marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, NAME_PATTERN, NAME), UNIT_PATTERN, UNIT), NUMBER_PATTERN, NUMBER)
-    return F.regexp_extract_all(F.lower(marked), F.lit(rf"\p{{L}}+|{SLOT}"), F.lit(0))
+    return F.regexp_extract_all(F.lower(marked), F.lit(f"{WORD_PATTERN}|{SLOT}"), F.lit(0))
+
+
+def exact_tokens(text: Column) -> Column:
+    """Lower-case words, numbers and their signs, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"{NUMBER_PATTERN}|{WORD_PATTERN}|{SIGN_PATTERN}"), F.lit(0))
 
 
 def slot_values(text: Column) -> Column:
@@ -87,14 +102,44 @@ def item_windows(benchmark: DataFrame, matching: Matching) -> DataFrame:
     return rows.join(totals, F.col("item_id").eqNullSafe(F.col("_i"))).drop("_i")
 
 
+def whole_items(benchmark: DataFrame, matching: Matching) -> DataFrame:
+    """(item_id, n, h): the items without a window, as one of their own length in exact tokens. Those without a token are left out."""
+    tokens = benchmark.select("item_id", _clean(F.col("text")).alias("text")).select(
+        "item_id", canonical_tokens(F.col("text")).alias("tokens"), exact_tokens(F.col("text")).alias("exact")
+    )
+    last = F.size("tokens") - matching.window
+    windowed = F.when(last < 0, F.lit(False)).otherwise(F.exists(
+        F.sequence(F.lit(0), last),
+        lambda i: matching.window - _slots_in("tokens", i + 1, F.lit(matching.window)) >= matching.words,
+    ))
+    return tokens.filter(~windowed & (F.size("exact") > 0)).select(
+        "item_id", F.size("exact").alias("n"), F.xxhash64("exact").alias("h")
+    ).dropDuplicates()
+
+
+def whole_leaks(texts: DataFrame, whole: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, item_id) of the documents that hold all tokens of an item of `whole` in a row, values included."""
+    sized = texts.select("doc_id", exact_tokens(F.col("text")).alias("exact")).select(
+        "doc_id", "exact", F.explode(F.filter(F.lit(lengths), lambda n: n <= F.size("exact"))).alias("n")
+    )
+    # Each stretch once per text.
+    stretches = sized.select("doc_id", "n", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.size("exact") - F.col("n") + 1), lambda i: F.xxhash64(F.slice("exact", i, F.col("n")))
+    ))).alias("h"))
+    keys = F.broadcast(whole) if at_most(whole, BROADCAST_ROWS) else whole
+    return stretches.join(keys, ["n", "h"]).select("doc_id", "item_id").distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, matching: Matching = Matching()) -> DataFrame:
     """One row per document and benchmark item it contains: doc_id, item_id, n_windows, n_matched, coverage, reparameterised.
 
     n_windows are the item's, n_matched those found whose placeholders are
     consistent over their run, coverage their share, at least that of
     `matching`; reparameterised tells that some placeholder of a matched window
-    has another value than in the item. Items of fewer tokens than a window, or of placeholders mostly, have
-    no windows and are found nowhere. Null and empty texts contain nothing. Rows
+    has another value than in the item. Items of fewer tokens than a window, or
+    of placeholders mostly, have no windows: those are found as a whole with the
+    values they have, which counts as one window. Items without any token are
+    found nowhere. Null and empty texts contain nothing. Rows
     with one doc_id, null included, are one document; repeated items too. Other
     columns are left out.
     """
@@ -128,13 +173,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, matching: Matching = Matching()
         checked.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "item_id", "run", "place")], "consistent", "changed"),
         same[0] & same[1] & same[2] & same[3], "left",
     ).filter(F.coalesce("consistent", F.lit(True)))
-    return (
+    by_windows = (
         judged.groupBy("doc_id", "item_id", "n_windows")
         .agg(F.countDistinct("place").alias("n_matched"), F.max(F.coalesce("changed", F.lit(False))).alias("reparameterised"))
         .withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
         .filter(F.col("n_matched") >= matching.coverage * F.col("n_windows"))
         .select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "reparameterised")
     )
+    whole = whole_items(benchmark.select("item_id", "text"), matching)
+    lengths = sorted(r[0] for r in whole.select("n").distinct().collect())
+    if not lengths:
+        return by_windows
+    as_whole = whole_leaks(texts, whole, lengths).select(
+        "doc_id", "item_id", F.lit(1).cast("long").alias("n_windows"), F.lit(1).cast("long").alias("n_matched"),
+        F.lit(1.0).alias("coverage"), F.lit(False).alias("reparameterised"),
+    )
+    # One id may stand for several texts, with windows and without.
+    best = F.max(F.struct("coverage", "n_windows", "n_matched", "reparameterised")).alias("r")
+    return by_windows.unionByName(as_whole).groupBy("doc_id", "item_id").agg(best).select(
+        "doc_id", "item_id", "r.n_windows", "r.n_matched", "r.coverage", "r.reparameterised"
+    )
 
 
 def _consistency(texts: DataFrame, items: DataFrame, runs: DataFrame) -> DataFrame:

@@ -19,3 +19,24 @@ def test_a_conflict_costs_its_own_windows_only(spark):
     assert [(out[d, 1].n_windows, out[d, 1].n_matched, out[d, 1].reparameterised) for d in (1, 2, 3)] == [
         (24, 13, False), (24, 24, False), (24, 24, True)
     ]
+
+
+def test_items_without_a_window_are_found_whole(spark):
+    sums, names = "12 + 7 = 19", "Only Anna, Berta, Carl, Dora, Emil, Frida and Gustav"
+    zh = "今天天气很好我们去公园散步然后回家吃饭"
+    items = [(1, "What is the Capital of France?"), (2, sums), (3, names), (4, zh), (5, "?!"), (6, None), (None, "Lone item")]
+    docs = [
+        (1, "He asked: what is the capital of france? Paris"), (2, f"so {sums}, and"), (3, "so 12 - 7 = 19"), (4, "so 12 + 7 = 195"),
+        (5, f"so.\n{names.lower()}"), (6, names.replace("Carl", "Karl")), (7, f"他说{zh}。"), (8, "the capital of france"),
+        (None, "**Lone** item"), (9, None), (10, ""), (11, zh[2:16]), (12, "stand-alone items"),
+    ]
+    out = found(spark, docs, items)
+    assert set(out) == {(1, 1), (2, 2), (5, 3), (7, 4), (11, 4), (None, None)}
+    assert (out[1, 1].n_windows, out[1, 1].n_matched, out[1, 1].coverage, out[1, 1].reparameterised) == (1, 1, 1.0, False)
+    assert out[7, 4].n_windows == out[7, 4].n_matched == len(zh) - 7
+
+
+def test_an_id_of_several_texts_is_one_item(spark):
+    long = "all of these are plain words that make more than one window"
+    out = found(spark, [(1, long), (2, "short text"), (3, f"{long} short text")], [(1, long), (1, "short text")])
+    assert set(out) == {(1, 1), (2, 1), (3, 1)} and out[3, 1].n_windows == 5
