@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.scale import at_most
@@ -47,11 +47,20 @@ BROADCAST_ROWS = 1_000_000
 
 @dataclass(frozen=True)
 class Matching:
-    """Tokens per window, how many of them must be words, and the share of an item's windows that makes a leak."""
+    """Tokens per window, how many of them must be words, and what makes a leak: a share of an item's windows, or tokens in a row."""
 
     window: int = WINDOW
     words: int = 4
     coverage: float = 0.3
+    passage: int = 13
+
+    @property
+    def streak(self) -> int:
+        """Consecutive windows that a passage has."""
+        return max(1, self.passage - self.window + 1)
+
+    def leaked(self, windows: Column, streak: Column) -> Column:
+        return (windows >= self.coverage * F.col("n_windows")) | (streak >= self.streak)
 
 
 def _clean(text: Column) -> Column:
@@ -134,8 +143,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, matching: Matching = Matching()
     """One row per document and benchmark item it contains: doc_id, item_id, n_windows, n_matched, coverage, reparameterised.
 
     n_windows are the item's, n_matched those found whose placeholders are
-    consistent over their run, coverage their share, at least that of
-    `matching`; reparameterised tells that some placeholder of a matched window
+    consistent over their run, coverage their share. It is at least that of
+    `matching`, unless a passage of as many tokens as `matching` names is found
+    in a row; reparameterised tells that some placeholder of a matched window
     has another value than in the item. Items of fewer tokens than a window, or
     of placeholders mostly, have no windows: those are found as a whole with the
     values they have, which counts as one window. Items without any token are
@@ -159,7 +169,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, matching: Matching = Matching()
     )
     likely = found.groupBy("doc_id", "item_id", "n_windows").agg(
         F.countDistinct("place").alias("n"), F.max("slots").alias("slots")
-    ).filter(F.col("n") >= matching.coverage * F.col("n_windows"))
+    ).filter(matching.leaked(F.col("n"), F.col("n")))
     runs = found.join(
         likely.select(F.col("doc_id").alias("_d"), F.col("item_id").alias("_i"), F.col("slots").alias("_s")),
         F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("item_id").eqNullSafe(F.col("_i")),
@@ -173,11 +183,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, matching: Matching = Matching()
         checked.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "item_id", "run", "place")], "consistent", "changed"),
         same[0] & same[1] & same[2] & same[3], "left",
     ).filter(F.coalesce("consistent", F.lit(True)))
+    # Places in a row differ from their rank in the run by one number.
+    run = ["doc_id", "item_id", "run"]
+    ranked = judged.withColumn("_row", F.col("place") - F.row_number().over(Window.partitionBy(*run).orderBy("place")))
+    streaks = ranked.withColumn("_streak", F.count("*").over(Window.partitionBy(*run, "_row")))
     by_windows = (
-        judged.groupBy("doc_id", "item_id", "n_windows")
-        .agg(F.countDistinct("place").alias("n_matched"), F.max(F.coalesce("changed", F.lit(False))).alias("reparameterised"))
+        streaks.groupBy("doc_id", "item_id", "n_windows")
+        .agg(
+            F.countDistinct("place").alias("n_matched"), F.max(F.coalesce("changed", F.lit(False))).alias("reparameterised"),
+            F.max("_streak").alias("_streak"),
+        )
         .withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
-        .filter(F.col("n_matched") >= matching.coverage * F.col("n_windows"))
+        .filter(matching.leaked(F.col("n_matched"), F.col("_streak")))
         .select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "reparameterised")
     )
     whole = whole_items(benchmark.select("item_id", "text"), matching)

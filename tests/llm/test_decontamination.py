@@ -40,3 +40,12 @@ def test_an_id_of_several_texts_is_one_item(spark):
     long = "all of these are plain words that make more than one window"
     out = found(spark, [(1, long), (2, "short text"), (3, f"{long} short text")], [(1, long), (1, "short text")])
     assert set(out) == {(1, 1), (2, 1), (3, 1)} and out[3, 1].n_windows == 5
+
+
+def test_a_passage_of_a_long_item_is_a_leak(spark):
+    words = [a + b + c for a in "bdfgklm" for b in "aeiou" for c in "nrst"]
+    item = " ".join(words)
+    part = lambda first, n: " ".join(words[first : first + n])
+    docs = [(1, f"so {part(20, 13)} it is"), (2, f"so {part(20, 12)} it is"), (3, f"{part(20, 10)} and {part(60, 10)}"), (4, item)]
+    out = found(spark, docs, [(1, item)])
+    assert set(out) == {(1, 1), (4, 1)} and (out[1, 1].n_windows, out[1, 1].n_matched) == (133, 6)
