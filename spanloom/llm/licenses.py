@@ -28,6 +28,12 @@ TEMPLATES = {
     "apache-2.0-notice": """licensed under the apache license [[version]] 2 0""",
     "gpl-notice": """licensed under the [[terms of the]] gnu [[{lesser|affero}]] general public license
         [[as published by the free software foundation]] [[{version|v}]] <<1>> [[or later]]""",
+    "gpl-header": """redistribute it and or modify it under the terms of the gnu general public license as published by
+        the free software foundation [[either]] [[version <<2>> [[of the license]]]] [[or at your option any later version]]""",
+    "lgpl-header": """redistribute it and or modify it under the terms of the gnu {lesser|library} general public license as published by
+        the free software foundation [[either]] [[version <<2>> [[of the license]]]] [[or at your option any later version]]""",
+    "agpl-header": """redistribute it and or modify it under the terms of the gnu affero general public license as published by
+        the free software foundation [[either]] [[version <<2>> [[of the license]]]] [[or at your option any later version]]""",
     "cc-notice": """licensed under [[a|the]] {cc|creative commons} {by|attribution} [[{nc|noncommercial}]]
         [[{sa|sharealike|nd|noderivatives}]] [[<<1>> 0]] [[international]] [[license]]""",
     "mit": """[[the mit license [[mit]]]] [[copyright <<12>>]] [[all rights reserved]] permission is hereby granted free of
@@ -57,6 +63,18 @@ TEMPLATES = {
         software without specific prior written permission this software is provided by <<10>> as is and any express or
         implied warranties including but not limited to the implied warranties of merchantability and fitness for a
         particular purpose are disclaimed""",
+    "bsd-2-clause": """[[copyright <<12>>]] [[all rights reserved]] redistribution and use in source and binary forms with
+        or without modification are permitted provided that the following conditions are met [[1]] redistributions of
+        source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]]
+        redistributions in binary form must reproduce the above copyright notice this list of conditions and the
+        following disclaimer in the documentation and or other materials provided with the distribution this software is
+        provided by <<10>> as is and any express or implied warranties including but not limited to the implied warranties
+        of merchantability and fitness for a particular purpose are disclaimed""",
+    "mpl-2.0-header": """this source code form is subject to the terms of the mozilla public license v 2 0 [[if a copy of the
+        mpl was not distributed with this file you can obtain one at [[https]] [[http]] [[www]] mozilla org mpl 2 0]]""",
+    "unlicense": """this is free and unencumbered software released into the public domain [[anyone is free to copy modify
+        publish use compile sell or distribute this software either in source code form or as a compiled binary for any
+        purpose commercial or non commercial and by any means]]""",
     "apache-2.0-header": """licensed under the apache license version 2 0 the license you may not use this file except in
         compliance with the license you may obtain a copy of the license at [[https]] [[http]] www apache org licenses
         license 2 0 [[unless required by applicable law or agreed to in writing software distributed under the license is
@@ -67,7 +85,9 @@ TEMPLATES = {
 # Label that an accepted template adds.
 LABELS = {
     "mit-notice": "mit", "apache-2.0-notice": "apache-2.0", "gpl-notice": "gnu-gpl", "cc-notice": "creative-commons",
-    "mit": "mit", "isc": "isc", "bsd-3-clause": "bsd-3-clause", "apache-2.0-header": "apache-2.0",
+    "mit": "mit", "isc": "isc", "bsd-3-clause": "bsd-3-clause", "gpl-header": "gnu-gpl",
+    "lgpl-header": "gnu-lgpl", "agpl-header": "gnu-agpl", "bsd-2-clause": "bsd-2-clause", "mpl-2.0-header": "mpl-2.0",
+    "unlicense": "unlicense", "apache-2.0-header": "apache-2.0",
 }
 
 _MARKS = re.compile(r"\[\[|\]\]|<<\d+>>|[{}|]|[^\s\[\]{}|<>]+")
