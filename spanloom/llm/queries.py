@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, decontam, language, licenses, linededup, maxent, neardup, packing, quality, sharding
+from spanloom.llm import (
+    chat, decontam, language, licenses, linededup, maxent, merkle, mixing, neardup, packing, quality, sharding, trie,
+)
 from spanloom.llm.common import table
+from spanloom.session import written
 
 SHARDS = 24
 TOKENIZER = "word_bpe_49k.json"
@@ -220,6 +223,189 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
     )
 
+# CRC-32 of an ASCII text in engines without the function: a table of the polynomial's remainders, a step per character.
+CRC_TABLE_SQL = r"""crc_table AS (
+  SELECT list(v ORDER BY b) AS crc FROM (
+    SELECT b, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS v
+    FROM (SELECT unnest(range(256)) AS b))
+)"""
+CRC_SQL = (
+    "xor(list_reduce(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: ascii(x)::BIGINT),"
+    " lambda c, x: xor(c >> 8, crc[1 + (xor(c, x) & 255)]), 4294967295::BIGINT), 4294967295::BIGINT)"
+)
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as leaves of a manifest with their proofs, and these tried on texts of which a third were changed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    changed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    claim = merkle.leaf_digest(*map(F.col, docs.columns[:-1]), F.when(changed, lowered).otherwise(F.col("text")))
+    manifest = merkle.built(docs, "lang", "doc_id", merkle.leaf_digest(*map(F.col, docs.columns)), ["doc_id", claim.alias("claim")])
+    proofs = merkle.proved(manifest).withColumn("folded_root", merkle.folded(F.col("row.claim"), F.col("path")))
+    return proofs.select(
+        "row.doc_id", F.col("digest").alias("leaf"), "subroot", "root",
+        F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def _tagged_sql(*columns: str) -> str:
+    return " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns)
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE_SQL}, docs AS (
+  SELECT *, row_number() OVER () AS row_id, sha256({_tagged_sql('doc_id', 'source', 'lang', 'n_chars', 'text')}) AS leaf,
+    CASE WHEN {CRC_SQL.format("coalesce(doc_id::VARCHAR, '')")} % 3 = 0
+      THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS said
+  FROM documents, crc_table
+), leaves AS (
+  SELECT row_id, doc_id, leaf, sha256({_tagged_sql('doc_id', 'source', 'lang', 'n_chars', 'said')}) AS claim,
+    coalesce('+' || lang, '') AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM docs
+), nodes AS (
+  SELECT tree, 0 AS level, i, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i))
+  FROM nodes WHERE n > 1 GROUP BY tree, level, i // 8, (n + 7) // 8
+), subroots AS (
+  SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n, (SELECT max(level) FROM nodes) + 1 AS base
+  FROM nodes WHERE n = 1
+), upper AS (
+  SELECT base AS level, i, n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i))
+  FROM upper WHERE n > 1 GROUP BY level, i // 8, (n + 7) // 8
+), steps AS (
+  SELECT l.row_id, s.level, string_agg(s.digest, '' ORDER BY s.i) FILTER (WHERE s.i < l.i // (8 ** s.level)::BIGINT) AS lft,
+    string_agg(s.digest, '' ORDER BY s.i) FILTER (WHERE s.i > l.i // (8 ** s.level)::BIGINT) AS rgt
+  FROM leaves l JOIN nodes s ON s.tree = l.tree AND s.n > 1 AND s.i // 8 = (l.i // (8 ** s.level)::BIGINT) // 8
+  GROUP BY l.row_id, s.level
+  UNION ALL
+  SELECT l.row_id, s.level, string_agg(s.digest, '' ORDER BY s.i) FILTER (WHERE s.i < r.i // (8 ** (s.level - base))::BIGINT),
+    string_agg(s.digest, '' ORDER BY s.i) FILTER (WHERE s.i > r.i // (8 ** (s.level - base))::BIGINT)
+  FROM leaves l JOIN subroots r USING (tree) JOIN upper s ON s.n > 1 AND s.i // 8 = (r.i // (8 ** (s.level - base))::BIGINT) // 8
+  GROUP BY l.row_id, s.level
+), paths AS (
+  SELECT row_id, list([coalesce(lft, ''), coalesce(rgt, '')] ORDER BY level) AS path FROM steps GROUP BY row_id
+), folded AS (
+  SELECT row_id, claim AS digest, 0 AS k FROM leaves
+  UNION ALL
+  SELECT f.row_id, sha256(path[k + 1][1] || digest || path[k + 1][2]), k + 1 FROM folded f JOIN paths p ON p.row_id = f.row_id AND k < len(path)
+)
+SELECT doc_id, leaf, r.digest AS subroot, t.digest AS root,
+  sha256(coalesce(list_reduce(list_transform(path, lambda x: x[1] || x[2]), lambda a, b: a || b, ''), '')) AS proof_sha256,
+  f.digest AS folded_root, f.digest = t.digest AS verified
+FROM leaves l JOIN subroots r USING (tree) JOIN upper t ON t.n = 1 LEFT JOIN paths p ON p.row_id = l.row_id
+JOIN folded f ON f.row_id = l.row_id AND k = coalesce(len(path), 0)
+"""
+
+
+def spliced(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations rebuilt for the trie, and their ids: c starts with the first h turns of c - c % 5 and goes on with its own after its first h.
+
+    h is crc32(c as text) % 9; a null id counts as empty text and has no other conversation to start with.
+    """
+    least = F.lit(trie.NONE)
+    text = F.when(F.col("conv") == least, "").otherwise(F.col("conv").cast("string"))
+    convs = written(turns.groupBy("conv").agg(F.count("*").alias("n")).withColumn("h", F.crc32(text) % 9).withColumn(
+        "base", F.when(F.col("conv") == least, F.col("conv")).otherwise(F.col("conv") - F.col("conv") % 5)
+    ), "conversations")
+    lent = convs.select(F.col("conv").alias("base"), F.least("n", F.lit(8)).alias("_held"))
+    plan = convs.join(lent, "base", "left").withColumn("_lent", F.least("h", F.coalesce("_held", F.lit(0))))
+    fields = ["h1", "h2", "bytes"]
+    heads = turns.filter("place <= 8").withColumnRenamed("conv", "base").join(plan.select("conv", "base", "h"), "base").filter("place <= h")
+    tails = turns.join(plan.select("conv", "h", "_lent"), "conv").filter("place > h")
+    return heads.select("conv", "place", *fields).union(
+        tails.select("conv", (F.col("place") - F.col("h") + F.col("_lent")).alias("place"), *fields)
+    ), convs.select("conv")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations, a row per node."""
+    turns = written(trie.numbered(table(spark, sf_dir, "conversations")), "turns")
+    return trie.prefix_trie(*spliced(turns)).drop("node_1", "node_2")
+
+
+OP12_SQL = rf"""
+WITH {CRC_TABLE_SQL}, plan AS (
+  SELECT conv_id AS c, conv_id - conv_id % 5 AS base, {CRC_SQL.format('conv_id')} % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations), crc_table
+), turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM conversations
+), rebuilt AS (
+  SELECT c, false AS own, place, role, text FROM plan JOIN turns ON conv_id = base AND place <= h
+  UNION ALL SELECT c, true, place, role, text FROM plan JOIN turns ON conv_id = c AND place > h
+), paths AS (
+  SELECT c, coalesce(list({{'role': role, 'text': text}} ORDER BY own, place) FILTER (WHERE role IS NOT NULL), []) AS path
+  FROM plan LEFT JOIN rebuilt USING (c) GROUP BY c
+), nodes AS (
+  SELECT d, path[1:d] AS prefix, count(*) AS n_convs, min(c) AS conv_id,
+    string_agg(c, ',' ORDER BY c) FILTER (WHERE len(path) = d) AS ends
+  FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM paths) GROUP BY d, path[1:d]
+), valued AS (
+  SELECT n.*, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * strlen(prefix[d].text) END AS saved,
+    (SELECT count(*) FROM nodes k WHERE k.d = n.d + 1 AND k.prefix[1:n.d] = n.prefix) AS n_children
+  FROM nodes n
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children,
+  count(*) FILTER (WHERE k.n_children = 0) AS n_leaves, sum(k.saved)::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM valued n JOIN valued k ON k.d >= n.d AND k.prefix[1:n.d] = n.prefix
+LEFT JOIN nodes p ON p.d = n.d - 1 AND p.prefix = n.prefix[1:n.d - 1]
+GROUP BY n.conv_id, n.d, p.conv_id, n.n_convs, n.n_children, n.ends, n.prefix
+"""
+
+MIX_WEIGHTS, MIX_SHARE, MIX_MOST = (5, 2, 1), 1.5, 2
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of one and a half times all words, by weights 5, 2 and 1 in turn, takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_MOST)[0].drop("source")
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  FROM documents
+), sizes AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+  FROM docs GROUP BY source
+), filled AS (
+  SELECT *, 2 * source_size AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS budget,
+    coalesce(sum(2 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used,
+    sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM sizes WINDOW o AS (ORDER BY 2 * source_size / weight, source NULLS LAST)
+), levelled AS (
+  SELECT *, cap * rest <= (budget - used) * weight AS is_full FROM filled
+), targets AS (
+  SELECT source, source_size, CASE WHEN is_full THEN cap::DOUBLE ELSE weight *
+    (SELECT arg_min((budget - used) / rest, used) FROM levelled WHERE NOT is_full) END AS target FROM levelled
+), queue AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY round, key, doc_id, size, row_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begun
+  FROM (
+    SELECT *, md5('13:' || round || ':' || coalesce(doc_id::VARCHAR, '')) AS key
+    FROM (SELECT d.*, target, unnest(range(0, least(ceil(target / source_size), 2)::BIGINT)) AS round
+      FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source WHERE size > 0 AND target > 0))
+), packets AS (
+  SELECT *, begun + first_word AS start, least(256, size - first_word) AS words
+  FROM (SELECT *, unnest(range(0, size, 256)) AS first_word FROM queue)
+), placed AS (
+  SELECT *, coalesce(sum(words) OVER (ORDER BY (start + words) / target, source NULLS LAST, round, doc_id, size, row_id, first_word
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
+  FROM packets WHERE start < target
+), taken AS (
+  SELECT row_id, sum(least(words, (SELECT floor(sum(target) + 0.25)::BIGINT FROM targets) - place))::BIGINT AS taken
+  FROM placed WHERE place < (SELECT floor(sum(target) + 0.25)::BIGINT FROM targets) GROUP BY row_id
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken
+FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN taken USING (row_id)
+"""
+
 
 WORKLOADS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_chat_formatting": (op1_chat_formatting, OP1_SQL),
@@ -232,4 +418,7 @@ WORKLOADS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "op8_language_id": (op8_language_id, None),
     "op9_decontamination": (op9_decontamination, None),
     "op10_sharding": (op10_sharding, None),
+    "op11_merkle_manifest": (op11_merkle_manifest, OP11_SQL),
+    "op12_prefix_trie": (op12_prefix_trie, OP12_SQL),
+    "op13_source_mixing": (op13_source_mixing, OP13_SQL),
 }
