@@ -73,7 +73,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def queued(rows: DataFrame, goals: DataFrame, most: int, seed: int, packet: int) -> DataFrame:
-    """The packets that start before virtual time 1; later ones come after the budget is spent.
+    """The packets up to virtual time 1, when a source has sent its target; the last of each ends there.
 
     Rows of a source are put in order by a hash, in runs that are summed on their
     own and shifted by the runs before, so a source may have any share of the rows.
@@ -102,10 +102,11 @@ def queued(rows: DataFrame, goals: DataFrame, most: int, seed: int, packet: int)
         "copy", F.explode(_sequence(F.least(F.lit(COPIES), F.col("copies") - F.col("_block") * COPIES)))
     ).withColumn("copy", F.col("copy") + F.col("_block") * COPIES).withColumn("_at", F.col("_at") + F.col("copy") * F.col("size"))
     return copies.filter("_at < target").withColumn("_part", F.explode(_sequence(F.ceil(F.col("size") / packet)))).select(
-        "doc_id", "source", "size", "round", "copy", (F.col("_part") * packet).alias("first_word"), "_at", "target",
-    ).withColumn("words", F.least(F.lit(packet), F.col("size") - F.col("first_word"))).withColumn(
-        "_at", F.col("_at") + F.col("first_word")
-    ).filter("_at < target").withColumn("finish", (F.col("_at") + F.col("words")) / F.col("target")).drop("_at", "target")
+        "doc_id", "source", "size", "round", "copy", (F.col("_part") * packet).alias("first_word"),
+        (F.col("_at") + F.col("_part") * packet).alias("_at"), "target",
+    ).filter("_at < target").withColumn(
+        "words", F.least(F.lit(packet), F.col("size") - F.col("first_word"), F.ceil("target") - F.col("_at"))
+    ).withColumn("finish", (F.col("_at") + F.col("words")) / F.col("target")).drop("_at", "target")
 
 
 def served(packets: DataFrame, budget: int) -> DataFrame:

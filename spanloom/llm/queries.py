@@ -392,7 +392,7 @@ WITH docs AS (
     FROM (SELECT d.*, target, unnest(range(0, least(ceil(target / source_size), 2)::BIGINT)) AS round
       FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source WHERE size > 0 AND target > 0))
 ), packets AS (
-  SELECT *, begun + first_word AS start, least(256, size - first_word) AS words
+  SELECT *, begun + first_word AS start, least(256, size - first_word, ceil(target)::BIGINT - begun - first_word) AS words
   FROM (SELECT *, unnest(range(0, size, 256)) AS first_word FROM queue)
 ), placed AS (
   SELECT *, coalesce(sum(words) OVER (ORDER BY (start + words) / target, source NULLS LAST, round, doc_id, size, row_id, first_word
