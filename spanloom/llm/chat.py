@@ -102,11 +102,20 @@ def visited(parts: Column, costs: MediaCosts = MediaCosts()) -> Column:
     """Parts to a struct of `content` and its `attachments`, both in order.
 
     Parts of other kinds, and null ones, count as text; null text is empty.
+    Texts side by side are one text before they are escaped: a control string
+    may begin in one part and end in the next.
     """
-    def shown(part: Column) -> Column:
-        plain = escape(F.coalesce(part["text"], F.lit("")))
-        return F.when(_is_media(part), F.concat(F.lit("<|"), part["kind"], F.lit("|>"))).otherwise(plain)
+    def fed(seen: Column, part: Column) -> Column:
+        media = F.struct(
+            F.concat(seen["done"], escape(seen["open"]), F.lit("<|"), part["kind"], F.lit("|>")).alias("done"), F.lit("").alias("open")
+        )
+        plain = F.struct(
+            seen["done"].alias("done"), F.concat(seen["open"], F.coalesce(part["text"], F.lit(""))).alias("open")
+        )
+        return F.when(_is_media(part), media).otherwise(plain)
 
+    nothing = F.struct(F.lit("").alias("done"), F.lit("").alias("open"))
+    content = F.aggregate(parts, nothing, fed, lambda seen: F.concat(seen["done"], escape(seen["open"])))
     attachments = F.transform(
         F.filter(parts, _is_media),
         lambda part, i: F.struct(
@@ -114,7 +123,7 @@ def visited(parts: Column, costs: MediaCosts = MediaCosts()) -> Column:
             F.coalesce(part["text"], F.lit("")).alias("source"), _tokens(part, costs).alias("tokens"),
         ),
     )
-    return F.struct(F.array_join(F.transform(parts, shown), "").alias("content"), attachments.alias("attachments"))
+    return F.struct(content.alias("content"), attachments.alias("attachments"))
 
 
 def format_chat(messages: DataFrame, parts: str | None = None, costs: MediaCosts = MediaCosts()) -> DataFrame:
@@ -169,21 +178,31 @@ def format_chat(messages: DataFrame, parts: str | None = None, costs: MediaCosts
     )
 
 
+def restored(content: Column, media: Column) -> Column:
+    """A turn's text as it was before, from its formatted content and its attachments."""
+    whole = F.array_join(
+        F.transform(
+            F.split(content, MEDIA_PATTERN),
+            lambda piece, k: F.concat(unescape(piece), F.coalesce(F.get(media, k)["source"], F.lit(""))),
+        ), "",
+    )
+    return F.when(F.size(media) > 0, whole).otherwise(unescape(content))
+
+
+def learnt_texts(formatted: Column, loss_spans: Column, loss_turns: Column, attachments: Column) -> Column:
+    """The texts under the loss mask, in order, as they were before: what the spans of `formatted` hold."""
+    return F.transform(loss_spans, lambda span, k: restored(
+        F.substring(formatted, span["start"].cast("int") + 1, span["length"]), F.get(attachments, F.get(loss_turns, k).cast("int")),
+    ))
+
+
 def read_back(formatted: Column, attachments: Column) -> Column:
     """The turns (role, text) of a formatted conversation, as they were before."""
     def turn(message: Column, i: Column) -> Column:
         head = F.substring_index(message, "\n", 1)
         role = unescape_role(F.substring(head, len(OPEN) + 1, 2**31 - 1))
         content = F.substring(message, F.length(head) + 2, F.lit(2**31 - 1))
-        media = F.get(attachments, i)
-        restored = F.array_join(
-            F.transform(
-                F.split(content, MEDIA_PATTERN),
-                lambda piece, k: F.concat(unescape(piece), F.coalesce(F.get(media, k)["source"], F.lit(""))),
-            ), "",
-        )
-        text = F.when(F.size(media) > 0, restored).otherwise(unescape(content))
-        return F.struct(role.alias("role"), text.alias("text"))
+        return F.struct(role.alias("role"), restored(content, F.get(attachments, i)).alias("text"))
 
     messages = F.split(formatted, CLOSE_PATTERN)
     return F.transform(F.slice(messages, F.lit(1), F.size(messages) - 1), turn)

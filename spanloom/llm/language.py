@@ -22,17 +22,24 @@ from spanloom.llm.common import batches_of
 
 SLOTS = 1 << 16
 UNKNOWN = "und"
-CHUNK_CHARS = 2_000_000
+# Kept small: workers are reused, and keep the peak of each stage they ran.
+CHUNK_CHARS = 250_000
 NOT_LETTERS = regex.compile(r"[^\p{L}\n]+")
 STEP = np.uint64(0x100000001B3)
 
 
 @dataclass(frozen=True)
 class Training:
-    """The bounded sample and how the model is fitted: at most documents x lines per language."""
+    """The bounded sample and how the model is fitted.
 
+    At most `labels` languages, and per language `documents` rows of `lines`
+    lines of `line_chars` characters go to the driver.
+    """
+
+    labels: int = 500
     documents: int = 250
     lines: int = 3
+    line_chars: int = 10_000
     words: int = 40
     epochs: int = 3
     batch: int = 64
@@ -235,18 +242,33 @@ def fold(folds: int) -> Column:
 
 
 def learned(docs: DataFrame, training: Training = Training()) -> Model:
-    """A model from a bounded sample of rows with a language: documents by the least hash of their id, lines likewise."""
+    """A model from a bounded sample of rows with a language: rows by the least hash of id and text, lines by their own.
+
+    Rows that share an id are rows like others, and repeated lines count once.
+    More than `training.labels` languages are refused: each costs a column of
+    weights. Without labelled rows the model has no labels.
+    """
+    known = docs.filter("lang is not null").select("doc_id", "lang", "text")
+    labels = known.select("lang").distinct().limit(training.labels + 1).count()
+    if labels > training.labels:
+        raise ValueError(f"more than {training.labels} languages: raise Training.labels or clean the column")
     by_lang = Window.partitionBy("lang").orderBy("_h", "doc_id")
     chosen = (
-        docs.filter("lang is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-        .withColumn("_n", F.row_number().over(by_lang)).filter(F.col("_n") <= training.documents).select("doc_id", "lang")
+        known.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
+        .withColumn("_n", F.row_number().over(by_lang)).filter(F.col("_n") <= training.documents).select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"), "_h")
     ).distinct()
     letters = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\p{L}"))
-    hashed = F.array_sort(F.transform(letters, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("line"))))
-    # At most `documents` rows per language on one side.
-    rows = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).select(
-        "lang", F.explode(F.slice(hashed, 1, training.lines)).alias("x")
-    ).select("lang", "x.line").dropDuplicates()
+    hashed = F.slice(F.array_sort(F.transform(letters, lambda x: F.struct(
+        F.xxhash64(x).alias("h"), F.substring(x, 1, training.line_chars).alias("line")
+    ))), 1, training.lines)
+    # At most `documents` rows per language on one side; an id may have any number of rows on the other.
+    found = known.join(
+        F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("lang") == F.col("_l"))
+    ).select("lang", "_h", F.xxhash64("text").alias("_t"), hashed.alias("lines")).distinct()
+    by_hash = Window.partitionBy("lang").orderBy("_h", "_t", "lines")
+    rows = found.withColumn("_n", F.row_number().over(by_hash)).filter(F.col("_n") <= training.documents).select(
+        "lang", F.explode("lines.line").alias("line")
+    ).distinct()
     return fitted([(r[0], r[1]) for r in rows.collect()], training)
 
 
@@ -256,8 +278,9 @@ LABEL_TYPE = "doc_id long, lang_pred string, score double, runs array<struct<fir
 def labelled(docs: DataFrame, model: Model) -> DataFrame:
     """Language, its share of the words, and the runs of words of one language, for every whole text.
 
-    `und` with score 0 and no runs where the text is null or has no letter.
-    Only the text is looked at; one row per row of `docs`, other columns left out.
+    `und` with score 0 and no runs where the text is null or has no letter, or
+    the model has no labels. Only the text is looked at; one row per row of
+    `docs`, repeated ones too, other columns left out. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     run = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())])

@@ -62,19 +62,35 @@ TEMPLATES = {
         name of <<10>> nor the names of its contributors may be used to endorse or promote products derived from this
         software without specific prior written permission this software is provided by <<10>> as is and any express or
         implied warranties including but not limited to the implied warranties of merchantability and fitness for a
-        particular purpose are disclaimed""",
+        particular purpose are disclaimed in no event shall <<12>> be liable for any direct indirect
+        incidental special exemplary or consequential damages including but not limited to procurement of substitute goods
+        or services loss of use data or profits or business interruption however caused and on any theory of liability
+        whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use
+        of this software even if advised of the possibility of such damage""",
     "bsd-2-clause": """[[copyright <<12>>]] [[all rights reserved]] redistribution and use in source and binary forms with
         or without modification are permitted provided that the following conditions are met [[1]] redistributions of
         source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]]
         redistributions in binary form must reproduce the above copyright notice this list of conditions and the
         following disclaimer in the documentation and or other materials provided with the distribution this software is
         provided by <<10>> as is and any express or implied warranties including but not limited to the implied warranties
-        of merchantability and fitness for a particular purpose are disclaimed""",
+        of merchantability and fitness for a particular purpose are disclaimed in no event shall <<12>> be liable for any direct indirect
+        incidental special exemplary or consequential damages including but not limited to procurement of substitute goods
+        or services loss of use data or profits or business interruption however caused and on any theory of liability
+        whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use
+        of this software even if advised of the possibility of such damage""",
     "mpl-2.0-header": """this source code form is subject to the terms of the mozilla public license v 2 0 [[if a copy of the
         mpl was not distributed with this file you can obtain one at [[https]] [[http]] [[www]] mozilla org mpl 2 0]]""",
-    "unlicense": """this is free and unencumbered software released into the public domain [[anyone is free to copy modify
+    "unlicense": """this is free and unencumbered software released into the public domain anyone is free to copy modify
         publish use compile sell or distribute this software either in source code form or as a compiled binary for any
-        purpose commercial or non commercial and by any means]]""",
+        purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or
+        authors of this software dedicate any and all copyright interest in the software to the public domain we make this
+        dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this
+        dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software
+        under copyright law the software is provided as is without warranty of any kind express or implied including but
+        not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event
+        shall the authors be liable for any claim damages or other liability whether in an action of contract tort or
+        otherwise arising from out of or in connection with the software or the use or other dealings in the software
+        [[for more information please refer to [[https]] [[http]] [[www]] unlicense org]]""",
     "apache-2.0-header": """licensed under the apache license version 2 0 the license you may not use this file except in
         compliance with the license you may obtain a copy of the license at [[https]] [[http]] www apache org licenses
         license 2 0 [[unless required by applicable law or agreed to in writing software distributed under the license is

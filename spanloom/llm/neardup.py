@@ -32,6 +32,9 @@ MAX_HASHES = 128
 # Bounds of a block inside a large component, and the sum of n-grams of small ones verified together.
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1_000_000
 BROADCAST_ROWS = 500_000
+# Characters of text turned into n-grams at a time, and counts of shared n-grams added up at a time.
+# Kept small: workers are reused, and keep the peak of each stage they ran.
+PART_CHARS, PART_COUNTS = 250_000, 1_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,7 +94,7 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             texts = [t.as_py() for t in whole.column("text")]
-            for part in batches_of(zip(whole.column("doc_id").to_pylist(), texts), (len(t or "") for t in texts), 1_000_000):
+            for part in batches_of(zip(whole.column("doc_id").to_pylist(), texts), (len(t or "") for t in texts), PART_CHARS):
                 sets = [ngrams(t, n) for _, t in part]
                 full = [s for s in sets if len(s)]
                 hashes = iter(_signatures(full, bands, rows) if full else ())
@@ -122,11 +125,13 @@ def shared_grams(sets: list[np.ndarray], often: int = 16) -> np.ndarray:
     starts = np.flatnonzero(np.diff(grams[order], prepend=grams[order][:1] + np.uint64(1)))
     counts = np.diff(np.append(starts, len(owner)))
     for c in range(2, often + 1):
-        those = owner[starts[counts == c][:, None] + np.arange(c)]
-        np.add.at(shared, (those[:, :, None], those[:, None, :]), 1)
+        first = starts[counts == c]
+        for at in range(0, len(first), PART_COUNTS // c**2):
+            those = owner[first[at : at + PART_COUNTS // c**2, None] + np.arange(c)]
+            np.add.at(shared, (those[:, :, None], those[:, None, :]), 1)
     many = np.flatnonzero(counts > often)
-    for at in range(0, len(many), 4096):
-        part = many[at : at + 4096]
+    for at in range(0, len(many), 1024):
+        part = many[at : at + 1024]
         column = np.repeat(np.arange(len(part)), counts[part])
         rows = np.concatenate([owner[starts[m] : starts[m] + counts[m]] for m in part])
         held = np.zeros((g, len(part)), np.float32)
@@ -209,9 +214,14 @@ def linked(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall
     others = ["node", "copies", "comp", "blocks", "bin", "block"]
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = pa.array([ngrams(t.as_py(), n).tobytes() for t in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], grams], names=[*others, "grams"])
+        for whole in batches:
+            sizes = [len(t.as_py() or "") for t in whole.column("text")]
+            at = 0
+            for part in batches_of(zip(sizes), sizes, PART_CHARS):
+                batch = whole.slice(at, len(part))
+                at += len(part)
+                grams = pa.array([ngrams(t.as_py(), n).tobytes() for t in batch.column("text")], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], grams], names=[*others, "grams"])
 
     spread = texts.select(*others, "text").mapInArrow(
         to_sets, "node long, copies long, comp long, blocks int, bin long, block int, grams binary"

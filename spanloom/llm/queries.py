@@ -27,7 +27,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     read = chat.format_chat(rows).withColumn("turns", chat.read_back(F.col("formatted"), F.col("attachments")))
-    learnt = F.array_join(F.transform("loss_turns", lambda i: F.get("turns", i)["text"]), "")
+    learnt = F.array_join(chat.learnt_texts(*map(F.col, ("formatted", "loss_spans", "loss_turns", "attachments"))), "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),

@@ -259,3 +259,18 @@ def test_canonical_tokens_match_their_values(spark):
     row = spark.range(1).select(decontam.canonical_tokens(clean).alias("t"), decontam.slot_values(clean).alias("v")).first()
     assert sum(t in "\u0001\u0002\u0003" for t in row.t) == len(row.v)
     assert list(row.v) == ["anna", "3.5", "km", "bob", "20", "minutes", "7", "5", "km"]
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(1, f"Zeile {i} mit eigenen Worten " + "x" * 50_000, "de") for i in range(400)] + [(2, "a line of its own", "en"), (None, "one more line", "en"), (3, None, "en")]
+    seen = []
+    held, language.fitted = language.fitted, lambda lines, training: seen.extend(lines)
+    try:
+        language.learned(spark.createDataFrame(rows, "doc_id long, text string, lang string"), language.Training(documents=20))
+    finally:
+        language.fitted = held
+    assert len([x for x in seen if x[0] == "de"]) == 20 and max(len(x[1]) for x in seen) == 10_000
+    assert {x[1] for x in seen if x[0] == "en"} == {"a line of its own", "one more line"}
+    many = spark.range(501).select("id", F.lit("text").alias("text"), F.col("id").cast("string").alias("lang")).withColumnRenamed("id", "doc_id")
+    with pytest.raises(ValueError, match="languages"):
+        language.learned(many)
