@@ -24,7 +24,7 @@ from spanloom.operators.scale import join_small
 from spanloom.session import written
 
 PACKET_WORDS = 256
-ROWS_PER_GROUP = 100_000
+ROWS_PER_GROUP = 10_000
 #: Copies of a repeated row that are listed at a time.
 COPIES = 1024
 #: A source that is null, and its name: equal for rows of one source, nulls included.
@@ -116,7 +116,7 @@ def served(packets: DataFrame, budget: int) -> DataFrame:
     """
     slices = groups_for(packets.count(), ROWS_PER_GROUP)
     order = ["finish", F.col("source").asc_nulls_last(), "round", "doc_id", "size", "copy", "first_word"]
-    sliced = packets.withColumn("_slice", F.floor(F.col("finish") * slices))
+    sliced = packets.withColumn("_slice", F.least(F.floor(F.col("finish") * slices), F.lit(slices - 1)))
     inside = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = sliced.groupBy("_slice").agg(F.sum("words").alias("_total"))
