@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,3 +64,22 @@ def batches_of(rows: Iterable[tuple], size: Iterable[int], limit: int) -> Iterab
             held, total = [], 0
     if held:
         yield held
+
+
+def slices_of(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches whose texts add up to about `limit` bytes; one larger row makes a slice of its own.
+
+    A slice's texts become Python values one slice at a time, and memory that
+    Arrow has freed goes back after each batch: workers are reused, and would
+    keep the peak of every stage they ran.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(ends):
+            before = ends[at - 1] if at else 0
+            end = min(len(ends), int(np.searchsorted(ends, before + limit)) + 1)
+            yield batch.slice(at, end - at)
+            at = end
+        del batch, ends
+        pa.default_memory_pool().release_unused()

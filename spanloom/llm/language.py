@@ -18,12 +18,12 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import batches_of
+from spanloom.llm.common import slices_of
 
 SLOTS = 1 << 16
 UNKNOWN = "und"
 # Kept small: workers are reused, and keep the peak of each stage they ran.
-CHUNK_CHARS = 250_000
+CHUNK_BYTES = 400_000
 NOT_LETTERS = regex.compile(r"[^\p{L}\n]+")
 STEP = np.uint64(0x100000001B3)
 
@@ -287,17 +287,15 @@ def labelled(docs: DataFrame, model: Model) -> DataFrame:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
-        for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column("text")]
-            for part in batches_of(zip(batch.column("doc_id").to_pylist(), texts), map(len, texts), CHUNK_CHARS):
-                found = labeller.label([t for _, t in part])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([d for d, _ in part], pa.int64()), pa.array([f[0] for f in found], pa.string()),
-                        pa.array([f[1] for f in found], pa.float64()),
-                        pa.array([[dict(zip(("first", "last", "lang"), r)) for r in f[2]] for f in found], pa.list_(run)),
-                    ],
-                    names=["doc_id", "lang_pred", "score", "runs"],
-                )
+        for part in slices_of(batches, "text", CHUNK_BYTES):
+            found = labeller.label([t or "" for t in part.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"), pa.array([f[0] for f in found], pa.string()),
+                    pa.array([f[1] for f in found], pa.float64()),
+                    pa.array([[dict(zip(("first", "last", "lang"), r)) for r in f[2]] for f in found], pa.list_(run)),
+                ],
+                names=["doc_id", "lang_pred", "score", "runs"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(label, LABEL_TYPE)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from spanloom.llm.common import batches_of, groups_for
+from spanloom.llm.common import groups_for, slices_of
 from spanloom.llm.components import components
 from spanloom.operators.scale import at_most
 from spanloom.session import written
@@ -32,9 +32,8 @@ MAX_HASHES = 128
 # Bounds of a block inside a large component, and the sum of n-grams of small ones verified together.
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1_000_000
 BROADCAST_ROWS = 500_000
-# Characters of text turned into n-grams at a time, and counts of shared n-grams added up at a time.
-# Kept small: workers are reused, and keep the peak of each stage they ran.
-PART_CHARS, PART_COUNTS = 250_000, 1_000_000
+# Bytes of text turned into n-grams at a time, and counts of shared n-grams added up at a time.
+PART_BYTES, PART_COUNTS = 400_000, 500_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,20 +91,18 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     kind = pa.schema([("doc_id", pa.int64()), ("set_key", pa.binary()), ("n_grams", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            texts = [t.as_py() for t in whole.column("text")]
-            for part in batches_of(zip(whole.column("doc_id").to_pylist(), texts), (len(t or "") for t in texts), PART_CHARS):
-                sets = [ngrams(t, n) for _, t in part]
-                full = [s for s in sets if len(s)]
-                hashes = iter(_signatures(full, bands, rows) if full else ())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([d for d, _ in part], pa.int64()),
-                        pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([next(hashes) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-                    ], schema=kind,
-                )
+        for part in slices_of(batches, "text", PART_BYTES):
+            sets = [ngrams(t, n) for t in part.column("text").to_pylist()]
+            full = [s for s in sets if len(s)]
+            hashes = iter(_signatures(full, bands, rows) if full else ())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"),
+                    pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([next(hashes) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                ], schema=kind,
+            )
 
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, set_key binary, n_grams long, bands array<long>")
 
@@ -214,14 +211,9 @@ def linked(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall
     others = ["node", "copies", "comp", "blocks", "bin", "block"]
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            sizes = [len(t.as_py() or "") for t in whole.column("text")]
-            at = 0
-            for part in batches_of(zip(sizes), sizes, PART_CHARS):
-                batch = whole.slice(at, len(part))
-                at += len(part)
-                grams = pa.array([ngrams(t.as_py(), n).tobytes() for t in batch.column("text")], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], grams], names=[*others, "grams"])
+        for part in slices_of(batches, "text", PART_BYTES):
+            grams = pa.array([ngrams(t, n).tobytes() for t in part.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], grams], names=[*others, "grams"])
 
     spread = texts.select(*others, "text").mapInArrow(
         to_sets, "node long, copies long, comp long, blocks int, bin long, block int, grams binary"
