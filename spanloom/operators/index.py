@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,13 @@ from spanloom.operators.scale import spread, top_rows
 
 # Deepest ranking that the stored role heads can serve.
 HEAD_ROWS = 1_000
-POSTINGS_PER_BUCKET = 20_000_000
+# Postings of one shard of chunks, and terms of one bucket of the vocabulary.
+POSTINGS_PER_SHARD = 5_000_000
+MAX_SHARDS = 100_000
+TERMS_PER_BUCKET = 5_000_000
 MAX_BUCKETS = 4_096
+# Folders of the chunk table; a chunk's folder follows from its number.
+CHUNK_PARTS = 1_024
 
 
 def label(symbol: Column, section_title: Column) -> Column:
@@ -146,20 +152,42 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def part_of(chunk_no: Column) -> Column:
+    """The folder of the chunk table that holds a chunk: by the task that numbered it."""
+    return (F.shiftright(chunk_no, 33) % CHUNK_PARTS).cast("int")
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
-    """A built index: paths of its tables and the settings it was built with."""
+    """A built index: the path of its tables and how they are split."""
 
     path: str
     buckets: int
+    shards: int
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
+        if name == "postings":
+            return self._postings(spark)
         return spark.read.parquet(f"{self.path}/{name}")
 
+    @property
+    def postings_name(self) -> str:
+        return f"spanloom_postings_{md5(self.path.encode()).hexdigest()}"
+
+    def _postings(self, spark: SparkSession) -> DataFrame:
+        """The postings as a bucketed table: Spark knows that the shards keep a chunk's postings together."""
+        if not spark.catalog.tableExists(self.postings_name):
+            columns = spark.read.parquet(f"{self.path}/postings").schema.toDDL()
+            spark.sql(
+                f"CREATE TABLE {self.postings_name} ({columns}) USING parquet CLUSTERED BY (chunk_no) SORTED BY (term, chunk_no) "
+                f"INTO {self.shards} BUCKETS LOCATION '{self.path}/postings'"
+            )
+        return spark.table(self.postings_name)
+
 
 def open_index(spark: SparkSession, path: str) -> LexicalIndex:
-    buckets = spark.read.parquet(f"{path}/statistics").first()["buckets"]
-    return LexicalIndex(path, buckets)
+    stats = spark.read.parquet(f"{path}/statistics").first()
+    return LexicalIndex(path, stats["buckets"], stats["shards"])
 
 
 def build_index(chunks: DataFrame, path: str, config: RankingConfig) -> LexicalIndex:
@@ -167,45 +195,49 @@ def build_index(chunks: DataFrame, path: str, config: RankingConfig) -> LexicalI
 
     `chunks/` is written first, with the tokens of each chunk, and every other
     table is derived from it, so that the text is read and analysed once.
-    Postings and terms are partitioned by a hash bucket of the term and sorted
-    by term in it: a search opens only the buckets of its own terms. Range
-    partitioning by (bucket, term, chunk) splits the postings of a common term
-    over many files. `chunk_no` is unique and fixed once the chunks are written.
+    `chunk_no` is unique and fixed once the chunks are written.
+
+    Postings lie in shards by a hash of the chunk, sorted by term inside. The
+    chunks are shuffled to their shards as rows, before they are taken apart, so
+    no posting is shuffled, no range is sampled, and a common term is spread
+    over all shards. All postings of a chunk meet in one task without exchange.
+    The vocabulary lies in buckets by a hash of the term, sorted inside.
     """
     spark = chunks.sparkSession
     numbered = analyzed(spread(chunks), config).withColumn("chunk_no", F.monotonically_increasing_id())
-    numbered.write.parquet(f"{path}/chunks")
-    stored = spark.read.parquet(f"{path}/chunks").withColumn("length", F.size("tokens"))
+    numbered = numbered.withColumn("part", part_of(F.col("chunk_no")))
+    numbered.write.partitionBy("part").parquet(f"{path}/chunks")
+    stored = spark.read.schema(numbered.schema).parquet(f"{path}/chunks").withColumn("length", F.size("tokens"))
     stats = corpus_statistics(stored).first()
     if not stats["chunks"]:
         raise ValueError("The corpus is empty.")
-    buckets = max(1, min(MAX_BUCKETS, -(-stats["postings"] // POSTINGS_PER_BUCKET)))
+    buckets = max(1, min(MAX_BUCKETS, -(-stats["postings"] // TERMS_PER_BUCKET)))
+    cores = spark.sparkContext.defaultParallelism
+    shards = min(MAX_SHARDS, max(cores, -(-stats["postings"] // POSTINGS_PER_SHARD)))
+    index = LexicalIndex(path, buckets, shards)
     spark.createDataFrame(
-        [(stats["chunks"], float(stats["avg_length"]), buckets)], "chunks long, avg_length double, buckets int"
+        [(stats["chunks"], float(stats["avg_length"]), buckets, shards)], "chunks long, avg_length double, buckets int, shards int"
     ).coalesce(1).write.parquet(f"{path}/statistics")
 
-    def bucketed(rows: DataFrame, order: list[str], name: str) -> None:
-        keys = ["bucket", *order]
-        (
-            rows.withColumn("bucket", bucket_of(F.col("term"), buckets))
-            .repartitionByRange(*keys).sortWithinPartitions(*keys)
-            .write.partitionBy("bucket").parquet(f"{path}/{name}")
-        )
+    def sharded() -> None:
+        columns = ["chunk_no", "tokens", "length", "canonical_symbol", "symbol_terms", "path_terms"]
+        rows = postings(stored.select(*columns).repartition(shards, "chunk_no"))
+        rows.write.bucketBy(shards, "chunk_no").sortBy("term", "chunk_no").option("path", f"{path}/postings").saveAsTable(index.postings_name)
+
+    def vocabulary() -> None:
+        terms = term_statistics(stored).withColumn("bucket", bucket_of(F.col("term"), buckets))
+        terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
 
     def heads() -> None:
         evidence_heads(stored, HEAD_ROWS).write.parquet(f"{path}/heads")
         role_heads(spark.read.parquet(f"{path}/heads"), HEAD_ROWS).write.parquet(f"{path}/role_heads")
 
-    jobs = [
-        lambda: bucketed(postings(stored), ["term", "chunk_no"], "postings"),
-        lambda: bucketed(term_statistics(stored), ["term"], "terms"),
-        heads,
-    ]
+    jobs = [sharded, vocabulary, heads]
     # Independent of each other: run side by side, so that none leaves cores idle.
     with ThreadPoolExecutor(len(jobs)) as pool:
         for job in [pool.submit(job) for job in jobs]:
             job.result()
-    return LexicalIndex(path, buckets)
+    return index
 
 
 def evidence_heads(chunks: DataFrame, limit: int) -> DataFrame:

@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from spanloom.config import RankingConfig
 from spanloom.functions import text as T
-from spanloom.operators.index import HEAD_ROWS, LexicalIndex, bm25, bucket_of, evidence_heads, idf, role_heads
-from spanloom.operators.scale import at_most, join_small, top_rows
+from spanloom.operators.index import HEAD_ROWS, LexicalIndex, bm25, bucket_of, evidence_heads, idf, part_of, role_heads
+from spanloom.operators.scale import at_most, join_small, top_rows, top_tied
+from spanloom.session import written
 
 # Lexical scores are summed in units of 1e-12. Integer sums do not depend on the
 # order in which tasks finish, so equal chunks tie exactly and reruns agree.
 UNITS = 1e12
-# Distinct query terms up to which the scan gets the terms themselves as a filter.
+# Distinct query terms up to which the scans get the terms themselves as a filter.
 LITERAL_TERMS = 2_000
+# Candidates per query that are looked at first, for each result asked for.
+DEPTH = 80
 QUERY_TERMS = 1_000_000
 # Queries up to which their features are broadcast. A query has at most one row
 # per role in them, so this bounds those rows too.
@@ -109,32 +112,42 @@ def lexical_units(contribution: Column) -> Column:
 _PARTS = ("units", "symbol_class", "words_named", "path_terms_named", "path_identifiers_named")
 
 
-def term_hits(index: LexicalIndex, terms: DataFrame, config: RankingConfig) -> DataFrame:
-    """One row per query term found in a chunk, with its lexical part and boost counts.
+def weighted_terms(index: LexicalIndex, terms: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """The terms with their weight, and the distinct ones where these are few.
 
-    With few distinct terms the scan opens only their buckets and skips row
-    groups by term; with many, the join does the selection. The postings of a
-    common term are never gathered: they meet a broadcast side, or are salted.
+    The vocabulary is opened at the buckets of the terms only.
     """
     spark = terms.sparkSession
     keyed = terms.withColumn("bucket", bucket_of(F.col("term"), index.buckets))
-    found, weights = index.table(spark, "postings"), index.table(spark, "terms")
-    distinct = keyed.select("bucket", "term").distinct()
-    rows = distinct.limit(LITERAL_TERMS + 1).collect()
-    if len(rows) <= LITERAL_TERMS:
-        wanted = F.col("bucket").isin(sorted({r["bucket"] for r in rows})) & F.col("term").isin(
-            sorted({r["term"] for r in rows})
-        )
-        found, weights = found.filter(wanted), weights.filter(wanted)
+    weights = index.table(spark, "terms")
+    rows = [r["term"] for r in keyed.select("term").distinct().limit(LITERAL_TERMS + 1).collect()]
+    few = sorted(rows) if len(rows) <= LITERAL_TERMS else None
+    if few is not None:
+        weights = weights.filter(F.col("term").isin(few))
+    # One number per bucket of the vocabulary at most.
+    weights = weights.filter(F.col("bucket").isin(sorted(r["bucket"] for r in keyed.select("bucket").distinct().collect())))
     stats = index.table(spark, "statistics").first()
-    weighted = (
+    return (
         # A term without a frequency may still be the whole symbol of a chunk.
         keyed.join(weights, ["bucket", "term"], "left")
         .withColumn("weight", idf(F.lit(stats["chunks"]), F.coalesce("df", F.lit(0))))
-        .drop("df")
-    )
-    joined = join_small(found, weighted, ["bucket", "term"], spread_by="chunk_no", max_rows=QUERY_TERMS)
-    part = bm25(F.col("tf"), F.col("length"), F.lit(stats["avg_length"]), F.col("weight"), config)
+        .drop("df", "bucket").withColumn("avg_length", F.lit(stats["avg_length"]))
+    ), few
+
+
+def term_hits(index: LexicalIndex, terms: DataFrame, config: RankingConfig) -> DataFrame:
+    """One row per query term found in a chunk, with its lexical part and boost counts.
+
+    The shards are sorted by term: with few distinct terms the scan skips what
+    holds none of them. While the terms fit a broadcast, the postings stay where
+    they are, and a sum per chunk needs no shuffle either; else they are salted.
+    """
+    weighted, few = weighted_terms(index, terms)
+    found = index.table(terms.sparkSession, "postings")
+    if few is not None:
+        found = found.filter(F.col("term").isin(few))
+    joined = join_small(found, weighted, ["term"], spread_by="chunk_no", max_rows=QUERY_TERMS)
+    part = bm25(F.col("tf"), F.col("length"), F.col("avg_length"), F.col("weight"), config)
     return joined.select(
         "query_id", "chunk_no", lexical_units(part).alias("units"),
         F.when(F.col("is_symbol"), F.col("symbol_class")).otherwise(0).alias("symbol_class"),
@@ -144,18 +157,17 @@ def term_hits(index: LexicalIndex, terms: DataFrame, config: RankingConfig) -> D
     )
 
 
-def candidates(
-    index: LexicalIndex, features: DataFrame, config: RankingConfig, few: bool, top_k: int | None = None
-) -> DataFrame:
-    """Every (query, chunk) that some part of the score favours, with its summed parts.
+def summed(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("query_id", "chunk_no").agg(*[F.sum(name).alias(name) for name in _PARTS])
 
-    A path or symbol-word match implies a term match, and a whole-symbol match
-    has a posting of its own, so term hits bring all chunks but those that only
-    their role or repository favours. For a ranking cut to `top_k` the stored
-    heads hold enough of these; without it all of them are listed.
+
+def favoured(index: LexicalIndex, features: DataFrame, config: RankingConfig, few: bool, top_k: int | None = None) -> DataFrame:
+    """(query_id, chunk_no) that a query's roles or its repository favour, with parts of nothing.
+
+    For a ranking cut to `top_k` the stored heads hold enough of these; without
+    it all of them are listed.
     """
     spark = features.sparkSession
-    hits = term_hits(index, query_terms(features, config), config)
     if top_k is None:
         pairs = roles = index.table(spark, "chunks").select(
             "chunk_no", "source_role", "repository", F.lit(0).alias("head_rank")
@@ -175,14 +187,40 @@ def candidates(
         "query_id", F.col("target_repository").alias("repository")
     )
     deep = F.col("head_rank") <= (0 if top_k is None else top_k)
-    flat = [
-        join_small(roles.filter(deep), by_role, ["source_role"], "chunk_no", proven=few),
-        join_small(pairs.filter(deep), by_repository, ["repository"], "chunk_no", proven=few),
-    ]
     nothing = [F.lit(0).alias(name) for name in _PARTS]
-    for part in flat:
-        hits = hits.unionByName(part.select("query_id", "chunk_no", *nothing))
-    return hits.groupBy("query_id", "chunk_no").agg(*[F.sum(name).alias(name) for name in _PARTS])
+    return join_small(roles.filter(deep), by_role, ["source_role"], "chunk_no", proven=few).select(
+        "query_id", "chunk_no", *nothing
+    ).unionByName(
+        join_small(pairs.filter(deep), by_repository, ["repository"], "chunk_no", proven=few).select("query_id", "chunk_no", *nothing)
+    )
+
+
+def candidates(
+    index: LexicalIndex, features: DataFrame, config: RankingConfig, few: bool, top_k: int | None = None
+) -> DataFrame:
+    """Every (query, chunk) that some part of the score favours, with its summed parts.
+
+    A path or symbol-word match implies a term match, and a whole-symbol match
+    has a posting of its own, so term hits bring all chunks but those that only
+    their role or repository favours.
+    """
+    hits = term_hits(index, query_terms(features, config), config)
+    return summed(hits.unionByName(favoured(index, features, config, few, top_k)))
+
+
+def _with_scores(found: DataFrame, features: DataFrame, config: RankingConfig, few: bool, *shown: str) -> DataFrame:
+    """Candidates joined to their chunks, with the score components and the score."""
+    asked = features.select("query_id", "schema_intent", "hinted_roles", "target_repository")
+    rows = join_small(found, asked, ["query_id"], spread_by="chunk_no", proven=few)
+    parts = rows.select(
+        "query_id", "chunk_no", "chunk_id", "evidence_key", *shown, (F.col("units") / F.lit(UNITS)).alias("lexical"),
+        symbol_boost(config).alias("symbol_boost"), path_boost(config).alias("path_boost"),
+        role_boost(config).alias("role_boost"), repository_boost(config).alias("repository_boost"),
+    )
+    score = F.col("lexical")
+    for name in BOOSTS:
+        score = score + F.col(name)
+    return parts.withColumn("score", score).filter("score > 0")
 
 
 def scored(index: LexicalIndex, queries: DataFrame, config: RankingConfig, top_k: int | None = None) -> DataFrame:
@@ -195,21 +233,11 @@ def scored(index: LexicalIndex, queries: DataFrame, config: RankingConfig, top_k
     """
     features = query_features(queries, config)
     few = at_most(queries, QUERY_ROWS)
-    found = candidates(index, features, config, few, top_k)
     chunks = index.table(queries.sparkSession, "chunks").select(
         "chunk_no", "chunk_id", "evidence_key", "repository", "source_role", "symbol_words",
     )
-    asked = features.select("query_id", "schema_intent", "hinted_roles", "target_repository")
-    rows = join_small(found.join(chunks, "chunk_no"), asked, ["query_id"], spread_by="chunk_no", proven=few)
-    parts = rows.select(
-        "query_id", "chunk_no", "chunk_id", "evidence_key", (F.col("units") / F.lit(UNITS)).alias("lexical"),
-        symbol_boost(config).alias("symbol_boost"), path_boost(config).alias("path_boost"),
-        role_boost(config).alias("role_boost"), repository_boost(config).alias("repository_boost"),
-    )
-    score = F.col("lexical")
-    for name in BOOSTS:
-        score = score + F.col(name)
-    return parts.withColumn("score", score).filter("score > 0")
+    found = candidates(index, features, config, few, top_k).join(chunks, "chunk_no")
+    return _with_scores(found, features, config, few)
 
 
 def best_evidence(scored_rows: DataFrame) -> DataFrame:
@@ -225,21 +253,93 @@ def results_are_few(queries: DataFrame, top_k: int) -> bool:
     return at_most(queries, RESULT_ROWS // top_k)
 
 
+def chunks_of(rows: DataFrame, index: LexicalIndex, few: bool, *columns: str) -> DataFrame:
+    """Rows with columns of their chunks; few rows open only the folders of the chunk table that hold them."""
+    chunks = index.table(rows.sparkSession, "chunks").select("part", "chunk_no", *columns)
+    keyed = rows.withColumn("part", part_of(F.col("chunk_no")))
+    return chunks.join(F.broadcast(keyed) if few else keyed, ["part", "chunk_no"]).drop("part")
+
+
+SHOWN = ("source_path", "label", "chunk_type", "start_line", "end_line")
+
+
 def described(rows: DataFrame, index: LexicalIndex, few: bool) -> DataFrame:
-    """Rows with the shown fields of their chunks; few rows spare the chunk table a shuffle."""
-    shown = index.table(rows.sparkSession, "chunks").select(
-        "chunk_no", "repository", "source_role", "source_path", "label", "chunk_type", "start_line", "end_line"
+    """Rows with the shown fields of their chunks."""
+    return chunks_of(rows, index, few, "repository", "source_role", *SHOWN).drop("chunk_no", "evidence_key")
+
+
+def most_extra(config: RankingConfig) -> Column:
+    """The most that role and repository can add to a chunk of this query."""
+    return F.greatest(
+        F.lit(0.0), F.when(F.col("schema_intent"), F.greatest(F.lit(config.schema_role_boost), F.lit(config.demoted_role_boost))),
+        F.when(F.size("hinted_roles") > 0, config.hinted_role_boost),
+    ) + F.when(F.col("target_repository").isNotNull(), F.greatest(F.lit(0.0), F.lit(config.repository_boost))).otherwise(0.0)
+
+
+def _most(config: RankingConfig) -> Column:
+    """The most that a candidate's own parts can come to; how many words its symbol has is not known yet."""
+    own = (
+        F.when(F.col("symbol_class") == 2, config.explicit_symbol_boost).when(F.col("symbol_class") == 1, config.symbol_boost)
+        .when(F.col("words_named") >= 2, config.symbol_words_boost).otherwise(0.0)
     )
-    return shown.join(F.broadcast(rows) if few else rows, "chunk_no").drop("chunk_no", "evidence_key")
+    return F.col("units") / F.lit(UNITS) + own + path_boost(config)
+
+
+def _fully(index: LexicalIndex, queries: DataFrame, config: RankingConfig, top_k: int) -> DataFrame:
+    """`search` by way of every candidate's score."""
+    order = [F.col("score").desc(), F.col("chunk_id")]
+    best = best_evidence(scored(index, queries, config, top_k))
+    return described(top_rows(best, ["query_id"], order, top_k, "rank"), index, results_are_few(queries, top_k))
 
 
 def search(index: LexicalIndex, queries: DataFrame, config: RankingConfig, top_k: int = 5) -> DataFrame:
-    """Ranked results of every query: best evidence per key, cut to `top_k`."""
+    """Ranked results of every query: best evidence per key, cut to `top_k`.
+
+    Each query's candidates are first cut to the most promising ones by what
+    their postings alone allow them at most, and only the chunks of these are
+    opened. That settles a query where the last candidate kept could not reach
+    the last result even with all that role and repository can add. Queries for
+    which it doesn't, say of many chunks with one evidence key, are run again
+    over all their candidates.
+    """
     if top_k < 1:
         raise ValueError("top_k must be at least 1")
+    features = query_features(queries, config)
+    few = at_most(queries, QUERY_ROWS)
+    depth = DEPTH * top_k
+    hits = summed(term_hits(index, query_terms(features, config), config)).withColumn("most", _most(config))
+    first = top_rows(hits, ["query_id"], [F.col("most").desc(), F.col("chunk_no")], depth, "_place")
+    flat = favoured(index, features, config, few, top_k).distinct().withColumns({"most": F.lit(0.0), "_place": F.lit(None).cast("int")})
+    # A chunk of both kinds scores no less by its hits, so of its two rows that one is kept as the best evidence.
+    found = written(first.unionByName(flat), "candidates")
+    near = results_are_few(queries, depth)
+    rows = _with_scores(
+        chunks_of(found, index, near, "chunk_id", "evidence_key", "repository", "source_role", "symbol_words", *SHOWN),
+        features, config, few, "repository", "source_role", *SHOWN,
+    )
     order = [F.col("score").desc(), F.col("chunk_id")]
-    best = best_evidence(scored(index, queries, config, top_k))
-    return described(top_rows(best, ["query_id"], order, top_k, "rank"), index, results_are_few(queries, top_k))
+    results = written(top_rows(best_evidence(rows), ["query_id"], order, top_k, "rank"), "results").drop("chunk_no", "evidence_key")
+    last = results.filter(F.col("rank") == top_k).select("query_id", F.col("score").alias("last"))
+    cut = found.filter(F.col("_place") == depth).select("query_id", "most")
+    open_ = features.select("query_id", most_extra(config).alias("extra")).join(cut, "query_id").join(last, "query_id", "left").filter(
+        F.col("last").isNull() | (F.col("most") + F.col("extra") >= F.col("last"))
+    ).select("query_id").distinct()
+    again = written(open_, "open-queries")
+    if again.isEmpty():
+        return results
+    rest = _fully(index, queries.join(again, "query_id", "left_semi"), config, top_k)
+    return results.join(again, "query_id", "left_anti").unionByName(rest)
+
+
+def lexical_search(index: LexicalIndex, queries: DataFrame, config: RankingConfig, top_k: int = 5) -> DataFrame:
+    """(query_id, rank, chunk_id, units) by the BM25 score alone, ties by chunk id."""
+    hits = term_hits(index, query_terms(query_features(queries, config), config), config).filter("units > 0")
+    sums = hits.groupBy("query_id", "chunk_no").agg(F.sum("units").alias("units"))
+    few = results_are_few(queries, DEPTH * top_k)
+    # Ties at the cut are all kept: the rank counts the chunks that score more.
+    first = top_tied(sums, ["query_id"], F.col("units").desc(), top_k)
+    named = chunks_of(first, index, few, "chunk_id")
+    return top_rows(named, ["query_id"], [F.col("units").desc(), F.col("chunk_id")], top_k, "rank").drop("chunk_no")
 
 
 def result_rows(results: DataFrame, debug: bool = False) -> DataFrame:

@@ -84,12 +84,23 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit:
     return df.withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= limit)
 
 
+def top_tied(df: DataFrame, keys: Sequence[str], order: Column, limit: int) -> DataFrame:
+    """Rows of each group that fewer than `limit` others come before; all that tie with the last are kept.
+
+    Spark limits each group by rank inside every map task before the shuffle,
+    as in `top_rows`.
+    """
+    ranked = df.withColumn("_rank", F.rank().over(Window.partitionBy(*keys).orderBy(order)))
+    return ranked.filter(F.col("_rank") <= limit).drop("_rank")
+
+
 def running(
     df: DataFrame, keys: Sequence[str], order: str, width: int,
     max_of: Mapping[str, str] | None = None, min_of: Mapping[str, str] | None = None,
-    sum_of: Mapping[str, str] | None = None, inclusive: bool = False, fits: bool = False,
+    sum_of: Mapping[str, str] | None = None, last_of: Mapping[str, str] | None = None,
+    inclusive: bool = False, fits: bool = False,
 ) -> DataFrame:
-    """Running max, min and sum over an integer order column, per key.
+    """Running max, min, sum and last value that is not null, over an integer order column, per key.
 
     `df` must hold one row per key and order value. The order axis is cut into
     buckets of `width` values: bucket totals are aggregated first, then carried
@@ -101,10 +112,15 @@ def running(
     """
     specs = [
         (kind, out, src)
-        for kind, items in (("max", max_of), ("min", min_of), ("sum", sum_of))
+        for kind, items in (("max", max_of), ("min", min_of), ("sum", sum_of), ("last", last_of))
         for out, src in (items or {}).items()
     ]
-    call = {"max": F.max, "min": F.min, "sum": F.sum}
+    call = {"max": F.max, "min": F.min, "sum": F.sum, "last": lambda src: F.last(src, ignorenulls=True)}
+
+    def total(kind: str, src: str) -> Column:
+        """Over rows in no order."""
+        return F.max_by(src, F.when(F.col(src).isNotNull(), F.col(order))) if kind == "last" else call[kind](src)
+
     last = 0 if inclusive else -1
     if fits:
         frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
@@ -117,7 +133,7 @@ def running(
     by_bucket = [*keys, "_bucket"]
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = bucketed.groupBy(*by_bucket).agg(
-        *[call[kind](src).alias(f"_t{i}") for i, (kind, _, src) in enumerate(specs)]
+        *[total(kind, src).alias(f"_t{i}") for i, (kind, _, src) in enumerate(specs)]
     )
     carried = totals.select(
         *by_bucket, *[call[kind](f"_t{i}").over(before).alias(f"_c{i}") for i, (kind, _, _) in enumerate(specs)]
@@ -129,6 +145,8 @@ def running(
         local = call[kind](src).over(inside)
         if kind == "sum":
             merged = F.coalesce(local, F.lit(0)) + F.coalesce(F.col(f"_c{i}"), F.lit(0))
+        elif kind == "last":
+            merged = F.coalesce(local, F.col(f"_c{i}"))
         else:
             merged = (F.greatest if kind == "max" else F.least)(local, F.col(f"_c{i}"))
         results.append(merged.alias(out))

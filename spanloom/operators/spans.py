@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from spanloom.config import (
     CONTEXT_NODE_TYPES, EXAMPLE_CHILD_TYPES, PRIMARY_NODE_TYPES, RETAINED_NODE_TYPES,
 )
-from spanloom.operators.scale import running, top_rows
+from spanloom.operators.scale import join_small, running, top_rows
 
 # Above every chunk index.
 INDEX_RANGE = "CAST('10000000000000000000' AS DECIMAL(20,0))"
@@ -264,7 +264,8 @@ def node_types_in(ranges: DataFrame, nodes: DataFrame, keys: Sequence[str], widt
     keys = list(keys)
     typed = [*keys, "node_type"]
     starts = nodes.groupBy(*typed, F.col("byte_start").alias("at")).agg(F.max("byte_end").alias("end"))
-    asked = ranges.join(nodes.select(*typed).distinct(), keys)
+    # A hot file's ranges stay spread: its few types come to them.
+    asked = join_small(ranges, nodes.select(*typed).distinct(), keys, spread_by="range_start")
     axis = (
         starts.unionByName(asked.select(*typed, F.col("range_end").alias("at")).distinct(), allowMissingColumns=True)
         .groupBy(*typed, "at").agg(F.max("end").alias("end"))
@@ -295,7 +296,7 @@ def main_children(chunks: DataFrame) -> DataFrame:
     )
     inside = (F.col("main_start") <= F.col("byte_start")) & (F.col("byte_end") <= F.col("main_end"))
     larger = (F.col("main_end") - F.col("main_start")) > size()
-    return chunks.join(mains, "file").filter(inside & larger).select(
+    return join_small(chunks, mains, ["file"], spread_by="chunk_index").filter(inside & larger).select(
         "file", "main_index", "chunk_index", "node_type", "byte_start", "byte_end"
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanloom.config import DEFAULT_TESTER, EXPORT_DIRECTORY, REVIEW_DIRECTORY
 from spanloom.functions.text import is_blank
 from spanloom.operators.interactions import numbered_in_session
-from spanloom.operators.scale import numbered
+from spanloom.operators.scale import numbered, running
 from spanloom.schemas import INTERACTION
 from spanloom.session import written
 
@@ -18,6 +18,8 @@ from spanloom.session import written
 FILES = "{session_*.jsonl,part-*}"
 APPENDED = r"^tester=([^/]*)/session=([^/]*)/part-[^/]*$"
 COMMIT_SUFFIX = "_commit"
+# Places of a log that are looked at together.
+PLACES = 10_000
 
 
 def _relative(root: str, file: Column | None = None) -> Column:
@@ -156,14 +158,18 @@ def append_interactions(records: DataFrame, root: str) -> None:
     )
 
 
-def next_session(records: DataFrame, session_id: Column) -> DataFrame:
-    """Records (tester_id, place) that lack a session id get one.
+def next_session(records: DataFrame, session_id: Column, width: int = PLACES) -> DataFrame:
+    """Records (log, place, tester_id) that lack a session id get one.
 
-    In the order of `place`, a record of the same tester as the one before goes
-    on with its session; a change of tester starts a new one, named by
-    `session_id` of the record that starts it. Given session ids stay.
+    In the order of `place`, a whole number, a record of the same tester as the
+    one before goes on with its session; a change of tester starts a new one,
+    named by `session_id` of the record that starts it. Given session ids stay.
+    The last tester and the running session are carried from one range of places
+    to the next, so a log may be of any length.
     """
-    in_order = Window.partitionBy("log").orderBy("place")
-    starts = F.coalesce(F.lag("tester_id").over(in_order) != F.col("tester_id"), F.lit(True)) | F.col("session_id").isNotNull()
-    named = records.withColumn("_start", F.when(starts, F.coalesce("session_id", session_id)))
-    return named.withColumn("session_id", F.last("_start", ignorenulls=True).over(in_order)).drop("_start")
+    asked = records.withColumn("_who", F.struct("tester_id"))
+    before = running(asked, ["log"], "place", width, last_of={"_before": "_who"})
+    same = F.coalesce(F.col("_before.tester_id") == F.col("tester_id"), F.lit(False)) & F.col("session_id").isNull()
+    named = before.withColumn("_start", F.when(~same, F.coalesce("session_id", session_id)))
+    whole = running(named, ["log"], "place", width, last_of={"_session": "_start"}, inclusive=True)
+    return whole.withColumn("session_id", F.col("_session")).select(*records.columns)

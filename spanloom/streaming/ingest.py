@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spanloom.operators.interactions import feedback_state
 from spanloom.session import new_table_path
@@ -66,3 +68,33 @@ def fold_feedback(stream: DataFrame, spark: SparkSession, name: str, prepare: Ca
     if query.exception():
         raise query.exception()
     return feedback_state(spark.read.parquet(path).drop("batch"))
+
+
+SESSION_TYPE = "log long, place long, tester_id string, session_id string"
+
+
+def assign_sessions(stream: DataFrame, name_of: Callable[[int], str]) -> DataFrame:
+    """`next_session` on a stream of (log, place, tester_id, session_id): the last tester and session of a log are its state.
+
+    Arrivals of a log are taken in the order of `place` inside a micro-batch,
+    and batches as they come. `name_of` names the session that a place starts.
+    Only one batch's share of a log is in memory at a time.
+    """
+
+    def assign(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values("place", kind="stable")
+        known, tester, session = state.get if state.exists else (False, None, None)
+        given = []
+        for place, who, own in zip(rows["place"], rows["tester_id"], rows["session_id"]):
+            who, own = (None if pd.isna(x) else x for x in (who, own))
+            if own is not None or not known or who is None or who != tester:
+                session = own if own is not None else name_of(int(place))
+            known, tester = True, who
+            given.append(session)
+        state.update((known, tester, session))
+        rows["session_id"] = given
+        yield rows[["log", "place", "tester_id", "session_id"]]
+
+    return stream.groupBy("log").applyInPandasWithState(
+        assign, SESSION_TYPE, "known boolean, tester string, session string", "append", GroupStateTimeout.NoTimeout
+    )

@@ -85,13 +85,16 @@ def session_log_round_trip(spark, sf_dir):
         F.element_at("repository_commits", F.lit("alpha")).alias("alpha"), F.col("bad").isNotNull().alias("bad"))
 
 
-def session_assignment(spark, sf_dir):
+def log_records(events):
     """Events as records of sixteen logs, one of fifty with a session of its own."""
     event = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select(
+    return events.select(
         (event % 16).alias("log"), event.alias("place"), F.col("event_type").alias("tester_id"),
         F.when(event % 50 == 0, F.concat(F.lit("given"), event)).alias("session_id"))
-    return next_session(rows, F.concat(F.lit("s"), "place"))
+
+
+def session_assignment(spark, sf_dir):
+    return next_session(log_records(table(spark, sf_dir, "events")), F.concat(F.lit("s"), "place"))
 
 
 def interactions_from_turns(spark, sf_dir):

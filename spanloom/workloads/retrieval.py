@@ -11,9 +11,8 @@ from spanloom.functions import text as T
 from spanloom.operators.evidence import evidence_text, pack_evidence, prompts, with_content
 from spanloom.operators.index import LexicalIndex, build_index, idf
 from spanloom.operators.ranking import (
-    UNITS, best_evidence, query_features, query_terms, result_report, result_rows, results_are_few, scored, search, term_hits,
+    UNITS, best_evidence, lexical_search, result_report, result_rows, results_are_few, scored, search,
 )
-from spanloom.operators.scale import top_rows
 from spanloom.plans.retrieval import Retriever
 from spanloom.session import new_table_path
 from spanloom.sources.tables import benchmark_queries, document_chunks
@@ -82,13 +81,8 @@ def term_idf(spark, sf_dir):
 
 def _lexical(index: LexicalIndex, queries: DataFrame, top_k: int) -> DataFrame:
     """Chunks ranked by their BM25 score alone."""
-    spark = queries.sparkSession
-    hits = term_hits(index, query_terms(query_features(queries, CONFIG), CONFIG), CONFIG).filter("units > 0")
-    sums = hits.groupBy("query_id", "chunk_no").agg(F.sum("units").alias("units"))
-    named = sums.join(index.table(spark, "chunks").select("chunk_no", "chunk_id"), "chunk_no")
-    return top_rows(named, ["query_id"], [F.col("units").desc(), F.col("chunk_id")], top_k, "rank").select(
-        "query_id", F.col("rank").cast("long").alias("rank"), "chunk_id",
-        F.round(F.col("units") / UNITS, 6).alias("score"))
+    return lexical_search(index, queries, CONFIG, top_k).select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round(F.col("units") / UNITS, 6).alias("score"))
 
 
 def bm25_topk(spark, sf_dir):

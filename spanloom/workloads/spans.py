@@ -98,11 +98,12 @@ def policy_d_split(spark, sf_dir):
 
 
 def exact_spans(spark, sf_dir):
-    """Half of the order lines as syntax nodes, matched with the spans of the others."""
+    """All order lines as syntax nodes, matched with all spans, of which a third end a byte later."""
     spans = span_table(spark, sf_dir)
-    nodes = spans.filter("chunk_index % 2 = 0").withColumn(
+    nodes = spans.withColumn(
         "node_type", F.when(F.col("node_type").isin("function_definition", "method_declaration"), "function_definition").otherwise("class_specifier"))
-    return S.exact_span_matches(nodes, spans.filter("chunk_index % 2 = 1"))
+    moved = spans.withColumn("byte_end", F.col("byte_end") + (F.col("chunk_index") % 3 == 0).cast("int"))
+    return S.exact_span_matches(nodes, moved)
 
 
 def _points(spark, sf_dir):
@@ -238,8 +239,8 @@ WORKLOADS = {
     "policy_d_split": (policy_d_split, f"""WITH {_SPANS_SQL} SELECT file, CASE WHEN node_type IN ('function_definition','method_declaration') THEN 'retrieval' ELSE 'context' END AS use,
         count(*) AS chunks, CAST(sum(byte_end - byte_start) AS BIGINT) AS bytes FROM spans WHERE node_type IN {_RETAINED} GROUP BY ALL"""),
     "exact_span_semi": (exact_spans, f"""WITH {_SPANS_SQL}, nodes AS (SELECT file, byte_start, byte_end, CASE WHEN node_type IN ('function_definition','method_declaration')
-          THEN 'function_definition' ELSE 'class_specifier' END AS node_type FROM spans WHERE chunk_index % 2 = 0),
-        hit AS (SELECT DISTINCT file, byte_start, byte_end, CASE WHEN node_type = 'method_declaration' THEN 'function_definition' ELSE node_type END AS node_type FROM spans WHERE chunk_index % 2 = 1),
+          THEN 'function_definition' ELSE 'class_specifier' END AS node_type FROM spans),
+        hit AS (SELECT DISTINCT file, byte_start, byte_end + CASE WHEN chunk_index % 3 = 0 THEN 1 ELSE 0 END AS byte_end, CASE WHEN node_type = 'method_declaration' THEN 'function_definition' ELSE node_type END AS node_type FROM spans),
         j AS (SELECT n.file, n.node_type, h.file IS NOT NULL AS hit FROM nodes n LEFT JOIN hit h USING (file, byte_start, byte_end, node_type))
         SELECT file, node_type, count(*) AS ast_count, count(*) FILTER (hit) AS raw_chunk_exact_span_count, count(*) = count(*) FILTER (hit) AS all_intact FROM j GROUP BY ALL"""),
     "points_inside": (points_inside, f"""WITH {_SPANS_SQL}, pts AS (SELECT l_suppkey AS file, l_orderkey % 1050 AS point, count(*) AS points FROM lineitem GROUP BY ALL)

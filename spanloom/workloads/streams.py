@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.streaming.ingest import first_arrivals, fold_feedback, read_table_stream, run_available
+from spanloom.streaming.ingest import assign_sessions, first_arrivals, fold_feedback, read_table_stream, run_available
 from spanloom.workloads import interactions as W
 
 
@@ -32,8 +32,15 @@ def stream_feedback(spark, sf_dir):
     return fold_feedback(read_table_stream(spark, sf_dir, "events.parquet"), spark, "feedback", prepare)
 
 
+def stream_session_window(spark, sf_dir):
+    """Sessions of sixteen logs given as the events arrive, one of fifty with a session of its own."""
+    rows = W.log_records(read_table_stream(spark, sf_dir, "events.parquet"))
+    return run_available(assign_sessions(rows, lambda place: f"s{place}"), spark, "sessions")
+
+
 WORKLOADS = {
     "stream_append_counts": (stream_append_counts, """SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users, round(sum(value), 2) AS value FROM events GROUP BY 1"""),
     "stream_dedupe": (stream_first_arrivals, "SELECT event_type, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS id_sum FROM events GROUP BY 1"),
+    "stream_session_window": (stream_session_window, W.WORKLOADS["session_assignment"][1]),
     "stream_feedback": (stream_feedback, W.WORKLOADS["feedback_latest_wins"][1]),
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.config import RankingConfig
 from spanloom.operators.index import build_index
-from spanloom.operators.ranking import scored, search
+from spanloom.operators.ranking import lexical_search, scored, search
 from spanloom.plans.retrieval import Retriever
 from spanloom.session import new_table_path
 from spanloom.sources.corpus import conform_chunks
@@ -105,8 +105,10 @@ QUERIES = [
 ]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_search_matches_the_model(spark, seed):
+@pytest.mark.parametrize("seed, depth", [(1, 80), (2, 1)])
+def test_search_matches_the_model(spark, monkeypatch, seed, depth):
+    """With a depth of 1 few queries are settled by their first candidates; the others run over all of them."""
+    monkeypatch.setattr("spanloom.operators.ranking.DEPTH", depth)
     rows = corpus(random.Random(seed), 120)
     index = build_index(frame(spark, rows), new_table_path(spark, "t"), CONFIG)
     queries = spark.createDataFrame(list(enumerate(QUERIES)), "query_id long, query string")
@@ -195,3 +197,36 @@ def test_answers(spark):
     assert rows[0]["success"] and rows[0]["answer"] == "answer"
     assert rows[1]["error"] == "No retrieval evidence was found for the query."
     assert rows[2]["error"] == '{"api_key": "[redacted]", "why": "token=[redacted] down"}'
+
+
+def test_search_opens_what_it_needs(spark):
+    from spanloom.operators import ranking
+    from spanloom.operators.index import open_index
+
+    rows = corpus(random.Random(6), 60)
+    path = new_table_path(spark, "t")
+    built = build_index(frame(spark, rows), path, CONFIG)
+    queries = spark.createDataFrame(list(enumerate(QUERIES)), "query_id long, query string")
+    terms = ranking.query_terms(ranking.query_features(queries, CONFIG), CONFIG)
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    # The postings of a chunk are summed where they lie, and its row is looked for in its folder only.
+    sums = plan(ranking.summed(ranking.term_hits(built, terms, CONFIG)))
+    assert "Bucketed: true" in sums and "hashpartitioning(query_id" not in sums
+    few = ranking.top_rows(ranking.summed(ranking.term_hits(built, terms, CONFIG)), ["query_id"], [F.col("units").desc()], 1, "place")
+    assert "dynamicpruning" in plan(ranking.chunks_of(few, built, True, "chunk_id"))
+    spark.sql(f"DROP TABLE {built.postings_name}")
+    again = open_index(spark, path)
+    assert again == built
+    found = [sorted(map(tuple, search(x, queries, CONFIG, 3).select("query_id", "rank", "chunk_id").collect())) for x in (built, again)]
+    assert found[0] == found[1]
+
+
+def test_lexical_ties_go_by_chunk_id(spark):
+    rows = [chunk(chunk_id=f"c{i % 10}{i}", content="same words here") for i in range(30)]
+    index = build_index(frame(spark, rows), new_table_path(spark, "t"), CONFIG)
+    queries = spark.createDataFrame([(0, "words")], "query_id long, query string")
+    got = lexical_search(index, queries, CONFIG, 4).sort("rank").collect()
+    assert [r.chunk_id for r in got] == sorted(r["chunk_id"] for r in rows)[:4] and [r["rank"] for r in got] == [1, 2, 3, 4]

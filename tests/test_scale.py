@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import scale
+from spanloom.sources.sessions import next_session
+from spanloom.streaming.ingest import assign_sessions, run_available
 
 
 def test_running_over_buckets(spark):
@@ -23,6 +25,55 @@ def test_running_over_buckets(spark):
                 assert r["lo"] == (min(seen) if seen else None)
 
 
+def test_last_value_over_buckets(spark):
+    rng = random.Random(8)
+    rows = [(k, o, rng.choice([None, None, "a", "b", "c"])) for k in range(3) for o in rng.sample(range(-50, 200), 60)]
+    df = spark.createDataFrame(rows, "k int, o long, v string")
+    for width in (7, 1000):
+        for inclusive in (False, True):
+            for r in scale.running(df, ["k"], "o", width, last_of={"last": "v"}, inclusive=inclusive).collect():
+                seen = [(o, v) for k, o, v in rows if k == r["k"] and v is not None and (o < r["o"] or (inclusive and o == r["o"]))]
+                assert r["last"] == (max(seen)[1] if seen else None)
+
+
+def assigned(rows):
+    """(log, place) -> session by a plain loop."""
+    out, known = {}, {}
+    for log, place, tester, given in sorted(rows):
+        before = known.get(log)
+        session = given if given is not None else before[1] if before and tester is not None and before[0] == tester else f"s{place}"
+        known[log], out[log, place] = (tester, session), session
+    return out
+
+
+def session_rows():
+    rng = random.Random(9)
+    return [(log, place, rng.choice(["amy", "amy", "bob", None]), f"given{place}" if rng.random() < 0.1 else None)
+            for log, many in ((0, 300), (1, 5), (2, 60)) for place in rng.sample(range(1000), many)]
+
+
+def test_sessions_over_ranges_of_places(spark):
+    rows = session_rows()
+    df = spark.createDataFrame([(*r, 1) for r in rows], "log long, place long, tester_id string, session_id string, extra int")
+    for width in (10, 10_000):
+        got = next_session(df, F.concat(F.lit("s"), "place"), width)
+        assert got.columns == df.columns
+        assert {(r["log"], r["place"]): r["session_id"] for r in got.collect()} == assigned(rows)
+
+
+def test_sessions_of_a_stream(spark, tmp_path):
+    """Batches in the order of their places, rows inside in any order; state goes from one to the next."""
+    rows = sorted(session_rows(), key=lambda r: r[1])
+    kind = "log long, place long, tester_id string, session_id string"
+    for i, at in enumerate(range(0, len(rows), 80)):
+        part = rows[at : at + 80]
+        random.Random(i).shuffle(part)
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run_available(assign_sessions(stream, lambda place: f"s{place}"), spark, "sessions").collect()
+    assert {(r["log"], r["place"]): r["session_id"] for r in got} == assigned(rows)
+
+
 def test_numbering_in_ranges(spark):
     rows = [(i % 7, f"id{i:05d}") for i in range(2000)] + [(3, None)]
     df = spark.createDataFrame(rows, "a long, b string").repartition(6)

@@ -101,3 +101,24 @@ def test_examples_fall_back_to_first_relations(spark):
     rows = [("f", 0, 0, 100, "namespace")] + [("f", i, i, i + 2, "field_declaration") for i in range(1, 20)]
     got = S.example_relations(S.direct_parents(frame(spark, rows))).sort("place").collect()
     assert [r["chunk_index"] for r in got] == list(range(1, 13))
+
+
+def test_types_in_ranges_of_a_hot_file(spark, monkeypatch):
+    """Half of all nodes lie in one file, whose ranges are salted; compared with every pair."""
+    rng = random.Random(3)
+    nodes = [(0 if i % 2 else rng.randint(1, 9), at := rng.randint(0, 900), at + rng.randint(1, 60), rng.choice("abcd")) for i in range(600)]
+    ranges = [(f, at, at + 50) for f in range(10) for at in range(0, 1000, 50)]
+    monkeypatch.setattr("spanloom.operators.scale.BROADCAST_BYTES", 0)
+    found = S.node_types_in(
+        spark.createDataFrame(ranges, "file int, range_start long, range_end long"),
+        spark.createDataFrame(nodes, "file int, byte_start long, byte_end long, node_type string"), ["file"], width=64,
+    )
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {(r["file"], r["range_start"]): r["node_types"] for r in found.collect()}
+    want = {}
+    for f, a, b in ranges:
+        kinds = sorted({t for g, x, y, t in nodes if g == f and x < b and a < y})
+        if kinds:
+            want[f, a] = kinds
+    assert got == want
