@@ -156,11 +156,10 @@ def policy_comparison(spark, sf_dir):
 
 def byte_line_numbers(spark, sf_dir):
     """Lines at the first, middle and last third of each text's bytes."""
-    size = F.octet_length("text")
-    docs = texts(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array(
-        F.lit(0), (size / 3).cast("int"), (size * 2 / 3).cast("int"), size)).alias("offset"))
-    return docs.select("doc_id", F.col("offset").cast("long").alias("offset"), S.line_at(F.col("text"), F.col("offset")).alias("line"),
-                       S.last_line_before(F.col("text"), F.col("offset")).alias("last_line"))
+    size = F.octet_length("text").cast("long")
+    offsets = F.array(F.lit(0).cast("long"), (size / 3).cast("long"), (size * 2 / 3).cast("long"), size)
+    docs = texts(spark, sf_dir, "documents").select("doc_id", F.explode(S.line_numbers(F.col("text"), offsets)).alias("x"))
+    return docs.select("doc_id", "x.*")
 
 
 def byte_slices(spark, sf_dir):
