@@ -69,7 +69,6 @@ def index(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def corpus(spark: SparkSession, args: argparse.Namespace) -> None:
     """Build a corpus from a source tree with its summary."""
-    from spanloom.operators.corpus import summary
     from spanloom.plans import corpus_build as B
     from spanloom.sources.corpus import read_corpus, write_corpus
 
@@ -78,9 +77,7 @@ def corpus(spark: SparkSession, args: argparse.Namespace) -> None:
     else:
         chunks, problems = B.library_corpus(spark, args.root, args.repository)
     write_corpus(chunks, args.output)
-    report = summary(read_corpus(spark, args.output))
-    problems.write.mode("errorifexists").json(f"{args.output}_problems")
-    B.write_summary(spark, report, f"{args.output}_summary.json")
+    B.write_report(spark, read_corpus(spark, args.output), problems, args.output)
 
 
 def combine(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -106,6 +103,24 @@ def export(spark: SparkSession, args: argparse.Namespace) -> None:
     run(spark, args.root, args.output)
 
 
+def append(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Append interaction records, JSON lines of the log's fields, to the sessions of a log."""
+    from spanloom.schemas import INTERACTION
+    from spanloom.sources.sessions import append_interactions
+
+    append_interactions(spark.read.schema(INTERACTION).option("mode", "FAILFAST").json(args.records), args.root)
+
+
+def feedback(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Merge feedback, JSON lines, into a versioned table of interactions; print the new version."""
+    from spanloom.plans.review import merge_version
+    from spanloom.sources.versions import VersionedTable
+
+    kind = "interaction_id string, sequence long, action string, category string, comment string, correction string"
+    rows = spark.read.schema(kind).option("mode", "FAILFAST").json(args.feedback)
+    print(merge_version(VersionedTable(spark, args.table), rows, args.base))
+
+
 def check(spark: SparkSession, args: argparse.Namespace) -> None:
     """List session files with the reason they may not be submitted."""
     from spanloom.plans.review import submittable
@@ -136,6 +151,8 @@ def parser() -> argparse.ArgumentParser:
     command(review, ("--root", need), ("--timestamp-suffix", {}), ("--only-unreviewed", {"action": "store_true"}))
     command(export, ("--root", need), ("--output", need))
     command(check, ("--root", need), ("--output", need))
+    command(append, ("--root", need), ("--records", need))
+    command(feedback, ("--table", need), ("--feedback", need), ("--base", {"type": int, "required": True}))
     return top
 
 

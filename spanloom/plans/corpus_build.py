@@ -12,10 +12,11 @@ from spanloom.functions import jsontext as J
 from spanloom.functions import paths as P
 from spanloom.functions import text as T
 from spanloom.operators.corpus import combine, require_valid, summary
-from spanloom.operators.sections import section_chunks
+from spanloom.operators.sections import header_blocks, issues, section_chunks
 from spanloom.session import written
 from spanloom.sources.corpus import (
-    conform_chunks, decoded, json_lines, library_files, package_files, read_corpus, read_files, undecodable, write_corpus,
+    DOUBTED, SECTION, SKIPPED, conform_chunks, decoded, json_lines, library_files, package_files, problem, read_corpus, read_files,
+    undecodable, write_corpus,
 )
 from spanloom.sources.parsing import parse_files
 
@@ -105,7 +106,9 @@ def library_corpus(spark: SparkSession, root: str, repository: str, config: Chun
             F.col("node_types").alias("tree_sitter_node_types_contained"),
         ))
     )
-    problems = parse_problems(parsed, repository).unionByName(undecodable(files, repository))
+    problems = parse_problems(parsed, repository).unionByName(undecodable(files, repository)).unionByName(
+        section_problems(cases, repository)
+    )
     return whole.unionByName(conform_chunks(parts)), problems
 
 
@@ -117,17 +120,59 @@ def package_corpus(spark: SparkSession, root: str, repository: str, package: str
     primary = parsed.filter(is_primary(F.col("node_type"), F.col("language")))
     documents = files.filter("language = 'json'")
     broken = documents.filter(~J.is_valid(F.col("content"))).select(
-        F.lit(repository).alias("repository"), F.col("path").alias("source_path"),
-        F.lit("invalid JSON").alias("problem"),
+        *problem(repository, F.col("path"), DOUBTED, F.lit("invalid JSON"))
     )
     chunks = structural_chunks(primary, repository).unionByName(config_documents(documents, repository))
     return chunks, parse_problems(parsed, repository).unionByName(broken).unionByName(undecodable(listed, repository))
 
 
 def parse_problems(parsed: DataFrame, repository: str) -> DataFrame:
-    return parsed.filter("error IS NOT NULL").select(
-        F.lit(repository).alias("repository"), F.col("path").alias("source_path"), F.col("error").alias("problem")
-    ).distinct()
+    return parsed.filter("error IS NOT NULL").select(*problem(repository, F.col("path"), SKIPPED, F.col("error"))).distinct()
+
+
+def section_problems(functions: DataFrame, repository: str | Column) -> DataFrame:
+    """The separator blocks of functions (source_path, start_line, content) that open no section, with their lines."""
+    found = functions.withColumn("_b", F.explode(issues(header_blocks(F.col("content")))))
+    return found.select(*problem(
+        repository, F.col("source_path"), SECTION, F.col("_b.issue"), F.col("start_line") + F.col("_b.relative_line") - 1
+    ))
+
+
+def problem_counts(problems: DataFrame) -> DataFrame:
+    """(repository, kind, files, problems): how many problems of each kind, in how many files."""
+    return problems.groupBy("repository", "kind").agg(
+        F.count_distinct("source_path").alias("files"), F.count("*").alias("problems")
+    )
+
+
+def write_report(spark: SparkSession, chunks: DataFrame, problems: DataFrame, output: str) -> None:
+    """The problems as JSON lines, and the summary with their counts beside them.
+
+    The summary is written last: where there is one, the problems are whole.
+    """
+    problems.write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{output}_problems")
+    counts = problem_counts(read_problems(spark, output))
+    report = summary(chunks)
+    # A row per repository and kind.
+    report["problems"] = [r.asDict() for r in counts.sort("repository", "kind").collect()]
+    write_summary(spark, report, f"{output}_summary.json")
+
+
+def read_problems(spark: SparkSession, output: str) -> DataFrame:
+    return spark.read.schema(PROBLEM).json(f"{output}_problems")
+
+
+def read_summary(spark: SparkSession, output: str) -> DataFrame:
+    """The summary as one row; `problems` is a list of their counts."""
+    return spark.read.schema(SUMMARY).option("multiLine", "true").json(f"{output}_summary.json")
+
+
+PROBLEM = "repository string, source_path string, kind string, problem string, line long"
+SUMMARY = (
+    "total_chunk_count long, counts_by_source_role map<string,long>, counts_by_repository map<string,long>, "
+    "counts_by_chunk_type map<string,long>, chunk_size_bytes struct<min:long,max:long,mean:double,median:double>, "
+    "problems array<struct<repository:string,kind:string,files:long,problems:long>>"
+)
 
 
 def write_summary(spark: SparkSession, report: dict, path: str) -> None:

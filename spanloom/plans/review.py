@@ -11,6 +11,7 @@ from spanloom.functions import render as R
 from spanloom.operators import interactions as I
 from spanloom.operators.scale import numbered, top_rows
 from spanloom.sources import sessions as S
+from spanloom.sources.versions import VersionedTable
 
 SUFFIX = re.compile(r"^\d{8}T\d{6}Z$")
 REPORT_COLUMNS = [
@@ -151,11 +152,21 @@ def submittable(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def with_feedback(interactions: DataFrame, feedback: DataFrame) -> DataFrame:
+    """The interactions with all feedback applied, once every row of it is found to be in order."""
+    _stop_on(I.unmatched_feedback(interactions, feedback), "No single interaction for feedback")
+    _stop_on(feedback.filter(I.feedback_problem().isNotNull()), "Feedback refused")
+    return I.apply_feedback(interactions, I.feedback_state(feedback))
+
+
 def merge_feedback(interactions: DataFrame, feedback: DataFrame, output: str) -> None:
     """Write a snapshot of the interactions with all feedback applied.
 
     The log itself stays as it is; a reader switches to the new snapshot whole.
     """
-    _stop_on(I.unmatched_feedback(interactions, feedback), "No single interaction for feedback")
-    _stop_on(feedback.filter(I.feedback_problem().isNotNull()), "Feedback refused")
-    I.apply_feedback(interactions, I.feedback_state(feedback)).write.mode("errorifexists").parquet(output)
+    with_feedback(interactions, feedback).write.mode("errorifexists").parquet(output)
+
+
+def merge_version(table: VersionedTable, feedback: DataFrame, base: int) -> int:
+    """The next version of the interactions: those of `base` with later feedback applied; refused where the base has moved on."""
+    return table.write(with_feedback(table.read(base), feedback), base)

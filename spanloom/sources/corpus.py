@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.config import CPP_EXTENSIONS
@@ -17,6 +17,18 @@ PACKAGE_SCOPE = (
 )
 
 
+# Kinds of problems: files that are left out, files taken with a parser's doubts, and separator blocks that open no section.
+SKIPPED, DOUBTED, SECTION = "skipped_file", "parse_warning", "section_warning"
+
+
+def problem(repository: str | Column, path: Column, kind: str, text: Column, line: Column | None = None) -> list[Column]:
+    """The columns of a problem of a corpus build: what it is, in which file, and at which line where known."""
+    return [
+        (F.lit(repository) if isinstance(repository, str) else repository).alias("repository"), path.alias("source_path"),
+        F.lit(kind).alias("kind"), text.alias("problem"), (F.lit(None) if line is None else line).cast("long").alias("line"),
+    ]
+
+
 def conform_chunks(chunks: DataFrame) -> DataFrame:
     """Columns of the chunk schema, in its order; absent ones are null."""
     return chunks.select(*[
@@ -83,10 +95,10 @@ def decoded(files: DataFrame) -> DataFrame:
     )
 
 
-def undecodable(files: DataFrame, repository: str) -> DataFrame:
-    """Files whose bytes are no UTF-8 text, as problems."""
+def undecodable(files: DataFrame, repository: str | Column) -> DataFrame:
+    """Files whose bytes are no UTF-8 text, as problems: they are skipped."""
     return files.filter(~F.is_valid_utf8(F.col("content").cast("string"))).select(
-        F.lit(repository).alias("repository"), F.col("path").alias("source_path"), F.lit("not UTF-8 text").alias("problem")
+        *problem(repository, F.col("path"), SKIPPED, F.lit("not UTF-8 text"))
     )
 
 

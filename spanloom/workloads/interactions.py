@@ -8,7 +8,7 @@ from spanloom.config import FEEDBACK_CATEGORIES
 from spanloom.functions import render as R
 from spanloom.functions import text as T
 from spanloom.operators import interactions as I
-from spanloom.plans.review import review_blocks, session_blocks
+from spanloom.plans.review import merge_version, review_blocks, session_blocks
 from spanloom.schemas import SOURCE
 from spanloom.session import new_table_path
 from spanloom.sources.sessions import (
@@ -16,6 +16,7 @@ from spanloom.sources.sessions import (
     sessions_of,
 )
 from spanloom.sources.tables import table
+from spanloom.sources.versions import StaleBase, VersionedTable
 
 
 def answers(spark, sf_dir):
@@ -263,14 +264,33 @@ def feedback_refused(spark, sf_dir):
     return bad.groupBy("problem").agg(F.count("*").alias("rows"))
 
 
-def feedback_applied(spark, sf_dir):
-    """Interactions, one per event user, with all feedback merged in."""
-    base = table(spark, sf_dir, "events").select(F.col("user_id")).distinct().select(
+def _unrated(spark, sf_dir):
+    """Interactions, one per event user, before any feedback."""
+    return table(spark, sf_dir, "events").select(F.col("user_id")).distinct().select(
         F.concat(F.lit("i"), "user_id").alias("interaction_id"), F.lit("unrated").alias("rating"),
         F.lit("before").alias("feedback_category"), F.lit("before").alias("feedback_comment"),
         F.lit("before").alias("suggested_correction"))
-    state = I.feedback_state(feedback(spark, sf_dir))
-    return I.apply_feedback(base, state)
+
+
+def feedback_applied(spark, sf_dir):
+    """Interactions, one per event user, with all feedback merged in."""
+    return I.apply_feedback(_unrated(spark, sf_dir), I.feedback_state(feedback(spark, sf_dir)))
+
+
+def feedback_versions(spark, sf_dir):
+    """The same by two merges into a versioned table; one more from the first base is refused in between."""
+    versions = VersionedTable(spark, new_table_path(spark, "versions"))
+    rows = feedback(spark, sf_dir).filter(I.feedback_problem().isNull())
+    # Earlier feedback first: what a later merge brings must be newer.
+    middle = rows.agg(F.expr("percentile_approx(sequence, 0.5)")).first()[0] or 0
+    first, later = rows.filter(F.col("sequence") <= middle), rows.filter(F.col("sequence") > middle)
+    start = versions.write(_unrated(spark, sf_dir), None)
+    merged = merge_version(versions, first, start)
+    try:
+        merge_version(versions, later, start)
+    except StaleBase:
+        merge_version(versions, later, merged)
+    return versions.read()
 
 
 def feedback_unmatched(spark, sf_dir):
@@ -423,3 +443,5 @@ WORKLOADS = {
     "feedback_unmatched": (feedback_unmatched, f"""WITH {_FEEDBACK}, o AS (SELECT CASE WHEN sequence % 40 < 2 THEN interaction_id ELSE 'o' || sequence END AS interaction_id, count(*) AS owners FROM f GROUP BY 1)
         SELECT interaction_id, coalesce(owners, 0) AS owners, count(*) AS updates FROM f LEFT JOIN o USING (interaction_id) WHERE coalesce(owners, 0) <> 1 GROUP BY ALL"""),
 }
+
+WORKLOADS["feedback_versions"] = (feedback_versions, WORKLOADS["feedback_applied"][1])

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from spanloom.config import PREAMBLE_TITLE, ChunkConfig
 from spanloom.operators import sections as S
 from spanloom.operators.corpus import distribution, threshold_counts
+from spanloom.plans import corpus_build as B
+from spanloom.session import new_table_path
+from spanloom.sources.corpus import undecodable
 from spanloom.sources.tables import texts
 
 # Smaller limits than the default ones, so that most documents are oversized.
@@ -171,6 +174,25 @@ def byte_slices(spark, sf_dir):
         F.sha2(S.slice_text(F.col("content"), F.col("byte_start"), F.col("byte_end")), 256).alias("slice_sha"))
 
 
+def corpus_problems(spark, sf_dir):
+    """Documents as case files, one of fifty no text at all: chunks, problems and summary are written and read back."""
+    files = functions(spark, sf_dir).withColumn("path", F.concat("file", F.lit("/"), "chunk_id", F.lit(".cpp")))
+    raw = files.withColumn("content", F.when(F.col("chunk_id") % 50 == 0, F.unhex(F.lit("ff"))).otherwise(F.encode("content", "UTF-8")))
+    repository = F.col("file")
+    texts_only = raw.filter(F.is_valid_utf8(F.col("content").cast("string"))).withColumn("content", F.decode("content", "UTF-8"))
+    chunks = texts_only.select(
+        F.col("chunk_id").cast("string").alias("chunk_id"), F.lit("simulation_case").alias("source_role"), repository.alias("repository"),
+        F.lit("function_definition").alias("chunk_type"), F.lit(0).cast("long").alias("byte_start"),
+        F.octet_length("content").cast("long").alias("byte_end"))
+    problems = B.section_problems(texts_only.withColumn("source_path", F.col("path")), repository).unionByName(undecodable(raw, repository))
+    output = new_table_path(spark, "corpus")
+    B.write_report(spark, chunks, problems, output)
+    counted = B.read_summary(spark, output).select("counts_by_repository", F.explode("problems").alias("p"))
+    lines = B.read_problems(spark, output).groupBy("repository", "kind").agg(F.sum("line").alias("line_sum"))
+    return counted.select("p.*", F.try_element_at("counts_by_repository", F.col("p.repository")).alias("chunks")).join(
+        lines, ["repository", "kind"])
+
+
 _FUNCTIONS = """raw AS (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents),
 shaped AS (SELECT doc_id, source, list_transform(range(1, len(parts) + 1), lambda j: CASE WHEN (j - 1) % 9 IN (0, 2) THEN '    //----------------'
     WHEN (j - 1) % 9 = 1 AND doc_id % 4 <> 3 THEN '// ' || parts[j] ELSE parts[j] END) AS parts FROM raw),
@@ -267,6 +289,12 @@ WORKLOADS = {
         SELECT doc_id AS chunk_id, CAST(e - strlen(line) AS BIGINT) AS byte_start, CAST(e AS BIGINT) AS byte_end, sha256(line) AS slice_sha FROM kept"""),
 }
 
+WORKLOADS["corpus_problems"] = (corpus_problems, f"""WITH {_FUNCTIONS},
+  found AS (SELECT x.file AS repository, 'section_warning' AS kind, j.chunk_id, 9 + relative_line AS line FROM judged j JOIN texts x USING (chunk_id) WHERE issue IS NOT NULL AND j.chunk_id % 50 <> 0
+    UNION ALL SELECT file, 'skipped_file', chunk_id, NULL FROM texts WHERE chunk_id % 50 = 0)
+  SELECT repository, kind, count(DISTINCT chunk_id) AS files, count(*) AS problems, CAST(sum(line) AS BIGINT) AS line_sum,
+    (SELECT nullif(count(*), 0) FROM texts t WHERE t.file = repository AND t.chunk_id % 50 <> 0) AS chunks FROM found GROUP BY 1, 2""")
+
 # The same with windows of four lines, and with the default limit of 5,000 bytes.
 _DEFAULT = ChunkConfig()
 WORKLOADS |= {

@@ -140,6 +140,15 @@ def redact_body(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", J.redact_body(_body()).alias("body"))
 
 
+def error_messages(spark, sf_dir):
+    """The whole way of an error body: its fields, then its text redacted, cut at 600; one of eleven is no JSON, one empty."""
+    n = F.col("event_id")
+    long = F.concat(F.lit("api_key=k"), n, F.lit(" because "), F.repeat(F.concat("event_type", F.lit(" ")), (n % 200).cast("int")))
+    body = F.when(n % 11 == 0, long).when(n % 11 == 1, "{}").otherwise(
+        F.concat(F.substring(_body(), F.lit(1), F.length(_body()) - 1), F.lit(', "text": "'), long, F.lit('"}')))
+    return table(spark, sf_dir, "events").select("event_id", J.safe_message(J.redact_body(body)).alias("message"))
+
+
 def secret_key_scan(spark, sf_dir):
     """JSON with keys in several spellings at several depths, and look-alikes in values."""
     names = ("token", "API-Key", "tokens", " Authorization ", "password", "note")
@@ -230,6 +239,12 @@ WORKLOADS = {
     "redact_body": (redact_body, """WITH k AS (SELECT event_id, props, ['Auth-Token','note','db_PASSWORD','page','x_api_key','kind'][event_id % 6 + 1] AS key FROM events)
         SELECT event_id, '{"' || key || '": ' || CASE WHEN event_id % 2 = 0 THEN '"[redacted]"' ELSE '"v' || event_id || '"' END || ', "inner": [{"' || key || '": '
         || CASE WHEN event_id % 2 = 0 THEN '"[redacted]"' ELSE '1' END || ', "ok": true}], "props": ' || props || '}' AS body FROM k"""),
+    "error_messages": (error_messages, f"""WITH k AS (SELECT event_id, props, event_type, ['Auth-Token','note','db_PASSWORD','page','x_api_key','kind'][event_id % 6 + 1] AS key,
+          'api_key=k' || event_id || ' because ' || repeat(event_type || ' ', event_id % 200) AS long FROM events),
+        b AS (SELECT event_id, CASE event_id % 11 WHEN 0 THEN long WHEN 1 THEN '{{}}' ELSE '{{"' || key || '": ' || CASE WHEN event_id % 2 = 0 THEN '"[redacted]"' ELSE '"v' || event_id || '"' END
+          || ', "inner": [{{"' || key || '": ' || CASE WHEN event_id % 2 = 0 THEN '"[redacted]"' ELSE '1' END || ', "ok": true}}], "props": ' || props || ', "text": "' || long || '"}}' END AS body FROM k),
+        r AS (SELECT event_id, {_redacted('body')} AS body FROM b)
+        SELECT event_id, CASE WHEN body NOT IN ('', '{{}}', '[]', 'null') THEN left(body, 600) END AS message FROM r"""),
     "secret_key_scan": (secret_key_scan, """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'token' WHEN 1 THEN 'API-Key' WHEN 3 THEN ' Authorization '
         WHEN 4 THEN 'password' END AS secret_key FROM events"""),
     "status_texts": (status_texts, """WITH r AS (SELECT *, doc_id % 3 = 0 AS success, CASE WHEN doc_id % 3 = 1 THEN text END AS error,

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from spanloom.operators import interactions as I
 from spanloom.plans import corpus_build as B
 from spanloom.plans import review as V
+from spanloom.plans.review import merge_version
 from spanloom.schemas import FEEDBACK
 from spanloom.sources import corpus as C
 from spanloom.sources import sessions as S
+from spanloom.sources.corpus import undecodable
+from spanloom.sources.versions import StaleBase, VersionedTable
 from spanloom.streaming.ingest import run_available
 
 CASE = """#include "x.h"
@@ -247,3 +250,52 @@ def test_commands(spark, tmp_path, capsys):
     log = sessions(tmp_path / "log")
     assert main(["review", "--root", log, "--timestamp-suffix", "bad"]) == 1
     assert main(["check", "--root", log, "--output", str(tmp_path / "check")]) == 0
+
+
+def test_versions_are_whole_and_ordered(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    assert table.current() is None
+    with pytest.raises(ValueError, match="no version yet"):
+        table.read()
+    rows = spark.createDataFrame([("i1", None, None, None, None), ("i2", "helpful", None, None, None)], "interaction_id string, rating string, feedback_category string, feedback_comment string, suggested_correction string")
+    assert table.write(rows, None) == 0
+    kind = "interaction_id string, sequence long, action string, category string, comment string, correction string"
+    first = spark.createDataFrame([("i1", 1, "review", "unclear", " why ", None)], kind)
+    other = spark.createDataFrame([("i1", 2, "helpful", None, None, None)], kind)
+    assert merge_version(table, first, 0) == 1
+    with pytest.raises(StaleBase):
+        merge_version(table, other, 0)
+    assert table.current() == 1 and table.read(0).filter("interaction_id = 'i1'").first()["rating"] is None
+    assert table.read().filter("interaction_id = 'i1'").first()["feedback_comment"] == "why"
+    assert merge_version(table, other, 1) == 2
+    row = table.read().filter("interaction_id = 'i1'").first()
+    assert (row["rating"], row["feedback_category"]) == ("helpful", "unclear")
+    with pytest.raises(ValueError, match="No single interaction"):
+        merge_version(table, spark.createDataFrame([("zzz", 3, "helpful", None, None, None)], kind), 2)
+    # A writer that came last finds the manifest there, though it read the same base before.
+    late = VersionedTable(spark, str(tmp_path / "t"))
+    seen = iter([2, 3])
+    object.__setattr__(late, "_require", lambda base: None if next(seen) == base else (_ for _ in ()).throw(StaleBase("moved")))
+    table.write(rows, 2)
+    with pytest.raises(StaleBase):
+        late.write(rows, 2)
+    assert table.current() == 3
+
+
+def test_problems_reach_the_summary(spark, tmp_path):
+    cases = spark.createDataFrame([
+        ("a.cpp", 5, "f() {\n//----------\n// T\n//----------\n//----------\nx();\n//----------\n//----------\n}\n"), ("b.cpp", 1, "g() {}\n"),
+    ], "source_path string, start_line long, content string")
+    raw = spark.createDataFrame([("c.cpp", bytearray(b"\xff")), ("d.cpp", bytearray(b"fine"))], "path string, content binary")
+    problems = B.section_problems(cases, "R").unionByName(undecodable(raw, "R"))
+    chunks = spark.createDataFrame([("core", "R", "function_definition", 0, 10)], "source_role string, repository string, chunk_type string, byte_start long, byte_end long")
+    B.write_report(spark, chunks, problems, str(tmp_path / "out"))
+    got = {(r["source_path"], r["kind"], r["line"]) for r in B.read_problems(spark, str(tmp_path / "out")).collect()}
+    assert got == {("a.cpp", "section_warning", 9), ("a.cpp", "section_warning", 12), ("c.cpp", "skipped_file", None)}
+    row = B.read_summary(spark, str(tmp_path / "out")).first()
+    assert [tuple(p) for p in row["problems"]] == [("R", "section_warning", 1, 2), ("R", "skipped_file", 1, 1)]
+    assert row["total_chunk_count"] == 1 and row["counts_by_repository"] == {"R": 1}
+    none = problems.filter("false")
+    B.write_report(spark, chunks, none, str(tmp_path / "clean"))
+    assert B.read_problems(spark, str(tmp_path / "clean")).count() == 0
+    assert B.read_summary(spark, str(tmp_path / "clean")).first()["problems"] == []
