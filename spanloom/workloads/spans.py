@@ -8,6 +8,8 @@ from spanloom.functions.render import table_row, two_decimals
 from spanloom.operators import corpus as C
 from spanloom.operators import spans as S
 from spanloom.operators.corpus import distribution, threshold_counts
+from spanloom.session import new_table_path
+from spanloom.sources import fileoutputs as O
 from spanloom.sources.tables import table
 
 _TYPES = {
@@ -154,6 +156,16 @@ def file_summaries(spark, sf_dir):
         F.round("average_bytes", 6).alias("average_bytes"))
 
 
+def file_round_trip(spark, sf_dir, named=None):
+    """Payload and summary of every file, or of the named ones, written, read back and matched."""
+    root = new_table_path(spark, "files")
+    spans = span_table(spark, sf_dir).withColumn("file", F.concat(F.lit("src/file "), "file", F.lit(".cpp")))
+    O.write_file_outputs(spans, root)
+    summaries = O.read_summaries(spark, root, named)
+    return O.matched(O.read_payloads(spark, root, spans.schema, named), summaries).join(
+        summaries.select("file", "minimum_bytes", "maximum_bytes"), "file", "left")
+
+
 def most_common_types(spark, sf_dir):
     return C.most_common(span_table(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
 
@@ -258,6 +270,8 @@ WORKLOADS = {
           AND c.byte_end <= m.byte_end AND m.byte_end - m.byte_start > c.byte_end - c.byte_start""".replace("\\", "\\")),
     "file_summaries": (file_summaries, f"""WITH {_SPANS_SQL} SELECT file, count(*) AS total_chunks, string_agg(DISTINCT node_type, ',' ORDER BY node_type) AS node_types,
         min(byte_end - byte_start) AS minimum_bytes, max(byte_end - byte_start) AS maximum_bytes, round(avg(byte_end - byte_start), 6) AS average_bytes FROM spans GROUP BY file"""),
+    "file_round_trip": (file_round_trip, f"""WITH {_SPANS_SQL} SELECT 'src/file ' || file || '.cpp' AS file, count(*) AS chunks, count(*) AS total_chunks, 'matched' AS status,
+        min(byte_end - byte_start) AS minimum_bytes, max(byte_end - byte_start) AS maximum_bytes FROM spans GROUP BY file"""),
     "most_common_types": (most_common_types, f"""WITH {_SPANS_SQL}, g AS (SELECT file, node_type, count(*) AS chunks FROM spans GROUP BY ALL)
         SELECT *, row_number() OVER (PARTITION BY file ORDER BY chunks DESC, node_type) AS place FROM g"""),
     "file_checks": (file_checks, f"""WITH {_SPANS_SQL}, nodes AS (SELECT file, byte_start, byte_end, CASE WHEN node_type = 'method_declaration' THEN 'function_definition' ELSE node_type END AS node_type

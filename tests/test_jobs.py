@@ -11,6 +11,7 @@ from spanloom.plans import review as V
 from spanloom.plans.review import merge_version
 from spanloom.schemas import FEEDBACK
 from spanloom.sources import corpus as C
+from spanloom.sources import fileoutputs as O
 from spanloom.sources import sessions as S
 from spanloom.sources.corpus import undecodable
 from spanloom.sources.versions import StaleBase, VersionedTable
@@ -299,3 +300,19 @@ def test_problems_reach_the_summary(spark, tmp_path):
     B.write_report(spark, chunks, none, str(tmp_path / "clean"))
     assert B.read_problems(spark, str(tmp_path / "clean")).count() == 0
     assert B.read_summary(spark, str(tmp_path / "clean")).first()["problems"] == []
+
+
+def test_file_outputs_are_matched(spark, tmp_path):
+    kind = "file string, chunk_index long, node_type string, byte_start long, byte_end long"
+    rows = [("src/a b.cpp", i, "x", i, i + 2) for i in range(5)] + [("1", 0, "y", 0, 9), ("only.cpp", 0, "z", 0, 1), ("more.cpp", 0, "z", 0, 1)]
+    chunks, root = spark.createDataFrame(rows, kind), str(tmp_path / "files")
+    O.write_file_outputs(chunks, root)
+    back = O.read_payloads(spark, root, chunks.schema)
+    assert sorted(map(tuple, back.select(*chunks.columns).collect())) == sorted(rows)
+    summaries = O.read_summaries(spark, root)
+    assert {r["status"] for r in O.matched(back, summaries).collect()} == {O.MATCHED}
+    some = summaries.filter("file <> 'only.cpp'").withColumn("total_chunks", F.when(F.col("file") == "1", 3).otherwise(F.col("total_chunks")))
+    got = {r["file"]: r["status"] for r in O.matched(back.filter("file <> 'more.cpp'"), some).collect()}
+    assert got == {"src/a b.cpp": O.MATCHED, "1": O.DIFFERENT, "only.cpp": O.NO_SUMMARY, "more.cpp": O.NO_PAYLOAD}
+    named = O.read_payloads(spark, root, chunks.schema, ["src/a b.cpp", "absent"])
+    assert named.count() == 5 and "PartitionFilters: [file" in named._jdf.queryExecution().executedPlan().toString()
