@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import render as R
@@ -30,17 +30,30 @@ def review_blocks(selected: DataFrame) -> DataFrame:
     return numbered(selected, I.review_order(), "place").select("place", R.review_block(F.col("place")).alias("block"))
 
 
-def review_header(selected: DataFrame, files: int, scanned: int, stamp: str, only_unreviewed: bool) -> str:
-    """Counts at the head of a review batch: one line per category and tester."""
-    lines: dict[str, list[str]] = {"feedback_category": [], "tester": []}
-    for row in I.category_counts(selected).sort("dimension", "value").toLocalIterator():
-        lines[row["dimension"]].append(f"- `{row['value']}`: {row['interactions']}")
-    return "\n".join([
+def review_header(selected: DataFrame, files: int, scanned: int, stamp: str, only_unreviewed: bool) -> DataFrame:
+    """(place, block): the head of a review batch. Counts are a row per category and tester, in the order of their names."""
+    spark = selected.sparkSession
+    total = selected.count()
+    head = "\n".join([
         "# User-Testing Review Batch", "", f"- **Generated (UTC):** {stamp}", f"- **Session files scanned:** {files}",
-        f"- **Interactions scanned:** {scanned}", f"- **Selected for review:** {selected.count()}",
+        f"- **Interactions scanned:** {scanned}", f"- **Selected for review:** {total}",
         f"- **Only unreviewed:** {'yes' if only_unreviewed else 'no'}", "", "## Counts by feedback category", "",
-        *(lines["feedback_category"] or ["- None"]), "", "## Counts by tester", "", *(lines["tester"] or ["- None"]),
     ])
+    fixed = [(0, head), (2, "\n## Counts by tester\n")] + ([] if total else [(1, "- None"), (3, "- None")])
+    titles = spark.createDataFrame(fixed, "part int, block string").select(_place(F.col("part")), "block")
+    counts = I.category_counts(selected).select(
+        _place(F.when(F.col("dimension") == "tester", 3).otherwise(1), text=F.col("value")),
+        F.concat(F.lit("- `"), F.coalesce("value", F.lit("None")), F.lit("`: "), F.col("interactions").cast("string")).alias("block"),
+    )
+    return titles.unionByName(counts)
+
+
+def _place(part: Column, number: Column | None = None, text: Column | None = None) -> Column:
+    """Where a block of a batch stands: head, categories, title, testers, then the interactions by number."""
+    return F.struct(
+        part.cast("int").alias("part"), (F.lit(0) if number is None else number).cast("long").alias("number"),
+        (F.lit("") if text is None else text).alias("text"),
+    ).alias("place")
 
 
 def write_blocks(blocks: DataFrame, path: str, by: list[str] | None = None) -> None:
@@ -69,8 +82,8 @@ def aggregate(spark: SparkSession, root: str, suffix: str, only_unreviewed: bool
     files = S.session_file_count(spark, root)
     stamp = f"{suffix[:4]}-{suffix[4:6]}-{suffix[6:8]}T{suffix[9:11]}:{suffix[11:13]}:{suffix[13:15]}Z"
     head = review_header(selected, files, records.count(), stamp, only_unreviewed)
-    top = spark.createDataFrame([(0, head)], "place long, block string")
-    write_blocks(top.unionByName(review_blocks(selected)), f"{base}_md")
+    body = review_blocks(selected).select(_place(F.lit(4), F.col("place")), "block")
+    write_blocks(head.unionByName(body), f"{base}_md")
     return f"{base}_jsonl", f"{base}_md"
 
 

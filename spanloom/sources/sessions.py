@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from spanloom.session import written
 
 # Whole session files, and the part files of appended ones.
 FILES = "{session_*.jsonl,part-*}"
-APPENDED = r"^tester=([^/]*)/session=([^/]*)/part-[^/]*$"
+APPENDED = r"^tester=([^/]*)/session=([^/]*)/(?:append=(\d+)/)?part-[^/]*$"
 COMMIT_SUFFIX = "_commit"
 # Places of a log that are looked at together.
 PLACES = 10_000
@@ -35,6 +36,13 @@ def _relative(root: str, file: Column | None = None) -> Column:
     return F.when(appended, decoded).otherwise(inside)
 
 
+def _append_number(root: str) -> Column:
+    """Which append wrote a part file; 0 for other files."""
+    name = root.rstrip("/").rsplit("/", 1)[-1]
+    inside = F.element_at(F.split(F.col("_metadata.file_path"), f"/{re.escape(name)}/"), -1)
+    return F.coalesce(F.nullif(F.regexp_extract(inside, APPENDED, 3), F.lit("")).cast("long"), F.lit(0))
+
+
 def _scan(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", FILES).option("lineSep", "\n").text(root)
 
@@ -65,18 +73,18 @@ def session_lines(spark: SparkSession, root: str) -> DataFrame:
     """(path, line_number, value) of every session file, review batches left out.
 
     A line's number is its place in its split plus the lines of the splits
-    before it: those of the same file, and of earlier files of an appended
-    session. The lines are written once, as their numbers rely on one scan.
+    before it: those of the same file, and of the files that earlier appends
+    left in its session. The lines are written once, as their numbers rely on one scan.
     """
     rows = written(
         _scan(spark, root).select(
-            _relative(root).alias("path"), F.col("_metadata.file_modification_time").alias("time"),
+            _relative(root).alias("path"), _append_number(root).alias("append"), F.col("_metadata.file_modification_time").alias("time"),
             F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("place"), "value",
         ).filter(_is_session()), "session-lines"
     )
-    split = ["path", "time", "file", "block"]
-    earlier = Window.partitionBy("path").orderBy("time", "file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    split = ["path", "append", "time", "file", "block"]
+    earlier = Window.partitionBy("path").orderBy("append", "time", "file", "block").rowsBetween(Window.unboundedPreceding, -1)
     splits = rows.groupBy(*split).agg(F.min("place").alias("first"), F.count("*").alias("lines")).select(
         *split, "first", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before")
     )
@@ -147,14 +155,17 @@ def append_interactions(records: DataFrame, root: str) -> None:
 
     Folders carry tester and session, and each record keeps both. A session's
     lines go into one part file per append, in the order of their sequence if
-    they have one, else of their ids.
+    they have one, else of their ids. The append's number, in nanoseconds of the
+    driver's clock, is a folder below: stores keep times of files in seconds.
     """
     order = "sequence" if "sequence" in records.columns else "interaction_id"
-    placed = records.withColumns({"tester": F.col("tester_id"), "session": F.col("session_id")})
+    placed = records.withColumns({
+        "tester": F.col("tester_id"), "session": F.col("session_id"), "append": F.lit(time.time_ns()).cast("long"),
+    })
     (
         placed.repartition("tester", "session").sortWithinPartitions("tester", "session", order)
         .drop("sequence", "source_session_file")
-        .write.mode("append").partitionBy("tester", "session").option("ignoreNullFields", "false").json(root)
+        .write.mode("append").partitionBy("tester", "session", "append").option("ignoreNullFields", "false").json(root)
     )
 
 

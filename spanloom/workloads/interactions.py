@@ -8,7 +8,7 @@ from spanloom.config import FEEDBACK_CATEGORIES
 from spanloom.functions import render as R
 from spanloom.functions import text as T
 from spanloom.operators import interactions as I
-from spanloom.plans.review import merge_version, review_blocks, session_blocks
+from spanloom.plans.review import merge_version, review_blocks, review_header, session_blocks
 from spanloom.schemas import SOURCE
 from spanloom.session import new_table_path
 from spanloom.sources.sessions import (
@@ -119,6 +119,13 @@ def category_counts(spark, sf_dir):
     return I.category_counts(I.select_for_review(rated(spark, sf_dir)))
 
 
+def review_batch_head(spark, sf_dir):
+    """The counts at the head of a review batch, block by block in their order."""
+    head = review_header(I.select_for_review(rated(spark, sf_dir)), 0, 0, "2026-01-01T00:00:00Z", False)
+    return head.filter("place.part > 0").select(
+        F.col("place.part").cast("long").alias("part"), F.col("place.text").alias("text"), "block")
+
+
 def review_categories(spark, sf_dir):
     return I.review_category_table(rated(spark, sf_dir))
 
@@ -407,6 +414,9 @@ WORKLOADS = {
         count(*) FILTER (rating IS NULL) AS unrated FROM rated GROUP BY ALL"""),
     "category_counts": (category_counts, f"""WITH {_ANSWERS} SELECT 'feedback_category' AS dimension, coalesce(category, '(none)') AS value, count(*) AS interactions FROM selected GROUP BY 2
         UNION ALL SELECT 'tester', tester_id, count(*) FROM selected GROUP BY 2"""),
+    "review_batch_head": (review_batch_head, f"""WITH {_ANSWERS} SELECT 1 AS part, coalesce(category, '(none)') AS text, '- `' || coalesce(category, '(none)') || '`: ' || count(*) AS block FROM selected GROUP BY 2
+        UNION ALL SELECT 2, '', chr(10) || '## Counts by tester' || chr(10)
+        UNION ALL SELECT 3, tester_id, '- `' || tester_id || '`: ' || count(*) FROM selected GROUP BY 2"""),
     "review_categories": (review_categories, f"WITH {_ANSWERS} SELECT tester_id, session_id, category, interactions, heading, place FROM cats JOIN labels_ USING (category)"),
     "needs_review_select": (needs_review_select, f"WITH {_ANSWERS} SELECT interaction_id, sort_time, rating, review AS review_status FROM selected WHERE review = 'unreviewed'"),
     "review_projection": (review_projection, f"""WITH {_ANSWERS} SELECT interaction_id, session_id, ts AS timestamp, rating, category AS feedback_category, comment AS feedback_comment,

@@ -1,6 +1,7 @@
 """Whole jobs on small folders: corpus builds, review batches, reports, streams, commands."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,6 +223,9 @@ def test_append_and_resume(spark, tmp_path):
     S.append_interactions(made, str(tmp_path / "log"))
     S.append_interactions(made.withColumn("interaction_id", F.lit("other")), str(tmp_path / "log"))
     tree(tmp_path / "log", {"amy é#+ x/session_1.jsonl": record("amy é#+ x", "session_1", 1, alpha_commit="c1", repository_commits=None)})
+    # All files get one time, as in a store that keeps seconds: the appends keep their order.
+    for part in (tmp_path / "log").glob("tester=*/session=*/append=*/part-*"):
+        os.utime(part, (1_700_000_000, 1_700_000_000))
     lines = S.session_lines(spark, str(tmp_path / "log"))
     back = S.interactions(lines).collect()
     assert {(r["interaction_id"], r["source_session_file"], r["sequence"]) for r in back} == {
