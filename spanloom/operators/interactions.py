@@ -17,6 +17,25 @@ from spanloom.operators.evidence import evidence_metadata
 from spanloom.operators.scale import running
 from spanloom.schemas import INTERACTION
 
+# --------------------------------------------------------------------------
+# What users read about records that are refused.
+# --------------------------------------------------------------------------
+NOT_JSON = "invalid JSON"
+NOT_OBJECT = "JSONL value must be an object"
+MISSING = "missing required field(s): "
+EMPTY = "{} must be a non-empty string"
+SECRET = "prohibited secret field: "
+BAD_RATING = "unsupported rating value"
+MIXED_TESTERS = "inconsistent tester_id"
+MIXED_SESSIONS = "inconsistent session_id"
+OTHER_TESTER = "tester_id does not match tester directory"
+DEVELOPMENT_TESTER = "development-only tester"
+BAD_TESTER = "tester directory name is not valid"
+OTHER_SESSION = "session_id does not match the session filename"
+BAD_ACTION = "unknown action"
+BAD_CATEGORY = "Select a valid feedback category before saving."
+NO_CORRECTION = "Enter a correction before saving."
+
 UNCATEGORIZED = "__uncategorized__"
 
 
@@ -88,11 +107,11 @@ def review_violations(lines: DataFrame) -> DataFrame:
     """Lines that an aggregation may not read: (path, line_number, problem)."""
     missing = J.missing_fields(F.col("value"), REVIEW_REQUIRED_FIELDS)
     problem = (
-        F.when(~F.col("is_json"), "invalid JSON")
-        .when(~F.col("is_object"), "JSONL value must be an object")
-        .when(F.size(missing) > 0, F.concat(F.lit("missing required field(s): "), F.array_join(missing, ", ")))
-        .when(_bad_text("interaction_id", True), "interaction_id must be a non-empty string")
-        .when(_bad_text("tester_id", True), "tester_id must be a non-empty string")
+        F.when(~F.col("is_json"), NOT_JSON)
+        .when(~F.col("is_object"), NOT_OBJECT)
+        .when(F.size(missing) > 0, F.concat(F.lit(MISSING), F.array_join(missing, ", ")))
+        .when(_bad_text("interaction_id", True), EMPTY.format("interaction_id"))
+        .when(_bad_text("tester_id", True), EMPTY.format("tester_id"))
     )
     return parsed(lines).select("path", "line_number", problem.alias("problem")).filter("problem IS NOT NULL")
 
@@ -113,17 +132,17 @@ def session_violations(lines: DataFrame, submission: bool = False) -> DataFrame:
     rating_type = F.coalesce(J.field_type(value, "rating"), F.lit("VOID"))
     bad_rating = (rating_type != "VOID") & ~((rating_type == "STRING") & F.col("rating").isin(*RATINGS))
     problem = (
-        F.when(~F.col("is_json"), "invalid JSON")
-        .when(~F.col("is_object"), "JSONL value must be an object")
-        .when(F.size(missing) > 0, F.concat(F.lit("missing required field(s): "), F.array_join(missing, ", ")))
+        F.when(~F.col("is_json"), NOT_JSON)
+        .when(~F.col("is_object"), NOT_OBJECT)
+        .when(F.size(missing) > 0, F.concat(F.lit(MISSING), F.array_join(missing, ", ")))
     )
     for name in ("tester_id", "session_id", "interaction_id"):
-        problem = problem.when(_bad_text(name, False), f"{name} must be a non-empty string")
+        problem = problem.when(_bad_text(name, False), EMPTY.format(name))
     if submission:
         secret = J.first_secret_key(value)
-        problem = problem.when(secret.isNotNull(), F.concat(F.lit("prohibited secret field: "), secret))
+        problem = problem.when(secret.isNotNull(), F.concat(F.lit(SECRET), secret))
     else:
-        problem = problem.when(bad_rating, "unsupported rating value")
+        problem = problem.when(bad_rating, BAD_RATING)
     return parsed(lines).select("path", "line_number", problem.alias("problem")).filter("problem IS NOT NULL")
 
 
@@ -142,15 +161,15 @@ def session_consistency(lines: DataFrame, submission: bool = False) -> DataFrame
         F.min("session_id").alias("session_id"), F.max("session_id").alias("other_session"),
     )
     problem = (
-        F.when(F.col("tester_id") != F.col("other_tester"), "inconsistent tester_id")
-        .when(F.col("session_id") != F.col("other_session"), "inconsistent session_id")
-        .when(F.col("tester_id") != directory, "tester_id does not match tester directory")
+        F.when(F.col("tester_id") != F.col("other_tester"), MIXED_TESTERS)
+        .when(F.col("session_id") != F.col("other_session"), MIXED_SESSIONS)
+        .when(F.col("tester_id") != directory, OTHER_TESTER)
     )
     if submission:
         problem = (
-            problem.when(directory == DEFAULT_TESTER, "development-only tester")
-            .when(~directory.rlike("^[A-Za-z0-9][A-Za-z0-9_-]{0,63}$"), "tester directory name is not valid")
-            .when(F.col("session_id") != stem, "session_id does not match the session filename")
+            problem.when(directory == DEFAULT_TESTER, DEVELOPMENT_TESTER)
+            .when(~directory.rlike("^[A-Za-z0-9][A-Za-z0-9_-]{0,63}$"), BAD_TESTER)
+            .when(F.col("session_id") != stem, OTHER_SESSION)
         )
     return per_file.select("path", "tester_id", "session_id", "interactions", problem.alias("problem"))
 
@@ -260,10 +279,10 @@ def first_of_session(interactions: DataFrame, columns: list[str]) -> DataFrame:
 def feedback_problem() -> Column:
     """Why a feedback row is refused, or null."""
     return (
-        F.when(~F.col("action").isin("helpful", "review", "correction"), "unknown action")
+        F.when(~F.col("action").isin("helpful", "review", "correction"), BAD_ACTION)
         .when((F.col("action") == "review") & ~F.coalesce(F.col("category").isin(*FEEDBACK_CATEGORIES), F.lit(False)),
-              "Select a valid feedback category before saving.")
-        .when((F.col("action") == "correction") & T.is_blank(F.col("correction")), "Enter a correction before saving.")
+              BAD_CATEGORY)
+        .when((F.col("action") == "correction") & T.is_blank(F.col("correction")), NO_CORRECTION)
     )
 
 

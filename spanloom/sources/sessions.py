@@ -15,6 +15,11 @@ from spanloom.operators.scale import numbered, running
 from spanloom.schemas import INTERACTION
 from spanloom.session import written
 
+# What users read about paths that are no sessions.
+OUTSIDE = "Session path must be inside the log root."
+NOT_DIRECT = "Session file must be directly inside a tester directory."
+BAD_NAME = "Session filename must match session_*.jsonl."
+
 # Whole session files, and the part files of appended ones.
 FILES = "{session_*.jsonl,part-*}"
 APPENDED = r"^tester=([^/]*)/session=([^/]*)/(?:append=(\d+)/)?part-[^/]*$"
@@ -99,10 +104,10 @@ def path_problem(path: Column) -> Column:
     name = F.element_at(parts, -1)
     return (
         F.when(path.startswith("/") | F.array_contains(parts, "..") | F.array_contains(parts, ""),
-               "Session path must be inside the log root.")
+               OUTSIDE)
         .when((F.size(parts) != 2) | parts[0].isin(REVIEW_DIRECTORY, EXPORT_DIRECTORY),
-              "Session file must be directly inside a tester directory.")
-        .when(~(name.startswith("session_") & name.endswith(".jsonl")), "Session filename must match session_*.jsonl.")
+              NOT_DIRECT)
+        .when(~(name.startswith("session_") & name.endswith(".jsonl")), BAD_NAME)
     )
 
 
