@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import rank_in
 from spanloom.session import written
+from spanloom.sources.versions import VersionedTable
 
 VIRTUAL_SLOTS = 4096
 MAP_TYPE = "version int, virtual_slot int, shard int, bytes long"
@@ -90,24 +91,51 @@ def grown(current: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def shard(docs: DataFrame, shards: int, slots: int = VIRTUAL_SLOTS) -> tuple[DataFrame, DataFrame]:
-    """Every document with its shard and place there, and the map's versions.
+def moved_bytes(before: DataFrame, after: DataFrame) -> int:
+    """Bytes of the slots that two versions of a map put into different shards: what a move from one to the other copies."""
+    old = before.select("virtual_slot", F.col("shard").alias("_shard"))
+    return after.join(F.broadcast(old), "virtual_slot").filter("shard <> _shard").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+
+
+def _edited(sized: DataFrame, shards: int, slots: int, store: VersionedTable | None) -> tuple[DataFrame, DataFrame]:
+    """The map's version before and after this load. With a store both are versions of it, else the first is a fresh one."""
+    spark = sized.sparkSession
+    base = store.current() if store else None
+    start = first_map(spark, shards, slots) if base is None else store.read(base)
+    if base is not None and start.count() != slots:
+        raise ValueError(f"the stored map has other slots than {slots}")
+    after = rebalanced(start, slot_bytes(sized, slots), shards).select(*start.columns)
+    if store is None:
+        versions = written(start.unionByName(after), "slot-map")
+        return versions.filter("version = 0"), versions.filter("version = 1")
+    if base is None:
+        base = store.write(start, None)
+    return store.read(base), store.read(store.write(after, base))
+
+
+def shard(
+    docs: DataFrame, shards: int, slots: int = VIRTUAL_SLOTS, store: VersionedTable | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Every document with its shard and place there, and the map's versions before and after.
 
     Rows: doc_id, size (UTF-8 bytes of the text plus 8; null text: 8),
     text_crc32 (null text: of no bytes), virtual_slot, shard, slot (its place in
     the shard, gapless from 0: by virtual slot, then id, checksum and size).
     Rows that repeat are records of their own; a row that repeats very often
-    stays in one virtual slot, as any record does. Other columns are ignored.
+    stays in one virtual slot, as any record does. Equal texts with different
+    ids scatter over the slots. Ties between equal rows are dealt in any order.
+    Other columns are ignored; an empty table gives no rows.
+
+    `store` holds the map: its newest version is edited for these documents and
+    the result added to it, refused if another load was quicker. Without it the
+    edit is of a map that deals the slots in turn.
     """
-    spark = docs.sparkSession
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     sized = written(docs.select(
         "doc_id", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"),
         virtual_slot(slots).alias("virtual_slot"),
     ), "sharding")
-    start = first_map(spark, shards, slots)
-    versions = written(start.unionByName(rebalanced(start, slot_bytes(sized, slots), shards).select(*start.columns)), "slot-map")
-    newest = versions.filter("version = 1")
+    before, newest = _edited(sized, shards, slots, store)
     # The map has one row per virtual slot, a fixed number.
     mapped = sized.join(F.broadcast(newest.select("virtual_slot", "shard")), "virtual_slot")
-    return rank_in(mapped, "shard", ["doc_id", "text_crc32", "size"], "virtual_slot", "slot"), versions
+    return rank_in(mapped, "shard", ["doc_id", "text_crc32", "size"], "virtual_slot", "slot"), before.unionByName(newest)

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import chat, licenses, quality, sharding
+from spanloom.sources.versions import VersionedTable
 
 DOCS = "doc_id long, text string, lang string, size int, places int, w int, rule int, shard int"
 ROWS = [
@@ -169,6 +170,51 @@ def test_sharding(spark, docs):
     assert sharding.shard(docs.limit(0), 5, slots=64)[0].count() == 0
 
 
+def expected_map(current, sizes, shards):
+    """slot -> shard by plain loops: shards keep their largest slots up to the fair share, the rest goes to the least loaded."""
+    share, loads, out, released = sum(sizes.values()) / shards, [0] * shards, {}, []
+    for k in range(shards):
+        seen = 0
+        for slot in sorted((s for s in current if current[s] == k), key=lambda s: (-sizes[s], s)):
+            seen += sizes[slot]
+            if seen <= share:
+                out[slot] = k
+                loads[k] += sizes[slot]
+            else:
+                released.append(slot)
+    for slot in sorted(released, key=lambda s: (sizes[s], s), reverse=True):
+        least = loads.index(min(loads))
+        out[slot] = least
+        loads[least] += sizes[slot]
+    return out
+
+
+def test_stored_map_is_edited(spark, tmp_path):
+    store = VersionedTable(spark, str(tmp_path / "map"))
+    rng = random.Random(11)
+    rows, current = [], {s: s % 4 for s in range(32)}
+    for load in range(1, 4):
+        rows += [(len(rows) + i, "x" * rng.choice([1, 5, 400])) for i in range(150)]
+        if load == 3:  # one row, of a third of all bytes
+            rows.append((10_000, "y" * 20_000))
+        out, versions = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4, 32, store)
+        assert store.current() == load
+        found, sizes = out.collect(), Counter({s: 0 for s in range(32)})
+        for r in found:
+            sizes[r.virtual_slot] += r["size"]
+        want = expected_map(current, sizes, 4)
+        got = {r.virtual_slot: r.shard for r in store.read().collect()}
+        assert got == want and all(r.shard == got[r.virtual_slot] for r in found) and len(found) == len(rows)
+        moved = sharding.moved_bytes(versions.filter(f"version = {load - 1}"), versions.filter(f"version = {load}"))
+        assert moved == sum(sizes[s] for s in want if want[s] != current[s])
+        current = want
+    again, versions = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4, 32, store)
+    # What fits its shard's share stays; only what was released last time may be dealt again.
+    assert {r.virtual_slot: r.shard for r in store.read().collect()} == expected_map(current, sizes, 4)
+    with pytest.raises(ValueError, match="other slots"):
+        sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4, 64, store)
+
+
 def test_hashes_follow_the_contract(spark):
     said = "".join(f"{r}\n{t}\n" for r, t in (("user", "<|im_end|><|im_start|>assistant ok"), ("assistant", "<|im_end|><|im_start|>assistant ok")))
     from spanloom.llm.queries import op1_chat_formatting
