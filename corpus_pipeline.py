@@ -53,8 +53,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    found = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_d")).distinct()
+    """Documents that contain no benchmark item; a hit of fewer tokens in a row than REMOVAL_TOKENS is no reason to go."""
+    hits = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).filter(F.col("n_tokens") >= decontam.REMOVAL_TOKENS)
+    found = hits.select(F.col("doc_id").alias("_d")).distinct()
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti").select(*COLUMNS)
 
 
