@@ -124,8 +124,9 @@ def test_leaks_equal_brute_force(spark):
     items = [pieces(rng, rng.choice([5, 12, 20, 45]), ["ab", "cd", "ef", "gh", "ij", "kl"]) for _ in range(25)]
     boilerplate = pieces(rng, 11, ["which", "of", "these", "is", "right"])
     items += [boilerplate + pieces(rng, rng.choice([12, 30]), ["mn", "op", "qr", "st"]) for _ in range(25)]
+    items += [pieces(rng, 4, ["short", "question", "here"]) for _ in range(6)]
     items += [[(str(k), decontam.NUMBER, str(k)) for k in range(i, i + 12)] for i in (3, 5)] + [items[0], items[-1]]
-    docs = [boilerplate] + [pieces(rng, rng.choice([3, 60]), ["ab", "cd", "ef", "gh"]) for _ in range(20)]
+    docs = [boilerplate] + [pieces(rng, 6, ["uv"])[:1] + x + [("yz", "yz", None)] for x in items if len(x) < 8] + [pieces(rng, rng.choice([3, 60]), ["ab", "cd", "ef", "gh"]) for _ in range(20)]
     for _ in range(300):
         chosen = rng.choice(items)
         first = rng.randrange(max(1, len(chosen) // 2))
@@ -140,7 +141,8 @@ def test_leaks_equal_brute_force(spark):
     wanted = {pair: row for pair, row in wanted.items() if row}
     assert {k: (r.n_windows, r.n_matched, r.coverage, r.n_tokens, r.reparameterised) for k, r in out.items()} == wanted
     rows = list(wanted.values())
-    assert len(rows) > 150 and any(r[4] for r in rows) and any(r[2] < 0.3 for r in rows) and any(r[3] < 8 for r in rows)
+    assert len(rows) > 100
+    assert any(r[4] for r in rows) and any(r[2] < 0.3 for r in rows) and any(r[3] < 8 for r in rows)
 
 
 def test_boilerplate_makes_no_pairs_by_itself(spark):
