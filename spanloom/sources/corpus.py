@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ PACKAGE_SCOPE = (
 )
 
 
+# Columns of the chunk schema whose text is JSON.
+NESTED = ("parent_context", "structural_metadata")
 # Kinds of problems: files that are left out, files taken with a parser's doubts, and separator blocks that open no section.
 SKIPPED, DOUBTED, SECTION = "skipped_file", "parse_warning", "section_warning"
 
@@ -50,8 +53,30 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_corpus(chunks: DataFrame, path: str) -> None:
-    """JSON lines with null fields kept, keys in sorted order."""
-    chunks.select(*sorted(chunks.columns)).write.option("ignoreNullFields", "false").json(path)
+    """JSON lines with null fields kept, keys in sorted order.
+
+    Objects and arrays that a column holds as text leave as such, not as an
+    escaped string; `read_corpus` gives the same text again, line ends inside
+    it as spaces and without spaces around it. What is neither leaves as a string.
+    """
+    parts = []
+    for nested, names in groupby(sorted(chunks.columns), key=NESTED.__contains__):
+        if nested:
+            parts += [F.concat(F.lit(f'"{c}":'), _json_value(F.col(c))) for c in names]
+        else:
+            fields = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+            parts.append(F.substr(fields, F.lit(2), F.length(fields) - 2))
+    chunks.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("value")).write.text(path)
+
+
+def _json_value(text: Column) -> Column:
+    """A text as it stands inside a JSON line: itself where it is an object or array, else a string."""
+    inside = text.rlike(r"^\s*[{\[]") & F.try_parse_json(text).isNotNull()
+    # A string alone can't be written as JSON; one in an array can.
+    quoted = F.to_json(F.array(text))
+    return F.when(text.isNull(), F.lit("null")).when(inside, F.regexp_replace(text, r"[\r\n]", " ")).otherwise(
+        F.substr(quoted, F.lit(2), F.length(quoted) - 2)
+    )
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:

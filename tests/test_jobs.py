@@ -90,6 +90,21 @@ def test_package_and_combined_corpus(spark, tmp_path):
     assert json.loads((tmp_path / "s.json").read_text())["total_chunk_count"] == 8
 
 
+def test_nested_values_leave_as_objects_and_come_back_as_their_text(spark, tmp_path):
+    texts = ['{"b": 1.50, "a": ["x", null]}', None, "no json", "[]", '"t"', "{broken", '{"a":\n 1}', "12", "", ' {"ü\\"": "\\n"}']
+    rows = [(str(i), t, t, 7, "a\nb\"") for i, t in enumerate(texts)]
+    chunks = C.conform_chunks(spark.createDataFrame(
+        rows, "chunk_id string, parent_context string, structural_metadata string, start_line long, content string"))
+    C.write_corpus(chunks, str(tmp_path / "out"))
+    lines = [json.loads(r.value) for r in C.json_lines(spark, str(tmp_path / "out")).collect()]
+    assert all(list(x) == sorted(chunks.columns) and x["symbol"] is None and x["content"] == "a\nb\"" for x in lines)
+    written = {x["chunk_id"]: x["parent_context"] for x in lines}
+    assert written["0"] == {"b": 1.5, "a": ["x", None]} and written["3"] == [] and written["6"] == {"a": 1}
+    assert [written[str(i)] for i in (1, 2, 4, 5, 7, 8)] == [texts[i] for i in (1, 2, 4, 5, 7, 8)]
+    back = {r.chunk_id: (r.parent_context, r.structural_metadata, r.start_line) for r in C.read_corpus(spark, str(tmp_path / "out")).collect()}
+    assert back == {str(i): (*[t and t.replace("\n", " ").lstrip()] * 2, 7) for i, t in enumerate(texts)}
+
+
 def test_raw_payloads(spark, tmp_path):
     body = {"file": "f.cpp", "language": "cpp", "chunks": [
         {"chunk_id": "1", "file_path": "f.cpp", "node_type": "function_definition", "content": "int a(){}", "start_line": 1,
