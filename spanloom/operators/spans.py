@@ -9,18 +9,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from spanloom.config import (
     CONTEXT_NODE_TYPES, EXAMPLE_CHILD_TYPES, PRIMARY_NODE_TYPES, RETAINED_NODE_TYPES,
 )
-from spanloom.operators.scale import join_small, running, top_rows
+from spanloom.operators.scale import BROADCAST_ROWS, at_most, join_small, running, top_rows
+from spanloom.session import written
 
 # Above every chunk index.
 INDEX_RANGE = "CAST('10000000000000000000' AS DECIMAL(20,0))"
 # Byte positions per bucket of the running aggregates.
 WIDTH = 1 << 18
+# Spans of a file, or of a range of it, that one task may hold.
+FILE_ROWS = 1 << 17
 
 
 def size() -> Column:
@@ -100,43 +107,142 @@ def overlap_metrics(spans: DataFrame, keys: Sequence[str] = ("file",), width: in
     )
 
 
-def containers(spans: DataFrame, keys: Sequence[str] = ("file",), width: int = WIDTH) -> DataFrame:
+def _dominated(end: np.ndarray, copies: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row how many earlier rows end at or after it, and the least place among them.
+
+    A row looks at the even block before its own at every power of two of row
+    numbers, as in `containers`; a block is a running sum and minimum over the
+    ends, from the far side.
+    """
+    n = len(end)
+    counts, least = np.zeros(n, np.int64), np.full(n, n, np.int64)
+    numbers = np.arange(n)
+    for level in range(max(n - 1, 0).bit_length()):
+        block = numbers >> level
+        entry = block % 2 == 0
+        # At the same end the entries come first, so that they count.
+        order = np.lexsort((~entry, -end, block >> 1))
+        pair, first = (block >> 1)[order], entry[order]
+        fresh = np.r_[True, pair[1:] != pair[:-1]]
+        part = np.cumsum(fresh) - 1
+        total = np.cumsum(np.where(first, copies[order], 0))
+        base = (total - np.where(first, copies[order], 0))[fresh]
+        # Later parts lie lower, so the running minimum starts anew with each.
+        lift = (part[-1] - part) * (n + 1)
+        small = np.minimum.accumulate(np.where(first, place[order], n) + lift) - lift
+        asked = ~first
+        counts[order[asked]] += (total - base[part])[asked]
+        least[order[asked]] = np.minimum(least[order[asked]], small[asked])
+    return counts, least
+
+
+def _nested_in(table: pa.Table, weighted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of one file that some row strictly contains: their numbers, counts and containers' row numbers.
+
+    Copies of a span are one distinct span; `weighted` rows are distinct already.
+    A container without an index counts, but is never the smallest (-1).
+    """
+    start, end = (table.column(c).to_numpy() for c in ("byte_start", "byte_end"))
+    index = table.column("chunk_index")
+    unknown = index.is_null().to_numpy()
+    index = index.fill_null(0).to_numpy()
+    by_span = np.lexsort((index, unknown, -end, start))
+    s, e = start[by_span], end[by_span]
+    fresh = np.r_[True, (s[1:] != s[:-1]) | (e[1:] != e[:-1])]
+    span = np.cumsum(fresh) - 1
+    copies = table.column("copies").to_numpy()[by_span] if weighted else np.ones(len(s), np.int64)
+    head = by_span[fresh]
+    per_span = np.bincount(span, weights=copies).astype(np.int64)
+    by_size = np.lexsort((index[head], end[head] - start[head], unknown[head]))
+    place = np.empty(len(head), np.int64)
+    place[by_size] = np.arange(len(head))
+    known = int(len(head) - unknown[head].sum())
+    place = np.where(place < known, place, len(head))
+    counts, least = _dominated(end[head], per_span, place)
+    nested = counts[span] > 0
+    parent = np.where(least < len(head), head[by_size[np.minimum(least, len(head) - 1)]], -1)
+    return by_span[nested], counts[span][nested], parent[span][nested]
+
+
+def _parents_of_file(table: pa.Table) -> pa.Table:
+    rows, counts, parents = _nested_in(table, weighted=False)
+    kept = parents >= 0
+    rows, counts, parents = rows[kept], counts[kept], parents[kept]
+    child, parent = table.take(pa.array(rows)), table.take(pa.array(parents))
+    child = child.append_column("containing_chunk_count", pa.array(counts, pa.int64()))
+    for name in ("chunk_index", "node_type", "byte_start", "byte_end"):
+        child = child.append_column(_PARENT_COLUMNS[name], parent.column(name))
+    return child
+
+
+def _containers_of_range(table: pa.Table) -> pa.Table:
+    rows, counts, parents = _nested_in(table, weighted=True)
+    parent = table.take(pa.array(np.where(parents < 0, None, parents), pa.int64()))
+    size_ = pc.subtract(parent.column("byte_end"), parent.column("byte_start"))
+    best = pc.if_else(pc.is_valid(parent.column("chunk_index")), size_, pa.scalar(None, pa.int64()))
+    return table.drop_columns(["copies", "chunk_index", "range"]).take(pa.array(rows)).append_column(
+        "containing", pa.array(counts, pa.int64())
+    ).append_column("smallest_size", best).append_column("smallest_index", parent.column("chunk_index"))
+
+
+_PARENT_COLUMNS = {"chunk_index": "parent_index", "node_type": "parent_node_type",
+                   "byte_start": "parent_byte_start", "byte_end": "parent_byte_end"}
+
+
+def containers(spans: DataFrame, keys: Sequence[str] = ("file",), width: int = WIDTH, rows: int = FILE_ROWS) -> DataFrame:
     """Per nested distinct span: how many spans contain it, and the smallest one.
 
-    The starts up to s split into at most one block per bit of s: aligned blocks
-    whose length is a power of two. Each span enters the block it lies in at
-    every level that a later start may ask for, each question goes to the blocks
-    that make up its prefix, and inside a block the containing spans are a
-    running aggregate over the ends, from the far side. That costs one row per
-    span and level, where pairs would cost the square of a file.
+    Ordered by start and, from the far side, by end, a span's containers come
+    before it. The distinct spans are cut into ranges of about `rows` in that
+    order. What contains a span within its range is found in one task. The
+    ranges before split into at most one block per bit of the range's number:
+    aligned blocks whose length is a power of two. Each span enters the block it
+    lies in at every level, each question goes to the blocks that make up its
+    prefix, and inside a block the containing spans are a running aggregate over
+    the ends, from the far side. That costs a row per span and level of ranges,
+    where pairs would cost the square of a file.
 
     The smallest container is the first by (size, chunk_index).
     """
     keys = list(keys)
-    distinct = distinct_spans(spans, keys)
-    extent = spans.agg(
-        F.coalesce(F.max("byte_start"), F.lit(0)).alias("start"), F.coalesce(F.max("byte_end"), F.lit(0)).alias("end")
-    ).first()
-    levels = max(1, int(extent["start"]).bit_length())
-    level = F.explode(F.sequence(F.lit(-1), F.lit(levels - 1)))
-    start = F.col("byte_start")
-    leveled = distinct.withColumn("level", level).withColumn(
-        "block", F.expr("CASE WHEN level < 0 THEN byte_start ELSE shiftright(byte_start, level) END")
-    )
+    place = [*keys, "byte_start", "byte_end"]
+    distinct = distinct_spans(spans.dropna(subset=place), keys).withColumn("_far", -F.col("byte_end"))
+    ranges = max(1, -(-distinct.count() // rows))
+    # Written: sampled bounds may differ from run to run.
+    ranged = written(
+        distinct.repartitionByRange(ranges, *keys, "byte_start", "_far").drop("_far")
+        .withColumn("range", F.spark_partition_id().cast("long")), "ranges"
+    ).withColumnRenamed("first_index", "chunk_index")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.select(*place).schema)
+    inside = ranged.groupBy(*keys, "range").applyInArrow(
+        _containers_of_range, f"{fields}, containing long, smallest_size long, smallest_index long"
+    ).withColumn("smallest", _best(F.col("smallest_size"), F.col("smallest_index"))).select(*place, "containing", "smallest")
+    found = inside if ranges == 1 else inside.unionByName(_containers_before(ranged, keys, width, ranges))
+    return found.groupBy(*place).agg(
+        F.sum("containing").alias("containing_chunk_count"),
+        (F.min("smallest") % F.expr(INDEX_RANGE)).cast("long").alias("parent_index"))
+
+
+def _best(size_: Column, index: Column) -> Column:
+    """Size, then index, as one number: a hash aggregate cannot hold a struct."""
+    return (size_.cast("decimal(19,0)") * F.expr(INDEX_RANGE) + index).cast("decimal(38,0)")
+
+
+def _containers_before(ranged: DataFrame, keys: list[str], width: int, ranges: int) -> DataFrame:
+    """Containers of each span in the ranges before its own, a row per block that holds some."""
+    extent = ranged.agg(F.coalesce(F.max("byte_end"), F.lit(0)).alias("end"), F.min("byte_end").alias("low")).first()
+    level = F.explode(F.sequence(F.lit(0), F.lit((ranges - 1).bit_length() - 1)))
+    # Only files that go over into another range have ranges before.
+    crossing = ranged.groupBy(*keys).agg(F.min("range").alias("_a"), F.max("range").alias("_b")).filter("_a < _b")
+    crossing = crossing.select(*keys)
+    leveled = join_small(ranged, crossing, keys, spread_by="byte_start").withColumn("level", level).withColumn(
+        "block", F.expr("shiftright(range, level)"))
     # Spans enter even blocks, questions ask the even block just before their own.
-    entries = leveled.filter("level < 0 OR block % 2 = 0").select(
+    entries = leveled.filter("block % 2 = 0").select(
         *keys, "level", "block", F.col("byte_end").alias("at"), "copies",
-        # Size, then index, as one number: a hash aggregate cannot hold a struct.
-        ((F.col("byte_end") - start).cast("decimal(19,0)") * F.expr(INDEX_RANGE)
-         + F.col("first_index")).cast("decimal(38,0)").alias("best"),
-    )
-    questions = leveled.filter("level < 0 OR block % 2 = 1").select(
-        *keys, "level", F.expr("CASE WHEN level < 0 THEN block ELSE block - 1 END").alias("block"),
-        # In the block of equal starts only spans that end later contain; an
-        # entry at the same place must not count itself.
-        F.expr("CASE WHEN level < 0 THEN byte_end + 1 ELSE byte_end END").alias("at"),
-        "byte_start", "byte_end", "copies", "first_index",
-    )
+        _best(F.col("byte_end") - F.col("byte_start"), F.col("chunk_index")).alias("best"))
+    questions = leveled.filter("block % 2 = 1").select(
+        *keys, "level", (F.col("block") - 1).alias("block"), F.col("byte_end").alias("at"), "byte_start", "byte_end")
     group = [*keys, "level", "block"]
     asked = questions.select(*group, "at", F.lit(0).cast("long").alias("copies"))
     # One row per place, ordered from the far end.
@@ -147,26 +253,45 @@ def containers(spans: DataFrame, keys: Sequence[str] = ("file",), width: int = W
     )
     answers = running(
         at_end, group, "from_end", width, sum_of={"containing": "n"}, min_of={"smallest": "best"}, inclusive=True,
-        fits=extent["end"] < width,
+        fits=extent["end"] - (extent["low"] or 0) < width,
     ).filter("containing > 0")
-    return (
-        questions.join(answers.select(*group, "at", "containing", "smallest"), [*group, "at"])
-        .groupBy(*keys, "byte_start", "byte_end")
-        .agg(F.sum("containing").alias("containing_chunk_count"),
-             (F.min("smallest") % F.expr(INDEX_RANGE)).cast("long").alias("parent_index"))
-    )
+    return questions.join(answers.select(*group, "at", "containing", "smallest"), [*group, "at"]).select(
+        *keys, "byte_start", "byte_end", "containing", "smallest")
 
 
-def direct_parents(spans: DataFrame, keys: Sequence[str] = ("file",), width: int = WIDTH) -> DataFrame:
-    """Each nested span with its container count and smallest container."""
+def direct_parents(
+    spans: DataFrame, keys: Sequence[str] = ("file",), width: int = WIDTH, rows: int = FILE_ROWS
+) -> DataFrame:
+    """Each nested span with its container count and smallest container.
+
+    Files of at most `rows` spans are shuffled once and answered whole, several
+    to a task; larger ones go by ranges of their distinct spans (`containers`).
+    """
     keys = list(keys)
-    found = containers(spans, keys, width)
-    child = spans.join(found, [*keys, "byte_start", "byte_end"])
-    parent = spans.select(
-        *keys, F.col("chunk_index").alias("parent_index"), F.col("node_type").alias("parent_node_type"),
-        F.col("byte_start").alias("parent_byte_start"), F.col("byte_end").alias("parent_byte_end"),
-    )
-    return child.join(parent, [*keys, "parent_index"])
+    needed = [*keys, "byte_start", "byte_end", "chunk_index", "node_type"]
+    usable = spans.dropna(subset=[*keys, "byte_start", "byte_end"])
+    large = written(usable.groupBy(*keys).count().filter(F.col("count") > rows).select(*keys), "files")
+    any_large = not large.isEmpty()
+    if any_large:
+        few = at_most(large, BROADCAST_ROWS)
+        listed = F.broadcast(large) if few else large
+        hot, usable = usable.join(listed, keys, "left_semi"), usable.join(listed, keys, "left_anti")
+    core = usable.select(*needed)
+    core = core.select(*[F.col(c).cast("long").alias(c) if c in ("byte_start", "byte_end", "chunk_index") else c for c in needed])
+    answer = StructType([
+        *core.schema.fields, StructField("containing_chunk_count", LongType()), StructField("parent_index", LongType()),
+        StructField("parent_node_type", StringType()), StructField("parent_byte_start", LongType()),
+        StructField("parent_byte_end", LongType()),
+    ])
+    small = core.groupBy(*keys).applyInArrow(_parents_of_file, answer)
+    others = [c for c in spans.columns if c not in needed]
+    if others:
+        small = small.join(usable.select(*keys, "chunk_index", *others), [*keys, "chunk_index"])
+    if not any_large:
+        return small
+    child = hot.join(containers(hot, keys, width, rows), [*keys, "byte_start", "byte_end"])
+    parent = hot.select(*keys, *[F.col(c).alias(name) for c, name in _PARENT_COLUMNS.items()])
+    return small.unionByName(child.join(parent, [*keys, "parent_index"]).select(*small.columns))
 
 
 def example_relations(relations: DataFrame, keys: Sequence[str] = ("file",)) -> DataFrame:

@@ -122,3 +122,25 @@ def test_types_in_ranges_of_a_hot_file(spark, monkeypatch):
         if kinds:
             want[f, a] = kinds
     assert got == want
+
+
+@pytest.mark.parametrize("rows", [7, 60, 1 << 17])
+def test_direct_parents_of_files_in_one_range_or_many(spark, rows):
+    """Copies, equal starts, equal ends and a file of one span; compared with every pair."""
+    data = random_spans(5, files=2, count=50, top=20) + random_spans(6, files=4, count=30)[64:] + [("alone", 0, 1, 9, TYPES[0])]
+    data = [(f, i, s, e, t) for (f, i), (s, e, t) in {(r[0], r[1]): r[2:] for r in data}.items()]
+    got = {(r["file"], r["chunk_index"]): (r["containing_chunk_count"], r["parent_index"], r["parent_node_type"], r["parent_byte_end"])
+           for r in S.direct_parents(frame(spark, data), width=16, rows=rows).collect()}
+    want = {}
+    for r in data:
+        parents = [p for p in data if contains(p, r)]
+        if parents:
+            best = min(parents, key=lambda p: (p[3] - p[2], p[1]))
+            want[r[:2]] = (len(parents), best[1], best[4], best[3])
+    assert got == want
+
+
+def test_direct_parents_shuffle_a_small_file_once(spark):
+    """A row per span goes to its file: no rows per level, no join back."""
+    plan = S.direct_parents(frame(spark, random_spans(1)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
