@@ -12,7 +12,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -302,17 +302,17 @@ def example_relations(relations: DataFrame, keys: Sequence[str] = ("file",)) ->
     """
     keys = list(keys)
     place = F.array_position(F.array(*[F.lit(t) for t in EXAMPLE_CHILD_TYPES]), F.col("node_type"))
-    members = relations.withColumn("type_place", place).filter(
-        F.col("parent_node_type").isin(*CONTEXT_NODE_TYPES) & (F.col("type_place") > 0)
+    # Type 0: no member. Such rows count only in files without members, where they are all rows.
+    kind = F.when(F.col("parent_node_type").isin(*CONTEXT_NODE_TYPES) & (place > 0), place).otherwise(0)
+    order = [F.when(F.col("type_place") > 0, size()).desc(), F.col("chunk_index")]
+    ranked = top_rows(relations.withColumn("type_place", kind), [*keys, "type_place"], order, 12, "type_rank").filter(
+        "type_place = 0 OR type_rank <= 3"
     )
-    picked = top_rows(
-        members, [*keys, "type_place"], [size().desc(), F.col("chunk_index")], 3, "type_rank"
+    members = F.max("type_place").over(Window.partitionBy(*keys)) > 0
+    picked = ranked.withColumn("_members", members).filter("_members = (type_place > 0)")
+    return top_rows(picked, keys, [F.col("type_place"), F.col("type_rank")], 12, "place").drop(
+        "type_place", "type_rank", "_members"
     )
-    chosen = top_rows(picked, keys, [F.col("type_place"), F.col("type_rank")], 12, "place")
-    first = top_rows(relations, keys, [F.col("chunk_index")], 12, "place").join(
-        chosen.select(*keys).distinct(), keys, "left_anti"
-    )
-    return chosen.drop("type_place", "type_rank").unionByName(first)
 
 
 def retained(spans: DataFrame) -> DataFrame:

@@ -144,3 +144,22 @@ def test_direct_parents_shuffle_a_small_file_once(spark):
     """A row per span goes to its file: no rows per level, no join back."""
     plan = S.direct_parents(frame(spark, random_spans(1)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
+
+
+def test_examples_read_the_relations_once(spark):
+    """Three largest members per type, in type order; the relations are one branch of the plan."""
+    rows = random_spans(7, files=4, count=80, top=60)
+    rows += [("plain", i, 0, 40 - i, "namespace") for i in range(20)]
+    relations = S.direct_parents(frame(spark, rows))
+    found = S.example_relations(relations)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 1
+    want = []
+    every = relations.collect()
+    for f in {r["file"] for r in every}:
+        mine = sorted((r for r in every if r["file"] == f), key=lambda r: r["chunk_index"])
+        chosen = []
+        for t in S.EXAMPLE_CHILD_TYPES:
+            of_type = [r for r in mine if r["node_type"] == t and r["parent_node_type"] in S.CONTEXT_NODE_TYPES]
+            chosen += sorted(of_type, key=lambda r: (r["byte_start"] - r["byte_end"], r["chunk_index"]))[:3]
+        want += [(f, i + 1, r["chunk_index"]) for i, r in enumerate((chosen or mine)[:12])]
+    assert sorted((r["file"], r["place"], r["chunk_index"]) for r in found.collect()) == sorted(want)
