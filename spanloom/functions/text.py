@@ -54,6 +54,11 @@ def tokenize(text: Column) -> Column:
     return F.flatten(F.transform(words(text), forms))
 
 
+def spaced_words(text: Column) -> Column:
+    """The words of a text set apart by single spaces, one before the first and one after the last."""
+    return F.concat(F.lit(" "), F.array_join(words(text), " "), F.lit(" "))
+
+
 def token_bag(text: Column) -> Column:
     """The same tokens as `tokenize` in no particular order.
 
@@ -61,8 +66,14 @@ def token_bag(text: Column) -> Column:
     taken by a few passes over one string, and only words of several pieces are
     looked at one by one.
     """
-    spaced = F.concat(F.lit(" "), F.array_join(words(text), " "), F.lit(" "))
-    lowered = F.lower(spaced)
+    return bag_of(spaced_words(text), F.lower(spaced_words(text)))
+
+
+def bag_of(spaced: Column, lowered: Column) -> Column:
+    """`token_bag` of words set apart by spaces (`spaced_words`), as they are and lower-cased.
+
+    Both are used several times: given as columns they are computed once.
+    """
     compounds = F.regexp_extract_all(spaced, F.lit(COMPOUND), F.lit(0))
     pieces = F.transform(
         compounds,
@@ -71,10 +82,12 @@ def token_bag(text: Column) -> Column:
             lambda p: p != F.lower(word),
         ),
     )
+    # Most texts do not hold the long forms, and a plain search is cheap.
+    configured = F.when(lowered.contains(" configur"), F.regexp_count(lowered, F.lit(LONG_CONFIG))).otherwise(0)
     return F.concat(
         F.array_remove(F.split(lowered, " "), ""),
         F.regexp_extract_all(lowered, F.lit(PLURAL), F.lit(1)),
-        F.array_repeat(F.lit("config"), F.regexp_count(lowered, F.lit(LONG_CONFIG))),
+        F.array_repeat(F.lit("config"), configured),
         F.flatten(pieces),
     )
 

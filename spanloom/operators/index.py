@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from spanloom.config import RankingConfig
 from spanloom.functions import text as T
 from spanloom.operators.scale import spread, top_rows
+from spanloom.session import unsorted_folders
 
 # Deepest ranking that the stored role heads can serve.
 HEAD_ROWS = 1_000
-# Postings of one shard of chunks, and terms of one bucket of the vocabulary.
-POSTINGS_PER_SHARD = 5_000_000
+# Postings of one shard of chunks, and terms of one bucket of the vocabulary. A shard is sorted by one
+# task, at about 180 bytes for each posting: so many stay in memory.
+POSTINGS_PER_SHARD = 1_000_000
 MAX_SHARDS = 100_000
 TERMS_PER_BUCKET = 5_000_000
 MAX_BUCKETS = 4_096
@@ -42,12 +44,10 @@ def evidence_key() -> Column:
 def analyzed(chunks: DataFrame, config: RankingConfig) -> DataFrame:
     """Chunks with their sorted tokens and the terms that boosts look at."""
     name = F.coalesce(label(F.col("symbol"), F.col("section_title")), F.lit(""))
-    tokens = T.token_bag(
-        T.searchable_text(
-            F.col("content"), F.col("symbol"), F.col("source_path"), F.col("source_role"),
-            F.col("repository"), F.col("section_title"), F.col("parent_context"),
-            config.index_null_symbol,
-        )
+    searchable = T.searchable_text(
+        F.col("content"), F.col("symbol"), F.col("source_path"), F.col("source_role"),
+        F.col("repository"), F.col("section_title"), F.col("parent_context"),
+        config.index_null_symbol,
     )
     # Transforms over one element bind a value to a name, so that it is computed once.
     symbol = F.get(F.transform(
@@ -59,13 +59,15 @@ def analyzed(chunks: DataFrame, config: RankingConfig) -> DataFrame:
             )).alias("words"),
         ),
     ), F.lit(0))
-    return chunks.select(
+    # What the tokens use more than once is a column of its own, which Spark doesn't copy.
+    spaced = chunks.withColumn("_spaced", T.spaced_words(searchable)).withColumn("_lowered", F.lower("_spaced"))
+    return spaced.select(
         "chunk_id", "repository", "source_role", "source_path",
         "chunk_type", "start_line", "end_line",
         symbol.alias("symbol"),
         F.array_distinct(T.tokenize(F.col("source_path"))).alias("path_terms"),
         # sort_array, as array_sort compares through an interpreted lambda.
-        F.sort_array(tokens).alias("tokens"),
+        F.sort_array(T.bag_of(F.col("_spaced"), F.col("_lowered"))).alias("tokens"),
     ).select(
         "*",
         F.nullif("symbol.name", F.lit("")).alias("label"),
@@ -206,7 +208,8 @@ def build_index(chunks: DataFrame, path: str, config: RankingConfig) -> LexicalI
     spark = chunks.sparkSession
     numbered = analyzed(spread(chunks), config).withColumn("chunk_no", F.monotonically_increasing_id())
     numbered = numbered.withColumn("part", part_of(F.col("chunk_no")))
-    numbered.write.partitionBy("part").parquet(f"{path}/chunks")
+    with unsorted_folders(spark):
+        numbered.write.partitionBy("part").parquet(f"{path}/chunks")
     stored = spark.read.schema(numbered.schema).parquet(f"{path}/chunks").withColumn("length", F.size("tokens"))
     stats = corpus_statistics(stored).first()
     if not stats["chunks"]:

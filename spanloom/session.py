@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,6 +77,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def unsorted_folders(spark: SparkSession, folders: int = 4) -> Iterator[None]:
+    """Writes in here do not sort a task's rows by folder first, while the task has at most so many folders."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(folders))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes every scratch table of this process. Results that still read one are lost."""
     jvm = spark.sparkContext._jvm

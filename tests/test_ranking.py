@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.config import RankingConfig
+from spanloom.functions import text as T
+from spanloom.operators import index as X
 from spanloom.operators.index import build_index
 from spanloom.operators.ranking import lexical_search, scored, search
 from spanloom.plans.retrieval import Retriever
@@ -230,3 +232,25 @@ def test_lexical_ties_go_by_chunk_id(spark):
     queries = spark.createDataFrame([(0, "words")], "query_id long, query string")
     got = lexical_search(index, queries, CONFIG, 4).sort("rank").collect()
     assert [r.chunk_id for r in got] == sorted(r["chunk_id"] for r in rows)[:4] and [r["rank"] for r in got] == [1, 2, 3, 4]
+
+
+def test_words_of_a_chunk_are_taken_once(spark):
+    """The regular expression over the whole text stands once in the plan of the analysis, not once for each use."""
+    chunks = spark.createDataFrame(
+        [("c", "r", "core", "a/b.cpp", "function", "f", None, 1, 2, "{}", "SolverConfig configured boxes x")],
+        "chunk_id string, repository string, source_role string, source_path string, chunk_type string, symbol string, "
+        "section_title string, start_line long, end_line long, parent_context string, content string")
+    found = X.analyzed(chunks, RankingConfig()).select("tokens")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat_ws") == 1
+    text = T.searchable_text(*[F.col(c) for c in ("content", "symbol", "source_path", "source_role", "repository", "section_title", "parent_context")])
+    assert found.first()[0] == sorted(chunks.select(T.tokenize(text)).first()[0])
+
+
+def test_postings_take_their_ids_unsorted(spark):
+    """A join of all postings with their chunks' ids neither shuffles nor sorts the postings."""
+    from spanloom.workloads.retrieval import doc_term_freq
+
+    plan = doc_term_freq(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Sort " not in plan
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
