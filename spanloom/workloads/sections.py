@@ -7,10 +7,13 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from spanloom.config import PREAMBLE_TITLE, ChunkConfig
+from spanloom.functions import text as T
+from spanloom.functions.binding import let
+from spanloom.functions.scan import scanned
 from spanloom.operators import sections as S
 from spanloom.operators.corpus import distribution, threshold_counts
 from spanloom.plans import corpus_build as B
-from spanloom.session import new_table_path
+from spanloom.session import new_table_path, written
 from spanloom.sources.corpus import undecodable
 from spanloom.sources.tables import texts
 
@@ -41,14 +44,17 @@ def functions(spark, sf_dir):
 
 def with_nodes(spark, sf_dir):
     """Every line that is no comment is a statement; its type follows its length."""
-    base = functions(spark, sf_dir)
-    rows = S.line_table(base)
-    kind = F.when(F.col("line").rlike(r"^\s*//"), "comment").when(
-        F.length("line") % 2 == 0, "declaration").otherwise("expression_statement")
-    nodes = rows.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("byte_start").alias("start"), F.col("byte_end").alias("end"), kind.alias("type")))).alias("rows"))
-    return base.join(nodes, "chunk_id").withColumn("nodes", F.transform("rows", lambda n: F.struct(
-        n["type"].alias("type"), n["start"].alias("start"), n["end"].alias("end")))).drop("rows")
+    def node(line, start, end):
+        kind = F.when(line.rlike(r"^\s*//"), "comment").when(F.length(line) % 2 == 0, "declaration").otherwise("expression_statement")
+        return F.struct(kind.alias("type"), start.alias("start"), end.alias("end"))
+
+    def nodes(lines):
+        sizes = F.transform(lines, lambda line: F.octet_length(line).cast("long"))
+        return let(scanned(sizes, F.lit(0).cast("long"), lambda a, b: a + b), lambda ends: F.transform(
+            lines, lambda line, i: node(line, F.coalesce(F.get(ends, i - 1), F.lit(0).cast("long")), F.get(ends, i))))
+
+    # A text's lines lie in its row, so nothing is shuffled for them.
+    return functions(spark, sf_dir).filter("content <> ''").withColumn("nodes", let(T.lines(F.col("content")), nodes))
 
 
 def line_table(spark, sf_dir):
@@ -129,7 +135,8 @@ def _policy_rows(spark, sf_dir):
     for policy in ("D1", "D2", "D3"):
         part = S.policy_chunks(base, policy, CONFIG).withColumn("policy", F.lit(policy))
         rows = part if rows is None else rows.unionByName(part)
-    return rows
+    # Read by several aggregates: the texts are cut once.
+    return written(rows.select("policy", "file", "byte_start", "byte_end"), "policies")
 
 
 def policy_totals(spark, sf_dir):

@@ -138,3 +138,17 @@ def test_one_long_text(spark):
     sections = S.section_chunks(df).agg(F.sum(F.octet_length("content")), F.countDistinct("section_title"), F.max("end_line")).first()
     assert tuple(sections) == (len(body), 1961, body.count("\n"))
     assert time.monotonic() - began < 300
+
+
+def test_nodes_of_a_text_need_no_shuffle(spark):
+    """The nodes of a document are its lines with their byte ranges, as the line table has them."""
+    from spanloom.workloads.sections import functions, with_nodes
+
+    folder = "/root/testdata/sf0.001"
+    nodes = with_nodes(spark, folder)
+    assert "Exchange hashpartitioning" not in nodes._jdf.queryExecution().executedPlan().toString()
+    got = {r["chunk_id"]: [(n["start"], n["end"], n["type"] == "comment") for n in r["nodes"]] for r in nodes.collect()}
+    want = {}
+    for r in S.line_table(functions(spark, folder)).sort("chunk_id", "line_index").collect():
+        want.setdefault(r["chunk_id"], []).append((r["byte_start"], r["byte_end"], r["line"].lstrip().startswith("//")))
+    assert got == want
