@@ -18,7 +18,8 @@ PLURAL = r"(?<= )([a-z][a-z0-9_]{2,}[a-rt-z0-9_])s(?= )"
 LONG_CONFIG = r"(?<= )(?:configuration|configured)(?= )"
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 LINE_END = r"(?:\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}])"
-NOT_LINE_END = r"[^\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+# All others, the most frequent range first: a negated class tries each of its parts on every character.
+NOT_LINE_END = r"[\x1f-\x{84}\x{86}-\x{2027}\x{202a}-\x{10ffff}\x00-\x09\x0e-\x1b]"
 IDENTIFIER = r"_|[a-z][A-Z]"
 
 
@@ -139,7 +140,7 @@ def preview(text: Column, limit: int = 220) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines with their terminators kept; an unterminated last line counts."""
-    return F.regexp_extract_all(text, F.lit(f"{NOT_LINE_END}*{LINE_END}|{NOT_LINE_END}+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"{NOT_LINE_END}++{LINE_END}?+|{LINE_END}"), F.lit(0))
 
 
 def newline_count(text: Column) -> Column:

@@ -96,3 +96,14 @@ def test_paths(spark):
     assert one(spark, P.package_role(F.lit("pkg/llm/x.json"), "pkg")) == "config_or_schema"
     for url, ok in (("http://a", True), ("https:///x", False), ("ftp://a", False), ("a.b", False)):
         assert one(spark, P.is_http_url(F.lit(url))) is ok
+
+
+def test_lines_of_every_line_end_and_without_backtracking(spark):
+    """As a plain scan finds them, for every character about a line end and for a long line; no position is tried twice."""
+    ends = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
+    near = "\x00\t\x0e\x1b\x1f \x84\x86\u2027\u202a\ud7ff\uffff\U00010000\U0010ffff"
+    samples = ["", "x", "a\r\nb\n\rc\r", "y" * 200_000, *[f"a{c}b{c}{c}\r\n{c}" for c in ends + near]]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, s string")
+    got = {r["i"]: r["x"] for r in df.select("i", T.lines(F.col("s")).alias("x")).collect()}
+    assert got == {i: s.splitlines(keepends=True) for i, s in enumerate(samples)}
+    assert "++" in df.select(T.lines(F.col("s")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
