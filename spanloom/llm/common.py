@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -70,8 +71,8 @@ def slices_of(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Ite
     """Slices of Arrow batches whose texts add up to about `limit` bytes; one larger row makes a slice of its own.
 
     A slice's texts become Python values one slice at a time, and memory that
-    Arrow has freed goes back after each batch: workers are reused, and would
-    keep the peak of every stage they ran.
+    Arrow, numpy and Python have freed goes back after each batch: workers are
+    reused, and would keep the peak of every stage they ran.
     """
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
@@ -82,4 +83,12 @@ def slices_of(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Ite
             yield batch.slice(at, end - at)
             at = end
         del batch, ends
-        pa.default_memory_pool().release_unused()
+        give_back()
+
+
+def give_back() -> None:
+    """Freed memory of this process goes back to the system, where its C library can do that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

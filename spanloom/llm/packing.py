@@ -14,20 +14,24 @@ import re
 import zlib
 from collections.abc import Callable, Iterator, Mapping
 from functools import cache
+from itertools import pairwise
 from struct import pack
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import groups_for, rank_in
+from spanloom.llm.common import groups_for, rank_in, slices_of
 from spanloom.session import written
 
 WINDOW = 2048
 END_ID = 1
-CACHED_WORDS = 1_000_000
+# Words whose ids a Python worker keeps, about 0.25 KB each, and bytes of texts it takes at once.
+CACHED_WORDS = 700_000
+SLICE_BYTES = 4_000_000
 ROWS_PER_GROUP = 100_000
 
 
@@ -120,24 +124,23 @@ def _byte_characters() -> list[str]:
     return [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
 
-class WordEncoder:
-    """Token ids of whole texts, as little-endian unsigned 32-bit ids, by encoding each new word once.
+class WordEncoder(dict):
+    """The token ids of words, as little-endian unsigned 32-bit ids; each new word is encoded once, when it is looked up.
 
     For tokenizers that never join characters across ASCII white space and drop
     it. Words of Latin-1 letters and ASCII are split into pieces here, where the
-    tokenizer splits as SPLIT does, and each new piece is encoded once; all other
-    words go through the whole tokenizer. The caches are emptied when full;
-    results don't depend on them.
+    tokenizer splits as SPLIT does, and pieces are words too; all other words go
+    through the whole tokenizer. A full cache is emptied between
+    batches; results don't depend on it.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         self.characters = _byte_characters()
         steps = json.loads(self.tokenizer.to_str())
         split = (steps["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
@@ -147,34 +150,46 @@ class WordEncoder:
             and (split[0]["behavior"], split[0]["invert"], split[1]["add_prefix_space"]) == ("Removed", True, False)
         )
 
-    def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            mapped = piece if piece.isascii() else "".join([self.characters[b] for b in piece.encode()])
-            ids = [t.id for t in self.model.tokenize(mapped)]
-            found = self.pieces[piece] = pack(f"<{len(ids)}I", *ids)
-        return found
-
-    def learn(self, words: list[bytes]) -> None:
-        """Adds words that are not known yet."""
-        other = []
-        for word in words:
-            text = word.decode()
-            if self.splits and LATIN.fullmatch(text):
-                self.known[word] = b"".join([self.piece(p) for p in PIECES.findall(text.lower())])
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if self.splits and (text.isascii() and text.isprintable() or LATIN.fullmatch(text)):
+            lower = text.lower()
+            # Most words are letters, or letters and one more character.
+            if lower.isalpha():
+                pieces = [lower]
+            elif lower[:-1].isalpha():
+                pieces = [lower[:-1], lower[-1]]
             else:
-                other.append(word)
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
-        self.known.update(zip(other, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
+                pieces = PIECES.findall(lower)
+            if pieces == [text]:
+                mapped = text if text.isascii() else "".join([self.characters[b] for b in word])
+                ids = [t.id for t in self.model.tokenize(mapped)]
+                found = pack(f"<{len(ids)}I", *ids)
+            else:
+                found = b"".join([self[p.encode()] for p in pieces])
+        else:
+            encoded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+            found = np.array(encoded.ids, "<u4").tobytes()
+        self[word] = found
+        return found
 
-    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
-        new = set().union(*texts).difference(self.known)
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, self.pieces = {}, {}
-            new = set().union(*texts)
-        self.learn(list(new))
-        known = self.known.__getitem__
-        return [b"".join(map(known, text)) for text in texts]
+    def encode(self, texts: list[list[bytes]] | pa.Array) -> list[bytes]:
+        """The ids of each text, given as its words. Each different word is looked up once."""
+        words = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.list_(pa.binary()))
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        coded = words.flatten().dictionary_encode()
+        found = [self[w] for w in coded.dictionary.cast(pa.binary()).to_pylist()]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = coded.indices.to_numpy()
+        # Ends of the words in the ids of all texts, and where the ids of each begin among those of the different words.
+        own = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        begins = (np.cumsum(sizes) - sizes)[which]
+        every = ids[np.repeat(begins - ends[:-1], own) + np.arange(ends[-1])].tobytes()
+        cuts = 4 * ends[np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])]
+        return [every[i:j] for i, j in pairwise(cuts.tolist())]
 
 
 @cache
@@ -196,20 +211,18 @@ def tokenized(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: b
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = encoder_for(tokenizer), np.array([END_ID], "<u4").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                texts = [(t.as_py() or "").encode().split() for t in batch.column("text")]
-                rows = []
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
-                    ids += end
-                    for start in range(0, len(ids), 4 * window):
-                        piece = ids[start : start + 4 * window]
-                        row = [doc_id, len(ids) // 4, start // 4, len(piece) // 4, zlib.crc32(piece)]
-                        rows.append(row + [np.frombuffer(piece, "<u4").astype(np.int32)] if with_ids else row)
-                names = [x.split()[0] for x in kind.split(", ")]
-                types = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        names = [x.split()[0] for x in kind.split(", ")]
+        types = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
+        for batch in slices_of(batches, "text", SLICE_BYTES):
+            words = pc.ascii_split_whitespace(pc.fill_null(batch.column("text"), ""))
+            rows = []
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(words)):
+                ids += end
+                for start in range(0, len(ids), 4 * window):
+                    piece = ids[start : start + 4 * window]
+                    row = [doc_id, len(ids) // 4, start // 4, len(piece) // 4, zlib.crc32(piece)]
+                    rows.append(row + [np.frombuffer(piece, "<u4").astype(np.int32)] if with_ids else row)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(encode, kind)
 

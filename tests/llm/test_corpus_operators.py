@@ -56,6 +56,18 @@ def test_words_encode_as_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_are_encoded_once_and_a_full_cache_is_emptied(monkeypatch):
+    encoder, seen = packing.WordEncoder(TOKENIZER), []
+    learn = packing.WordEncoder.__missing__
+    monkeypatch.setattr(packing.WordEncoder, "__missing__", lambda self, word: (seen.append(word), learn(self, word))[1])
+    texts = [[b"Alpha", b"alpha.", b"x'll"], [], [b"alpha", b"Alpha"]]
+    want = [np.array(encoder.tokenizer.encode(b" ".join(t).decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == want and encoder.encode(texts) == want
+    assert len(seen) == len(set(seen)), "pieces are words, each is encoded once"
+    monkeypatch.setattr(packing, "CACHED_WORDS", 2)
+    assert encoder.encode(texts) == want and len(seen) == 2 * len(set(seen))
+
+
 def test_packing(spark):
     rng = random.Random(1)
     rows = ODD + [(i, " ".join(rng.choice(["alpha", "Béta", "12,5", "x'll"]) for _ in range(rng.randint(0, 90)))) for i in range(100, 300)]
