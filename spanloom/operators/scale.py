@@ -139,16 +139,18 @@ def running(
         *by_bucket, *[call[kind](f"_t{i}").over(before).alias(f"_c{i}") for i, (kind, _, _) in enumerate(specs)]
     )
     inside = Window.partitionBy(*by_bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
-    joined = bucketed.join(carried, by_bucket)
+    # The window comes before the join: its order serves both, so that rows are sorted once.
+    local_results = bucketed.select("*", *[call[kind](src).over(inside).alias(f"_l{i}") for i, (kind, _, src) in enumerate(specs)])
+    joined = local_results.join(carried, by_bucket)
     results = []
-    for i, (kind, out, src) in enumerate(specs):
-        local = call[kind](src).over(inside)
+    for i, (kind, out, _) in enumerate(specs):
+        local, before_it = F.col(f"_l{i}"), F.col(f"_c{i}")
         if kind == "sum":
-            merged = F.coalesce(local, F.lit(0)) + F.coalesce(F.col(f"_c{i}"), F.lit(0))
+            merged = F.coalesce(local, F.lit(0)) + F.coalesce(before_it, F.lit(0))
         elif kind == "last":
-            merged = F.coalesce(local, F.col(f"_c{i}"))
+            merged = F.coalesce(local, before_it)
         else:
-            merged = (F.greatest if kind == "max" else F.least)(local, F.col(f"_c{i}"))
+            merged = (F.greatest if kind == "max" else F.least)(local, before_it)
         results.append(merged.alias(out))
     return joined.select(*df.columns, *results)
 

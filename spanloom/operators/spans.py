@@ -362,13 +362,29 @@ def policy_counts(spans: DataFrame, keys: Sequence[str] = ("file",), width: int
     )
 
 
-def points_inside(points: DataFrame, spans: DataFrame, keys: Sequence[str], width: int = WIDTH) -> DataFrame:
+def points_inside(
+    points: DataFrame, spans: DataFrame, keys: Sequence[str], width: int = WIDTH, unique: bool = False
+) -> DataFrame:
     """Points with whether they lie strictly inside some span of their key.
 
     `points` has the keys and `point`. A point is inside iff the furthest end of
     the spans that start before it lies beyond it.
+
+    `unique` says that no two points share their keys and place: they then stay
+    on the axis with what else they hold, and are not joined to it.
     """
     keys = list(keys)
+    if unique:
+        others = [c for c in points.columns if c not in (*keys, "point")]
+        starts = spans.select(*keys, F.col("byte_start").alias("at"), F.col("byte_end").alias("end"))
+        places = points.withColumnRenamed("point", "at").withColumn("_asked", F.lit(True))
+        # One row at most of a key and place has more than an end.
+        axis = starts.unionByName(places, allowMissingColumns=True).groupBy(*keys, "at").agg(
+            F.max("end").alias("end"), *[F.first(c, ignorenulls=True).alias(c) for c in ("_asked", *others)]
+        )
+        reach = running(axis, keys, "at", width, max_of={"earlier_end": "end"}).filter("_asked")
+        inside = F.coalesce(F.col("earlier_end") > F.col("point"), F.lit(False)).alias("inside")
+        return reach.withColumnRenamed("at", "point").select(*points.columns, inside)
     starts = spans.groupBy(*keys, F.col("byte_start").alias("at")).agg(F.max("byte_end").alias("end"))
     places = points.select(*keys, F.col("point").alias("at")).distinct()
     axis = starts.unionByName(places, allowMissingColumns=True).groupBy(*keys, "at").agg(F.max("end").alias("end"))

@@ -116,8 +116,9 @@ def _points(spark, sf_dir):
 
 def points_inside(spark, sf_dir):
     """Headers that fall strictly inside a function or method, against all others."""
-    found = S.points_inside(_points(spark, sf_dir), S.primary(span_table(spark, sf_dir)), ["file"])
-    return found.groupBy("file", "point", "inside").agg(F.count("*").alias("points"))
+    points = _points(spark, sf_dir).groupBy("file", "point").agg(F.count("*").alias("points"))
+    found = S.points_inside(points, S.primary(span_table(spark, sf_dir)), ["file"], unique=True)
+    return found.select("file", "point", "inside", "points")
 
 
 def overlapping_types(spark, sf_dir):

@@ -82,6 +82,18 @@ def test_points_and_types(spark, width):
         assert got.get((f, a), []) == want
 
 
+@pytest.mark.parametrize("width", [8, 1 << 18])
+def test_unique_points_keep_their_columns_without_a_join(spark, width):
+    rows, rng = random_spans(4, count=15), random.Random(4)
+    points = sorted({(f"f{i % 4}", rng.randrange(120)) for i in range(80)})
+    asked = spark.createDataFrame([(*p, i if i % 3 else None, f"t{i}") for i, p in enumerate(points)], "file string, point long, n long, note string")
+    found = S.points_inside(asked, frame(spark, rows), ["file"], width, unique=True)
+    assert [tuple(r) for r in found.select(*asked.columns, "inside").orderBy("file", "point").collect()] == [
+        (*p, i if i % 3 else None, f"t{i}", any(s[0] == p[0] and s[2] < p[1] < s[3] for s in rows)) for i, p in enumerate(points)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1, "only what earlier ranges carry is joined"
+
+
 def test_one_file_with_most_spans_is_spread(spark):
     """All spans in one file: no partition may get them all."""
     df = spark.range(0, 40_000).select(
