@@ -26,6 +26,8 @@ APPENDED = r"^tester=([^/]*)/session=([^/]*)/(?:append=(\d+)/)?part-[^/]*$"
 COMMIT_SUFFIX = "_commit"
 # Places of a log that are looked at together.
 PLACES = 10_000
+# Tasks of an append for each core, as sessions differ in length.
+TASKS_PER_CORE = 4
 
 
 def _relative(root: str, file: Column | None = None) -> Column:
@@ -162,13 +164,16 @@ def append_interactions(records: DataFrame, root: str) -> None:
     lines go into one part file per append, in the order of their sequence if
     they have one, else of their ids. The append's number, in nanoseconds of the
     driver's clock, is a folder below: stores keep times of files in seconds.
+    Sessions cost a file each, however small, so the number of tasks is given:
+    adaptive execution goes by bytes and would let one or two write them all.
     """
     order = "sequence" if "sequence" in records.columns else "interaction_id"
     placed = records.withColumns({
         "tester": F.col("tester_id"), "session": F.col("session_id"), "append": F.lit(time.time_ns()).cast("long"),
     })
+    tasks = TASKS_PER_CORE * records.sparkSession.sparkContext.defaultParallelism
     (
-        placed.repartition("tester", "session").sortWithinPartitions("tester", "session", order)
+        placed.repartition(tasks, "tester", "session").sortWithinPartitions("tester", "session", order)
         .drop("sequence", "source_session_file")
         .write.mode("append").partitionBy("tester", "session", "append").option("ignoreNullFields", "false").json(root)
     )
