@@ -250,6 +250,13 @@ def test_append_and_resume(spark, tmp_path):
     assert not S.empty_sessions(spark, str(tmp_path / "log")).count() and not I.session_violations(lines).count()
 
 
+def test_small_sessions_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(40).selectExpr("concat('t', id % 3) AS tester_id", "concat('session_', id) AS session_id", "concat('i', id) AS interaction_id")
+    S.append_interactions(rows, str(tmp_path / "log"))
+    parts = [p.name.split("-")[1] for p in (tmp_path / "log").glob("tester=*/session=*/append=*/part-*")]
+    assert len(parts) == 40 and len(set(parts)) > 2
+
+
 def test_commands(spark, tmp_path, capsys):
     from spanloom.__main__ import main
 
