@@ -144,6 +144,54 @@ def test_scores(spark):
     assert alone.base_score <= 0 and alone.score <= 0
 
 
+def test_score_knows_words_before(spark):
+    rng = random.Random(8)
+    # Eight words that share an ending, so one class: each is followed by one of its own, in a corpus of noise.
+    words = [f"{c}abcing" for c in "bdfgklmn"]
+    follows = dict(zip(words, words[3:] + words[:3]))
+    skips = dict(zip(words, words[5:] + words[:5]))
+    pair = lambda: (lambda w: f"{w} {follows[w]}")(rng.choice(words))
+    spaced = lambda: (lambda w: f"{w} zz{rng.randint(0, 9)}ing {skips[w]}")(rng.choice(words))
+    rows = [(i, " the ".join(rng.choice([pair, spaced])() for _ in range(8))) for i in range(100, 400)]
+    tried = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    a, b = words[:2]
+    asked = [f"the {a} {follows[a]}", f"the {a} {follows[b]}", f"the {a} zznewing {skips[a]}", f"the {a} zznewing {skips[b]}"]
+    for settings in (maxent.Settings(top_words=3, classes=8, slots=64), maxent.Settings(top_words=3, classes=8, slots=64, part_tokens=300, most_parts=4)):
+        found = {r.doc_id: r for r in maxent.scored(table(spark, rows + list(zip(tried, asked))), settings).collect()}
+        seen, swapped, skipped, other = (found[i].score for i in tried[:4])
+        assert seen > swapped + 0.5 and skipped > other + 0.3
+        texts = dict(rows)
+        counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*t.split(), ""])
+        want = lambda t: sum(math.log10((counts[w] + 1) / (sum(counts.values()) + len(counts) + 1)) for w in [*t.split(), ""])
+        assert all(abs(found[i].base_score - want(texts[i])) < 1e-6 for i in texts)
+
+
+def test_word_model_is_normalised(monkeypatch):
+    rng = np.random.default_rng(1)
+    for trial in range(20):
+        n_words, n = int(rng.integers(2, 9)), int(rng.integers(2, 120))
+        word, before, skipped = rng.integers(0, n_words, n), rng.integers(0, 4, n) + 7, rng.integers(0, 4, n) + 5
+        learnt = rng.random(n) < (0.8 if trial else 0)
+        families, made = [], maxent._Family
+        monkeypatch.setattr(maxent, "_Family", lambda *x: families.append(made(*x)) or families[-1])
+        monkeypatch.setattr(maxent, "MEETINGS", 3 if trial % 2 else 1_000_000)
+        counts, logs = maxent.word_model(word, before, skipped, learnt, n_words, maxent.Settings())
+        monkeypatch.undo()
+        weights = [dict(zip(f.keys.tolist(), f.weights)) for f in families]
+        pairs = np.unique(before << 32 | skipped).tolist()
+        size = counts.sum() + np.count_nonzero(counts) + 1
+        for b, s, w, log in zip(before.tolist(), skipped.tolist(), word.tolist(), logs):
+            contexts = b, s, pairs.index(b << 32 | s)
+            mass = [(counts[v] + 1) / size * math.exp(sum(d.get(c << 32 | v, 0) for d, c in zip(weights, contexts))) for v in range(n_words)]
+            total = 1 / size + sum(m for m, c in zip(mass, counts) if c)
+            assert abs(math.log(mass[w] / total) - log) < 1e-9
+
+
+def test_numbers_pack():
+    arrays = [np.array(x, np.int64) for x in ([], [0, 255], [1 << 16, 3], [1 << 24], [1 << 39, 7], [1 << 47], [1 << 55], [5 << 32])]
+    assert [x.tolist() for x in maxent._numbers(maxent._numbers_packed(arrays))] == [x.tolist() for x in arrays]
+
+
 def test_ids_pack():
     for ids in (np.zeros(0, np.int32), np.array([0, 65534, 65535, 65536, 1, 3_000_000], np.int32)):
         assert maxent._ids(maxent._packed(ids)).tolist() == ids.tolist()
