@@ -55,7 +55,7 @@ class Settings:
     word_steps: int = 3
     discount: float = 0.5
     part_tokens: int = 300_000
-    most_parts: int = 128
+    most_parts: int = 512
     folds: int = 7
     held_out: int = 2
 
