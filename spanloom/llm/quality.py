@@ -23,10 +23,13 @@ from spanloom.operators.scale import join_small
 from spanloom.session import written
 
 WINDOW = 5
+# The bits of a place in an array; the others of a packed key are those of a hash.
+PLACE = 2**31 - 1
 
 
 def _per_mille(part: str, whole: str) -> Column:
-    return F.coalesce(F.floor(F.col(part) * 1000 / F.col(whole)), F.lit(0)).cast("long")
+    """A share in thousandths; 0 of nothing, as in a text without words (dividing by 0 is an error in Spark)."""
+    return F.coalesce(F.floor(F.col(part) * 1000 / F.nullif(F.col(whole), F.lit(0))), F.lit(0)).cast("long")
 
 
 @dataclass(frozen=True)
@@ -47,31 +50,33 @@ class Rules:
 def with_repeat_words(df: DataFrame) -> DataFrame:
     """n_repeat_words in place of `w`: the words of `w` in a five-word window that occurs twice or more.
 
-    Windows are sorted by a hash with their place packed in; equal neighbours
-    are candidates, and those are compared by their words. Each step is a column
-    of its own, since lambdas would compute an inlined one once per element.
+    Only texts where two windows share a hash are looked at any further. Their
+    windows are sorted by a shorter hash with their place packed in; equal
+    neighbours are candidates, and those are compared by their words. Each step
+    is a column of its own, since lambdas would compute an inlined one once per
+    element.
     """
     others = [c for c in df.columns if c != "w"]
-    n = F.size("w") - (WINDOW - 1)
-    slots = F.col("slots")
-    sized = df.select(*others, "w", F.greatest(n, F.lit(1)).cast("long").alias("slots"))
-    keyed = sized.select(*others, "w", "slots", F.when(slots < 2, F.array().cast("array<bigint>")).otherwise(
-        F.sort_array(F.transform(
-            F.sequence(F.lit(0).cast("long"), slots - 1),
-            lambda i: F.pmod(F.xxhash64(*[F.get("w", (i + k).cast("int")) for k in range(WINDOW)]), F.floor(F.lit(float(2**62)) / slots))
-            * slots + i,
-        ))
-    ).alias("keys"))
+    starts = F.slice("w", 1, F.greatest(F.size("w") - (WINDOW - 1), F.lit(0)))
+    hashed = df.select(*others, "w", F.transform(
+        starts, lambda word, i: F.xxhash64(word, *[F.get("w", i + k) for k in range(1, WINDOW)])
+    ).alias("hashes"))
+    suspect = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    suspects = hashed.select(
+        *others,
+        F.when(suspect, F.col("w")).otherwise(F.array().cast("array<string>")).alias("w"),
+        F.when(suspect, F.col("hashes")).otherwise(F.array().cast("array<bigint>")).alias("hashes"),
+    )
+    keyed = suspects.select(*others, "w", F.sort_array(F.transform(
+        "hashes", lambda h, i: h.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long"))
+    )).alias("keys"))
 
     def group(key: Column) -> Column:
-        return key - F.pmod(key, slots)
-
-    def near(j: Column) -> Column:
-        return group(F.coalesce(F.get("keys", j), F.lit(-1).cast("long")))
+        return key.bitwiseAND(F.lit(~PLACE))
 
-    likely = keyed.select(*others, "w", "slots", F.transform(
-        F.filter("keys", lambda key, j: (group(key) == near(j - 1)) | (group(key) == near(j + 1))),
-        lambda key: F.pmod(key, slots),
+    likely = keyed.select(*others, "w", F.transform(
+        F.filter("keys", lambda key, j: (group(key) == group(F.get("keys", j - 1))) | (group(key) == group(F.get("keys", j + 1)))),
+        lambda key: key.bitwiseAND(F.lit(PLACE)),
     ).alias("places"))
     named = likely.select(*others, F.sort_array(F.transform("places", lambda place: F.struct(
         F.array_join(F.slice("w", place.cast("int") + 1, WINDOW), " ").alias("window"), place.alias("place"),
@@ -105,12 +110,12 @@ def features(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", stratum.alias("stratum"), text.alias("text"))
     counted = base.select(
         "doc_id", "stratum", words(F.col("text")).alias("w"),
-        (F.length("text") - F.regexp_count("text", F.lit(f"[{SPACE}]"))).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("lines"),
     ).select(
-        "doc_id", "stratum", "w", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_capitals",
+        "doc_id", "stratum", "w", F.size("w").cast("long").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"), "n_symbols", "n_capitals",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
